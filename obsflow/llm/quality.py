@@ -8,6 +8,7 @@ groups and the fall-back from (language, source) to the language and to the whol
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from obsflow.llm.common import only, stored, words
 
 #: Measures in thousandths, and the least spread that a threshold allows for.
-MEASURES = {"symbol": 15, "dup_line": 60, "repeat": 40, "upper": 30}
+MEASURES = {"symbol": 15, "dup_line": 130, "repeat": 75, "upper": 30}
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -42,7 +43,10 @@ def bucket(value: Column) -> Column:
 
 
 def repeated_words(tokens: Column, window: int) -> Column:
-    """Words that lie in a window which occurs at least twice; windows are compared by 64-bit hash within one text."""
+    """Words that lie in a window which occurs at least twice; windows are compared by 64-bit hash within one text.
+
+    The window is a power of two, so that its hash comes from those of its halves.
+    """
 
     def covered(sorted_windows: Column) -> Column:
         near = lambda k: F.when((k >= 1) & (k <= F.size(sorted_windows)), F.element_at(sorted_windows, k)["h"])
@@ -60,9 +64,20 @@ def repeated_words(tokens: Column, window: int) -> Column:
         found = F.element_at(F.transform(F.array(pairs), covered), 1)
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(found)
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(tokens) - window + 1), lambda i: F.xxhash64(F.slice(tokens, i, window)))
-    # the array of one element binds the hashes, so that they are made once
-    some = F.element_at(F.transform(F.array(hashes), count), 1)
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        # the array of one element binds the value, so that it is made once
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def joined(hashes: Column, width: int) -> Column:
+        """Hashes of windows of twice the width from those of the width."""
+        return F.zip_with(hashes, F.slice(hashes, width + 1, F.size(hashes)), lambda x, y: F.xxhash64(x, y))
+
+    def windows(hashes: Column, width: int) -> Column:
+        if width < window:
+            return bound(joined(hashes, width), lambda twice: windows(twice, 2 * width))
+        return bound(F.slice(hashes, 1, F.size(hashes) - window + 1), count)
+
+    some = bound(F.transform(tokens, lambda w: F.xxhash64(w)), lambda hashes: windows(hashes, 1))
     return F.when(F.size(tokens) > window, some).otherwise(F.lit(0).cast("long"))
 
 
