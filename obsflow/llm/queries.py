@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import quality, simhash
+from obsflow.llm import packing, quality, rans, simhash
 from obsflow.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer file on this machine and on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1).drop("ids")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, 1024)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -22,7 +37,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality, op7_near_duplicates)}
+    return {f.__name__: f for f in (op1_rans_ids, op2_packing, op6_quality, op7_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
