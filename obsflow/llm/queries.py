@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import packing, quality, rans, simhash
+from obsflow.llm import packing, quality, rans, repeats, simhash
 from obsflow.llm.common import table
 
 
@@ -36,8 +36,13 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_strings(table(spark, sf_dir, "documents"))
+    return found.select("_row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans_ids, op2_packing, op6_quality, op7_near_duplicates)}
+    return {f.__name__: f for f in (op1_rans_ids, op2_packing, op6_quality, op7_near_duplicates, op8_repeated_strings)}
 
 
 def oracle_sql() -> dict[str, str]:
