@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import packing, quality, rans, repeats, simhash
+from obsflow.llm import decontaminate, packing, quality, rans, repeats, simhash
 from obsflow.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, 1024)
 
 
+def op3_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -42,7 +46,7 @@ def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans_ids, op2_packing, op6_quality, op7_near_duplicates, op8_repeated_strings)}
+    return {f.__name__: f for f in (op1_rans_ids, op2_packing, op3_benchmark, op6_quality, op7_near_duplicates, op8_repeated_strings)}
 
 
 def oracle_sql() -> dict[str, str]:
