@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import decontaminate, extract, packing, quality, rans, repeats, simhash
+from obsflow.llm import chunks, decontaminate, extract, lbl, packing, quality, rans, repeats, simhash
 from obsflow.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op3_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.scored(table(spark, sf_dir, "documents"))
+
+
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -50,7 +58,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans_ids, op2_packing, op3_benchmark, op6_quality, op7_near_duplicates, op8_repeated_strings, op10_main_text)}
+    return {f.__name__: f for f in (op1_rans_ids, op2_packing, op3_benchmark, op4_lbl_scores, op5_repeated_passages, op6_quality, op7_near_duplicates, op8_repeated_strings, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
