@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import chunks, decontaminate, extract, lbl, packing, quality, rans, repeats, simhash
+from obsflow.llm import chunks, decontaminate, extract, lbl, licenses, packing, quality, rans, repeats, simhash
 from obsflow.llm.common import table
 
 
@@ -53,12 +53,16 @@ def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans_ids, op2_packing, op3_benchmark, op4_lbl_scores, op5_repeated_passages, op6_quality, op7_near_duplicates, op8_repeated_strings, op10_main_text)}
+    return {f.__name__: f for f in (op1_rans_ids, op2_packing, op3_benchmark, op4_lbl_scores, op5_repeated_passages, op6_quality, op7_near_duplicates, op8_repeated_strings, op9_licenses, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
