@@ -33,4 +33,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         pairs = after
     else:
         raise RuntimeError("the components did not settle")
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    leaves = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
