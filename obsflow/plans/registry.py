@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsflow.functions import text as T
@@ -15,7 +15,6 @@ from obsflow.operators import delivery as N
 from obsflow.operators import mining as L
 from obsflow.operators import tables as M
 from obsflow.operators import traces as A
-from obsflow.plans import dashboards as U
 from obsflow.plans import read_queries as Q
 from obsflow.sources.fixtures import LOG_END, SPAN_END, logs, spans, view, with_views
 
@@ -23,12 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 S = 1_000_000_000
-LOGS = Q.Range(LOG_END - 3600, LOG_END)
-SPANS = Q.Range(SPAN_END - 12000, SPAN_END)
-DAY = Q.Range(SPAN_END - 86400, SPAN_END)
-ALERT_DAY = Q.Range(LOG_END - 86400, LOG_END)
+SPANS = Q.Range(SPAN_END - 15000, SPAN_END)
 MINUTE = "CAST((ts_ns - ts_ns % 60000000000) / 1000000000 AS BIGINT)"
-BASE_RULES = D.Rules(min_count=5)
 
 
 def add(name: str, run: Query, sql: str | None = None, *views: str) -> None:
@@ -113,7 +108,6 @@ add(
 
 # traces
 
-PATHED = "service, name || CASE WHEN url_path = '' THEN '' ELSE ' /orders/<*>' END"
 add(
     "A1_endpoint_name", lambda s, d: spans(s, d).select("span_id", T.endpoint_name(F.col("name"), F.col("attrs")).alias("endpoint")),
     "SELECT span_id, name || CASE WHEN url_path = '' THEN '' ELSE ' /orders/<*>' END AS endpoint FROM fx_spans", "fx_spans",
@@ -202,15 +196,22 @@ KEPT = f"""{SUMS}, own AS (SELECT *, duration_ns >= 4500000000 AS slow FROM sums
   boot AS (SELECT endpoint_name, CAST(ceil(10 * quantile_cont(duration_ns, 0.5)) AS BIGINT) AS boot FROM own WHERE NOT slow GROUP BY 1),
   kept AS (SELECT o.*, NOT slow AND duration_ns <= coalesce(CASE WHEN o.endpoint_name = 'order p /orders/<*>' THEN 300000000 END, boot, 0) AS kept FROM own o LEFT JOIN boot b USING (endpoint_name))"""
 STATS = "SELECT endpoint_service, endpoint_name, count(*) AS seen, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS excluded, quantile_cont(duration_ns, 0.5) FILTER (kept) AS p50, quantile_cont(duration_ns, 0.95) FILTER (kept) AS p95, quantile_cont(duration_ns, 0.99) FILTER (kept) AS p99 FROM kept GROUP BY 1, 2"
-add("A17_endpoint_stats", lambda s, d: B.endpoint_stats(kept(s, d)), f"WITH {KEPT} {STATS}", "fx_spans")
+ROUNDED = "round(p50, 3) AS p50, round(p95, 3) AS p95, round(p99, 3) AS p99"
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 3) for c in columns})
+
+
+add("A17_endpoint_stats", lambda s, d: rounded(B.endpoint_stats(kept(s, d)), "p50", "p95", "p99"), f"WITH {KEPT} SELECT endpoint_service, endpoint_name, seen, kept, excluded, {ROUNDED} FROM ({STATS})", "fx_spans")
 add(
     "A18_bootstrap_cap", lambda s, d: kept(s, d).groupBy("endpoint_service", "endpoint_name").agg(F.max("cap").alias("cap")),
     f"WITH {KEPT} SELECT endpoint_service, endpoint_name, max(coalesce(CASE WHEN k.endpoint_name = 'order p /orders/<*>' THEN 300000000 END, boot)) AS cap FROM kept k JOIN boot USING (endpoint_name) GROUP BY 1, 2", "fx_spans",
 )
 OPS = "ops AS (SELECT trace_id, service || ':' || name AS op, max(duration_ns) AS ns FROM fx_spans GROUP BY 1, 2)"
 add(
-    "A19_op_stats", lambda s, d: B.op_stats(kept(s, d)),
-    f"WITH {KEPT}, {OPS} SELECT endpoint_service, endpoint_name, op, count(*) AS present, quantile_cont(ns, 0.95) AS p95 FROM kept JOIN ops USING (trace_id) WHERE kept GROUP BY 1, 2, 3", "fx_spans",
+    "A19_op_stats", lambda s, d: rounded(B.op_stats(kept(s, d)), "p95"),
+    f"WITH {KEPT}, {OPS} SELECT endpoint_service, endpoint_name, op, count(*) AS present, round(quantile_cont(ns, 0.95), 3) AS p95 FROM kept JOIN ops USING (trace_id) WHERE kept GROUP BY 1, 2, 3", "fx_spans",
 )
 STAT = f"stat AS ({STATS})"
 PREVIOUS = [("frontend", "order o /orders/<*>", 80, 2e8, 3e8, 4e8), ("frontend", "order p /orders/<*>", 10, 2e8, 3e8, 4e8), ("frontend", "order f /orders/<*>", 60, 2e8, 3e8, float("nan"))]
@@ -284,9 +285,7 @@ add("A29_critical_spans", lambda s, d: C.critical_path(spans(s, d), skew_ns=0).s
 
 # log templates
 
-PLAIN_TOKENS = f"list_transform(list_filter(string_split_regex(body, '[ \\t\\n\\f\\r]+'), lambda t: t <> ''), lambda t: CASE WHEN contains({MASK.format('t')}, '<*>') THEN '<*>' ELSE t END)"
-TOKENS = PLAIN_TOKENS
-STATUS_TOKENS = f"CASE WHEN body LIKE 'GET %' THEN regexp_replace({MASK.format('body')}, '.*', 'GET <*> <*> ') || string_split(body, ' ')[4] || ' ok' ELSE array_to_string({TOKENS}, ' ') END"
+TOKENS = f"list_transform(list_filter(string_split_regex(body, '[ \\t\\n\\f\\r]+'), lambda t: t <> ''), lambda t: CASE WHEN contains({MASK.format('t')}, '<*>') THEN '<*>' ELSE t END)"
 add(
     "L1_log_tokens", lambda s, d: logs(s, d).where("body not like 'GET %'").select("log_id", F.array_join(T.log_tokens(F.col("body")), " ").alias("tokens")),
     f"SELECT log_id, array_to_string({TOKENS}, ' ') AS tokens FROM fx_logs WHERE body NOT LIKE 'GET %'", "fx_logs",

@@ -11,16 +11,16 @@ from obsflow.operators import tables as M
 from obsflow.operators import traces as A
 from obsflow.plans import dashboards as U
 from obsflow.plans import read_queries as Q
-from obsflow.plans.registry import MINUTE, S, add
+from obsflow.plans.registry import MINUTE, ROUNDED, S, add, rounded
 from obsflow.sources import metrics
 from obsflow.sources.fixtures import LOG_END, SPAN_END, logs, spans, view
 
 RULES = D.Rules(min_count=5)
 LOGS = Q.Range(LOG_END - 3600, LOG_END)
-SPANS = Q.Range(SPAN_END - 12000, SPAN_END)
+SPANS = Q.Range(SPAN_END - 15000, SPAN_END)
 LOG_DAY = Q.Range(LOG_END - 86400, LOG_END)
 SPIKE, BASE = (LOG_END - 300) * S, (LOG_END - 3900) * S
-STEP = Q.Range(SPAN_END - 12000, SPAN_END).bucket_s()
+STEP = SPANS.bucket_s()
 LOG_STEP, DAY_STEP = LOGS.bucket_s(), LOG_DAY.bucket_s()
 
 
@@ -226,10 +226,10 @@ SERVED = "kind IN ('server', 'consumer')"
 IN_START = f"start_ns >= {SPANS.start * S} AND start_ns < {SPANS.end * S}"
 MINUTE_END = SPAN_END - SPAN_END % 60
 add(
-    "Q12_service_graph", lambda s, d: Q.service_nodes(spans(s, d), SPANS),
+    "Q12_service_graph", lambda s, d: rounded(Q.service_nodes(spans(s, d), SPANS), "p99", "base_p99"),
     f"""WITH n AS (SELECT service, count(*) AS calls, count(*) FILTER (status = 'error') AS errors, quantile_cont(duration_ns, 0.99) AS p99 FROM fx_spans WHERE {SERVED} AND {IN_START} GROUP BY 1),
       b AS (SELECT service, quantile_cont(duration_ns, 0.99) AS base_p99 FROM fx_spans WHERE {SERVED} AND start_ns >= {(MINUTE_END - 86400) * S} AND start_ns < {MINUTE_END * S} GROUP BY 1)
-      SELECT n.*, base_p99, CASE WHEN errors * 100 >= calls THEN 'error' WHEN p99 > greatest(base_p99 * 1.5, base_p99 + 100000000) THEN 'slow' ELSE 'ok' END AS health FROM n LEFT JOIN b USING (service)""", "fx_spans",
+      SELECT service, calls, errors, round(p99, 3) AS p99, round(base_p99, 3) AS base_p99, CASE WHEN errors * 100 >= calls THEN 'error' WHEN p99 > greatest(base_p99 * 1.5, base_p99 + 100000000) THEN 'slow' ELSE 'ok' END AS health FROM n LEFT JOIN b USING (service)""", "fx_spans",
 )
 add(
     "Q13_overview", lambda s, d: Q.overview(story_rows(s, d), known(s, d), spans(s, d), SPANS),
@@ -244,8 +244,8 @@ add(
 add("Q15_touched", lambda s, d: Q.touched(M.latest(summaries(s, d), ["trace_id"], "span_count"), spans(s, d), "svc5").select("trace_id"), "SELECT DISTINCT trace_id FROM fx_spans WHERE service = 'svc5' AND trace_id IN (SELECT trace_id FROM fx_summaries)", "fx_summaries")
 add("Q16_services", lambda s, d: Q.services(spans(s, d), SPAN_END), f"SELECT DISTINCT service FROM fx_spans WHERE start_ns >= {(SPAN_END - 86400) * S} AND start_ns < {SPAN_END * S}", "fx_spans")
 add(
-    "Q17_service_red", lambda s, d: Q.service_red(spans(s, d), "svc2", SPANS),
-    f"SELECT {bucket_sql(STEP, 'start_ns')} AS bucket, count(*) AS calls, count(*) FILTER (status = 'error') AS errors, quantile_cont(duration_ns, 0.5) AS p50, quantile_cont(duration_ns, 0.95) AS p95, quantile_cont(duration_ns, 0.99) AS p99 FROM fx_spans WHERE service = 'svc2' AND {SERVED} AND {IN_START} GROUP BY 1", "fx_spans",
+    "Q17_service_red", lambda s, d: rounded(Q.service_red(spans(s, d), "svc2", SPANS), "p50", "p95", "p99"),
+    f"SELECT bucket, calls, errors, {ROUNDED} FROM (SELECT {bucket_sql(STEP, 'start_ns')} AS bucket, count(*) AS calls, count(*) FILTER (status = 'error') AS errors, quantile_cont(duration_ns, 0.5) AS p50, quantile_cont(duration_ns, 0.95) AS p95, quantile_cont(duration_ns, 0.99) AS p99 FROM fx_spans WHERE service = 'svc2' AND {SERVED} AND {IN_START} GROUP BY 1)", "fx_spans",
 )
 add(
     "Q18_search", lambda s, d: Q.search(spans(s, d), templates(s, d), story_rows(s, d), "SVC"),
