@@ -1,0 +1,30 @@
+"""Stories of traces that failed nowhere but took longer than their endpoint's slow limit."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from obsflow.operators.baselines import KEYS, Thresholds, slow_traces
+from obsflow.operators.critical_path import critical_path, self_times
+from obsflow.operators.traces import error_flags, story_fingerprint, trace_summaries
+
+
+def _ms(ns: Column) -> Column:
+    return F.format_string("%.1f", ns.cast("double") / 1_000_000)
+
+
+def slow_stories(spans: DataFrame, logs: DataFrame, baselines: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """One row per slow trace; the cause is the span with the largest share of the critical path. Only slow traces are walked."""
+    summaries = trace_summaries(error_flags(spans, logs))
+    slow = slow_traces(summaries, baselines, t).select("trace_id", "ts_ns", "duration_ns", *KEYS, "p99", "span_count")
+    own = spans.join(slow.select("trace_id"), "trace_id", "left_semi")
+    top = self_times(critical_path(own)).where(F.col("rank") == 1).drop("rank")
+    cause = own.select("trace_id", "span_id", F.col("service").alias("cause_service"), F.col("name").alias("cause_name"))
+    told = slow.join(top, "trace_id").join(cause, ["trace_id", "span_id"]).withColumns({"kind": F.lit("slow"), "message": F.lit("slow")})
+    took = F.concat("endpoint_service", F.lit(" "), "endpoint_name", F.lit(" took "), _ms(F.col("duration_ns")), F.lit(" ms (p99 "), _ms(F.col("p99")), F.lit(" ms)"))
+    where = F.concat(F.lit("; most time in "), "cause_service", F.lit(" "), "cause_name", F.lit(" ("), _ms(F.col("self_time_ns")), F.lit(" ms on the critical path)"))
+    return told.select(
+        F.col("trace_id").alias("story_id"), "trace_id", "kind", "ts_ns", "duration_ns", *KEYS, F.col("span_id").alias("cause_id"), "cause_service", "cause_name", "message", F.concat(took, where).alias("summary"),
+        "span_count", story_fingerprint("kind", "endpoint_service", "endpoint_name", "cause_service", "cause_name", "message").alias("fingerprint"),
+    )

@@ -16,6 +16,7 @@ from obsflow.operators import mining as L
 from obsflow.operators import tables as M
 from obsflow.operators import traces as A
 from obsflow.plans import read_queries as Q
+from obsflow.operators.slow_stories import slow_stories
 from obsflow.sources.fixtures import LOG_END, SPAN_END, logs, spans, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,6 +269,7 @@ add(
         coalesce(array_to_string(list(op ORDER BY op) FILTER (coalesce(presence, 0) >= 0.01 AND ns > greatest(p95 * 2, p95 + 50000000)), ','), '') AS slower_ops FROM x GROUP BY 1""", "fx_spans",
 )
 add("A25_error_stories", lambda s, d: A.error_stories(spans(s, d), logs(s, d)).select("story_id", "kind", "cause_id", "message", "summary", "fingerprint", F.array_join("path_services", ">").alias("path"), F.array_join("path_spans", ">").alias("path_spans"), F.size("logs").alias("n_logs"), F.array_join("flags", ",").alias("flags")))
+add("A25_slow_stories", lambda s, d: slow_stories(spans(s, d), logs(s, d), B.baselines_from_summaries(A.trace_summaries(flagged(s, d))).withColumn("p99", F.col("p50"))).select("story_id", "cause_id", "summary", "fingerprint"))
 MASK = "regexp_replace(regexp_replace(regexp_replace({0}, '\\b[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}\\b', '<*>', 'g'), '\\b(?:0x)?[0-9a-fA-F]{{8,}}\\b', '<*>', 'g'), '\\d+(?:\\.\\d+)?', '<*>', 'g')"
 add("A26_mask", lambda s, d: logs(s, d).select("log_id", T.mask(F.col("body")).alias("masked")), f"SELECT log_id, {MASK.format('body')} AS masked FROM fx_logs", "fx_logs")
 add(

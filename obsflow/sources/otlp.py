@@ -28,7 +28,8 @@ def _number(value: Column) -> Column:
     """A double without exponent, and without a fraction where there is none."""
     plain = F.regexp_replace(F.regexp_replace(F.format_string("%.17f", value), "0+$", ""), r"\.$", "")
     whole = (value == F.floor(value)) & (F.abs(value) < 9e15)
-    return F.when(whole, F.floor(value).cast("string")).otherwise(F.when(F.abs(value).between(1e-3, 1e7), value.cast("string")).otherwise(plain))
+    short = F.when(F.abs(value).between(1e-3, 1e7), value.cast("string")).otherwise(plain)
+    return F.when(value.isNotNull(), F.when(whole, F.floor(value).cast("string")).otherwise(short))
 
 
 def _leaf(v: Column) -> Column:

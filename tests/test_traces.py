@@ -129,3 +129,13 @@ def test_latest_and_dedup(spark):
     spans = frame(spark, span("1", "", 5, 3), span("1", "", 9, 10), span("", "", 1, 2), span("", "", 1, 2))
     once = dedup_spans(spans, "start_ns").collect()
     assert len(once) == 3 and all(r.end_ns >= r.start_ns for r in once)
+
+
+def test_slow_story_blames_the_longest_part(spark):
+    from obsflow.operators.slow_stories import slow_stories
+
+    spans = frame(spark, span("1", "", 0, 900, "web", name="GET /x"), span("2", "1", 100, 850, "db", name="query"), span("9", "", 0, 100, "web", name="GET /x", trace="quick"))
+    baselines = spark.createDataFrame([("web", "GET /x", 60, 1e8, 1e8, 2e8)], "endpoint_service string, endpoint_name string, traces long, p50 double, p95 double, p99 double")
+    (story,) = slow_stories(spans, no_logs(spark), baselines).collect()
+    assert (story.trace_id, story.cause_id) == ("t", "2")
+    assert story.summary == "web GET /x took 900.0 ms (p99 200.0 ms); most time in db query (750.0 ms on the critical path)"
