@@ -10,8 +10,8 @@ the first of them, so suffixes are compared on their first `length` bytes and th
 2. Dictionary. Occurrences are grouped by trigger and sorted by phrase and document. A phrase that a smaller document
    has too settles all of its strings at once, which is what makes highly repetitive text cheap. A trigger with one
    phrase only can hold no other match. What is left are triggers with several phrases, each in its first document.
-3. Dictionary suffixes. The strings of those phrases are sorted by content, and each gets the smallest document that
-   holds it.
+3. Dictionary suffixes. The strings whose own trigger is of that kind are sorted by content and document; a string
+   that a smaller document has is marked.
 4. Combination. Both kinds of marks go back to their documents and the union of the marked strings is removed.
 
 All hashes are taken over content by one prefix sum per document, have 64 bits, and are compared within a trigger.
@@ -177,7 +177,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_strings(shape: Shape):  # noqa: ANN202
-    """From texts with their marks: (w, d, pos) for each string of an open phrase that no settled phrase covers."""
+    """From texts with their marks: (w, d, pos) for each string whose own trigger is open and that no settled phrase covers.
+
+    A string's own trigger has the smallest rolling hash in it, so it is at the same place wherever the string occurs.
+    If it is neither open nor settled, the string occurs again only in that trigger's phrase, and is settled there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of_rows(batches, "text", BLOCK):
@@ -188,8 +192,13 @@ def _open_strings(shape: Shape):  # noqa: ANN202
                     continue
                 hashes = Hashes(data)
                 at, settled = _checked(hashes, len(data), batch, k, shape)
-                covered = _starts(at[settled], len(data), shape)
-                start = np.flatnonzero(_starts(at[~settled], len(data), shape) & ~covered)
+                if settled.all():
+                    continue
+                rolled = hashes.rolling(shape.trigger)
+                opened = np.full_like(rolled, np.iinfo(np.uint64).max)
+                opened[at[~settled]] = rolled[at[~settled]]
+                own = _slide(opened, shape.reach + 1, np.minimum) == _slide(rolled, shape.reach + 1, np.minimum)
+                start = np.flatnonzero(own & ~_starts(at[settled], len(data), shape)[: len(own)])
                 hs.append(hashes.of(start, start + shape.length).view(np.int64))
                 ds.append(np.full(len(start), batch.column("d")[k].as_py()))
                 ps.append(start.astype(np.int32))
@@ -199,6 +208,21 @@ def _open_strings(shape: Shape):  # noqa: ANN202
     return run
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From strings sorted by (w, d): those that a smaller document has. Only the last string and its first document are carried."""
+    last_w = first_d = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        w, d = batch.column("w").to_numpy(), batch.column("d").to_numpy()
+        new = np.concatenate([[last_w is None or w[0] != last_w], w[1:] != w[:-1]])
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
+        first = np.where(begin >= 0, d[np.maximum(begin, 0)], first_d if first_d is not None else 0)
+        last_w, first_d = w[-1], first[-1]
+        again = pa.array(d > first)
+        yield batch.filter(again)
+
+
 def _checked(hashes: Hashes, n: int, batch: pa.RecordBatch, k: int, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """A document's phrase marks that hold in this text (rows may share a doc_id), and which are settled."""
     marks = batch.column("marks")[k].values
@@ -279,10 +303,9 @@ def repeated_strings(docs: DataFrame, shape: Shape = Shape(), keep: list[str] |
     plain = only(docs, doc_id="long", text="string").select(d, "text")
     parsed = occurrences(plain, shape).repartition("g").sortWithinPartitions("g", "c", "d")
     marks = stored(parsed.mapInArrow(_settle, "d long, pos int, c long, settled boolean"), "marks")
-    of_doc = marks.groupBy("d").agg(F.collect_list(F.struct("pos", "c", "settled")).alias("marks"))
-    strings = stored(plain.join(of_doc, "d").mapInArrow(_open_strings(shape), "w long, d long, pos int"), "strings")
-    first = strings.groupBy("w").agg(F.min("d").alias("m"), F.max("d").alias("x")).where("m < x").select("w", "m")
-    found = strings.join(first, "w").where("d > m")
+    of_doc = marks.join(marks.where("not settled").select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.collect_list(F.struct("pos", "c", "settled")).alias("marks"))
+    strings = plain.join(of_doc, "d").mapInArrow(_open_strings(shape), "w long, d long, pos int")
+    found = stored(strings.repartition("w").sortWithinPartitions("w", "d").mapInArrow(_later, "w long, d long, pos int"), "strings")
     of_strings = found.groupBy("d").agg(F.collect_list(F.struct("pos", "w")).alias("strings"))
     settled = marks.where("settled").groupBy("d").agg(F.collect_list(F.struct("pos", "c", "settled")).alias("marks"))
     both = stored(settled.join(of_strings, "d", "full_outer"), "spans")
