@@ -37,7 +37,7 @@ BLOCK = 1 << 20
 @dataclass(frozen=True)
 class Shape:
     length: int = 50
-    trigger: int = 20
+    trigger: int = 24
 
     @property
     def reach(self) -> int:
@@ -123,13 +123,22 @@ def triggers(data: np.ndarray, ends: np.ndarray, shape: Shape) -> Iterator[tuple
 
 
 def occurrences(docs: DataFrame, shape: Shape) -> DataFrame:
-    """The parse: (g, c, d, pos) for each trigger: its hash, its phrase's hash, the document and the place."""
+    """The parse: (g, c, d, pos) for each phrase of a document: its trigger's hash, its own, the document and the place.
+
+    A phrase that a document repeats is named once, at its first place, as -1 - place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of_rows(batches, "text", BLOCK):
             data, ends = text_bytes(batch.column("text"))
             ids = batch.column("d").to_numpy(zero_copy_only=False)
             for document, place, g, c in triggers(data, ends, shape):
+                order = np.lexsort((place, c, document))
+                document, place, g, c = document[order], place[order], g[order], c[order]
+                first = np.flatnonzero(np.concatenate([[True], (document[1:] != document[:-1]) | (c[1:] != c[:-1])])[: len(order)])
+                again = np.diff(first, append=len(order)) > 1
+                document, g, c = document[first], g[first], c[first]
+                place = np.where(again, -1 - place[first], place[first])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[document]), pa.array(place.astype(np.int32))], ["g", "c", "d", "pos"]
                 )
@@ -229,10 +238,22 @@ def _checked(hashes: Hashes, n: int, batch: pa.RecordBatch, k: int, shape: Shape
     if marks is None:
         return np.zeros(0, np.int64), np.zeros(0, bool)
     at, c, settled = marks.field("pos").to_numpy().astype(np.int64), marks.field("c").to_numpy(), marks.field("settled").to_numpy(zero_copy_only=False)
+    again, at = at < 0, np.where(at < 0, -1 - at, at)
+    phrase = lambda p: _phrase_hash(hashes, p, np.zeros_like(p), np.full_like(p, n), shape).view(np.int64)
     inside = at + shape.trigger <= n
-    at, c, settled = at[inside], c[inside], settled[inside]
-    same = _phrase_hash(hashes, at, np.zeros_like(at), np.full_like(at, n), shape).view(np.int64) == c
-    return at[same], settled[same]
+    at, c, settled, again = at[inside], c[inside], settled[inside], again[inside]
+    same = phrase(at) == c
+    at, c, settled, again = at[same], c[same], settled[same], again[same]
+    if again.any():  # equal phrases have equal triggers, and are phrases wherever they stand
+        rolled = hashes.rolling(shape.trigger)
+        places = np.flatnonzero(np.isin(rolled, rolled[at[again]]))
+        order = np.argsort(c[again])
+        known, kinds = c[again][order], settled[again][order]
+        found = phrase(places)
+        k = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        hit = known[k] == found
+        at, settled = np.concatenate([at[~again], places[hit]]), np.concatenate([settled[~again], kinds[k[hit]]])
+    return at, settled
 
 
 def _starts(at: np.ndarray, n: int, shape: Shape) -> np.ndarray:
