@@ -51,6 +51,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that stored() made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns alone, in the types the operators work with; other columns cannot clash then."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))
