@@ -15,7 +15,8 @@ class WordTokenizer:
 
     The public BPE files split a text into pieces that never cross from a non-space to a space, so a text whose
     white space is single spaces and line ends may be encoded word by word. Each word with the space before it is
-    encoded once, many words to a call, and looked up from then on. Any other text goes to the library whole.
+    encoded once, many words to a call, and looked up from then on. Any other text goes to the library whole, and so does
+    one that holds the content of an added token (such as <|endoftext|>, which the library gives its one id), in any case.
     """
 
     def __init__(self, path: str, keep: int = 700_000):
@@ -23,7 +24,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        self._added = [t.content.lower() for t in self._library.get_added_tokens_decoder().values()]
         vocabulary = self._library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self._lower = any(k.endswith("</w>") for k in vocabulary)
@@ -42,9 +43,9 @@ class WordTokenizer:
     def _whole(self, text: str) -> list[int]:
         return self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    @staticmethod
-    def _plain(text: str) -> bool:
-        return bool(text) and not (
+    def _plain(self, text: str) -> bool:
+        low = text.lower()
+        return bool(text) and not any(a in low for a in self._added) and not (
             "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _OTHER_SPACE.search(text)
         )
 
