@@ -101,19 +101,35 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         near = near.where(difference <= radius)
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) <= radius).select(F.col("fp").alias("a"), F.col("fp_").alias("b"))
     many = sized.where(F.col("count") > CELL).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k).cast("long") for k in range(64)))
-    named = many.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("value"))
+    named = _named(many)
     first = named.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
     star = named.join(first, "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return near.unionByName(star).distinct()
 
 
+def _named(fps: DataFrame) -> DataFrame:
+    """fp and each value that lies within one bit of it."""
+    flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k).cast("long") for k in range(64)))
+    return fps.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("value"))
+
+
+def degrees(linked: DataFrame) -> DataFrame:
+    """fp and n_links, the number of other fingerprints within two bits, for each fingerprint of links (a, b).
+
+    Two fingerprints one or two bits apart name exactly two common values, others none, and at most 65 name a value:
+    the count needs no pairs. A fingerprint without links has no other within two bits, so links hold all that count.
+    """
+    named = _named(linked.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    sharers = named.groupBy("value").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    return named.join(sharers, "value").groupBy("fp").agg(F.expr("sum(others) div 2").alias("n_links"))
+
+
 def _marked(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     found = stored(fingerprints(only(docs, doc_id="long", text="string"), shingle), "fingerprints")
     distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     linked = stored(links(distinct.select("fp"), radius), "links")
     roots = components(linked)
-    degree = linked.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    degree = degrees(linked)
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = labelled.join(named, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -121,7 +137,7 @@ def _marked(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id and n_links (distinct fingerprints linked to) for each row of docs.
+    """doc_id, fingerprint (16 hex digits), component_id and n_links (distinct fingerprints within the radius) for each row of docs.
 
     A text without words has fingerprint zero and links like any other. Rows with a null doc_id get a component but
     never name one; a component of such rows alone is null. Equal texts share a fingerprint and so a component, as do
