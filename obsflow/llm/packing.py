@@ -188,8 +188,8 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode
-        for batch in groups_of_rows(batches, "text"):
-            ids, lengths = encode(batch.column("text").to_pylist())
+        for batch in groups_of_rows(batches, "text", 8 << 20):
+            ids, lengths = encode(batch.column("text"))
             ends = np.cumsum(lengths)
             ids = np.insert(ids, ends, end).astype("<u4")
             rows: list[tuple[int, int, int, int, int]] = []

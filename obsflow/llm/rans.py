@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm.common import groups_of_rows, only, shared_dir, stored
+from obsflow.llm.common import discard, groups_of_rows, only, shared_dir, stored
 from obsflow.llm.tokens import tokenizer
 
 MAGIC = b"RAN1"
@@ -136,8 +136,8 @@ def sorted_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row, before = tokenizer(path).encode, TaskContext.get().partitionId(), 0, 0
-        for batch in groups_of_rows(batches, "text"):
-            ids, lengths = encode(batch.column("text").to_pylist())
+        for batch in groups_of_rows(batches, "text", 8 << 20):
+            ids, lengths = encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(lengths), end).astype("<u4")
             ends = np.concatenate([[0], np.cumsum(lengths + 1)]) * 4
             packed = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
@@ -148,7 +148,7 @@ def sorted_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
             row += batch.num_rows
             before += len(ids)
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(run, "part int, row long, before long, doc_id long, n_tokens long, ids binary")
 
 
@@ -172,7 +172,7 @@ def id_counts(ids: DataFrame, size: int) -> np.ndarray:
 
 
 def write(docs: DataFrame, path: str, end: int, to: str) -> None:
-    """The ids of all texts as a table of blocks at to/blocks and the frequencies at to/counts.
+    """The ids of all texts as a table of blocks at to/blocks, whose files and rows follow the ids, and the frequencies at to/counts.
 
     A null or empty text has the end id alone; equal doc_ids and repeated rows keep a row each; an empty table gives
     a table without blocks. Columns besides doc_id and text are not read.
@@ -202,11 +202,14 @@ def write(docs: DataFrame, path: str, end: int, to: str) -> None:
                 lengths = own.column("n_tokens").to_numpy(zero_copy_only=False)
                 block = to_block(own.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), missing, lengths, flat, table)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([starts[int(part[a])] + own.column("before")[0].as_py()]), pa.array([len(flat)]), pa.array([block], pa.binary())],
-                    ["start", "n_tokens", "block"],
+                    [pa.array([int(part[a])], pa.int32()), pa.array([starts[int(part[a])] + own.column("before")[0].as_py()]), pa.array([len(flat)]), pa.array([block], pa.binary())],
+                    ["part", "start", "n_tokens", "block"],
                 )
 
-    ids.mapInArrow(run, "start long, n_tokens long, block binary").write.option("compression", "none").parquet(f"{to}/blocks")
+    blocks = ids.mapInArrow(run, "part int, start long, n_tokens long, block binary")
+    in_order = blocks.repartitionById(len(sizes) and sizes[-1][0] + 1 or 1, "part").sortWithinPartitions("start").drop("part")
+    in_order.write.option("compression", "none").parquet(f"{to}/blocks")
+    discard(ids)
 
 
 def read(spark: SparkSession, at: str) -> DataFrame:

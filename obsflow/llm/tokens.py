@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_OTHER_SPACE = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: White space besides the space and the line end, and the null character, for a regular expression class (fixed values of Unicode).
+_OTHER_SPACE = r"\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: A word that ends in a letter and ASCII marks behind it.
+_MARKED = re.compile(r"(.*[A-Za-zÀ-ɏ])([!-/:-@\[-`{-~]+)", re.S)
 
 
 class WordTokenizer:
@@ -19,12 +25,13 @@ class WordTokenizer:
     one that holds the content of an added token (such as <|endoftext|>, which the library gives its one id), in any case.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._added = [t.content.lower() for t in self._library.get_added_tokens_decoder().values()]
+        added = "|".join("(?i:" + re.escape(t.content) + ")" for t in self._library.get_added_tokens_decoder().values())
+        self._uneven = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[" + _OTHER_SPACE + "]" + ("|" + added if added else "")
         vocabulary = self._library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self._lower = any(k.endswith("</w>") for k in vocabulary)
@@ -32,23 +39,17 @@ class WordTokenizer:
         for word, i in vocabulary.items():
             self._bytes[i] = len(word.removesuffix("</w>") if self._lower else word)
         self._keep = keep
-        self._marks = {mark: self._whole(mark)[0] for mark in ".,"}
+        self._marks: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
         self._index: dict[str, int] = {}
         self._start, self._length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self._ids, self._used = np.zeros(1 << 18, np.int64), 0
+        self._ids, self._used = np.zeros(1 << 18, np.uint32), 0
 
     def _whole(self, text: str) -> list[int]:
         return self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _plain(self, text: str) -> bool:
-        low = text.lower()
-        return bool(text) and not any(a in low for a in self._added) and not (
-            "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _OTHER_SPACE.search(text)
-        )
-
     def _form(self, word: str) -> str:
         """The word as it is given to the library: after a space, or after a line end if it starts one or the text."""
         return word if word[0] == "\n" else "\n" + word[1:] if word[0] == "\x00" else " " + word
@@ -86,48 +87,73 @@ class WordTokenizer:
         self._ids[used : used + len(ids)] = ids
         self._start[k : k + len(words)], self._length[k : k + len(words)] = used + np.cumsum(n) - n, n
         self._used += len(ids)
-        self._index.update(zip(words, range(k, k + len(words))))
+        self._index.update(zip(words, range(k, k + len(words)), strict=True))
 
     def _ids_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self._length[at]
         ends = np.cumsum(n)
         return self._ids[np.repeat(self._start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self._index) + len(new) > self._keep:
-            self._forget()
-        # a word and the full stop or comma behind it are pieces of their own
-        marked = [w for w in new if w[-1] in ".," and len(w) > 2 and w[-2].isalpha() and w[-2] < "ɐ"]
-        stems = {w[:-1] for w in marked}
-        whole = [w for w in new.difference(marked) | stems if w not in self._index]
+    def _places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self._index.get, words, repeat(-1)), np.int64, len(words))
+
+    def _learn(self, new: list[str]) -> None:
+        # marks behind a letter are a piece of their own, so each stem is encoded once; a letter of two in lower case may end in a mark
+        marked, stems, behind, whole = [], [], [], []
+        for w in new:
+            match = _MARKED.fullmatch(w) if not w[-1].isalnum() else None
+            if match and len(match[1][-1].lower()) == 1:
+                marked.append(w)
+                stems.append(match[1])
+                behind.append(match[2])
+            else:
+                whole.append(w)
+        whole = list(dict.fromkeys([*whole, *(s for s in stems if s not in self._index)]))
         self._add(whole, *self._encode_words(whole))
         if marked:
-            ids, n = self._ids_at(np.fromiter((self._index[w[:-1]] for w in marked), np.int64, len(marked)))
-            marks = np.fromiter((self._marks[w[-1]] for w in marked), np.int64, len(marked))
-            self._add(marked, np.insert(ids, np.cumsum(n), marks), n + 1)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each has."""
-        split = []
-        for text in texts:
-            if text and self._plain(text):
-                split.append(("\x00" + text).replace("\n", " \n").split(" "))
-            else:
-                split.append(np.asarray(self._whole(text) if text else [], np.int64))
-        index = self._index
-        new = {w for part in split if isinstance(part, list) for w in part if w not in index}
-        if new:
-            if len(index) + len(new) > self._keep:
-                new = {w for part in split if isinstance(part, list) for w in part}
-            self._learn(new)
-            index = self._index
-        found, lengths = [], np.zeros(len(texts), np.int64)
-        for k, part in enumerate(split):
-            if isinstance(part, list):
-                part = self._ids_at(np.fromiter(map(index.__getitem__, part), np.int64, len(part)))[0]
-            found.append(part)
-            lengths[k] = len(part)
-        return (np.concatenate(found) if found else np.zeros(0, np.int64)), lengths
+            for mark in set(behind).difference(self._marks):
+                self._marks[mark] = self._whole(mark)
+            ids, n = self._ids_at(self._places(stems))
+            tails = [self._marks[m] for m in behind]
+            more = np.fromiter(map(len, tails), np.int64, len(tails))
+            self._add(marked, np.insert(ids, np.repeat(np.cumsum(n), more), [i for t in tails for i in t]), n + more)
+            if len(self._marks) > 100_000:
+                self._marks = {}
+
+    def _encode_even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of texts without other than single spaces and line ends, and without added tokens."""
+        marked = pc.binary_join_element_wise(pa.scalar("\x00", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type))
+        split = pc.split_pattern(marked, " ")
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.to_numpy(zero_copy_only=False)
+        at = self._places(words.tolist())
+        if (new := np.flatnonzero(at < 0)).size:
+            if len(self._index) + 2 * len(new) > self._keep:
+                self._forget()
+                new = np.arange(len(words))
+            missing = words[new].tolist()
+            self._learn(missing)
+            at[new] = self._places(missing)
+        ids, n = self._ids_at(at[found.indices.to_numpy()])
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        return ids, np.diff(np.cumsum(n)[ends - 1], prepend=0) if len(ends) else np.zeros(0, np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none) one after the other, and how many each has."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        uneven = pc.match_substring_regex(texts, self._uneven)
+        odd = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+        ids, lengths = self._encode_even(texts.filter(pc.invert(uneven)))
+        if not len(odd):
+            return ids, lengths
+        others = [np.asarray(self._whole(texts[k].as_py()), np.uint32) for k in odd.tolist()]
+        even = np.setdiff1d(np.arange(len(texts)), odd)
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for k, a, b in zip(even.tolist(), (np.cumsum(lengths) - lengths).tolist(), np.cumsum(lengths).tolist(), strict=True):
+            parts[k] = ids[a:b]
+        for k, own in zip(odd.tolist(), others, strict=True):
+            parts[k] = own
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 _made: dict[str, WordTokenizer] = {}
