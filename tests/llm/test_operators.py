@@ -150,21 +150,6 @@ def test_lbl_scores(docs, texts, empty):
     assert lbl.scored(empty).count() == 0
 
 
-def test_lbl_is_normalised_and_beats_chance():
-    draw = np.random.default_rng(0)
-    v = lbl.Vocabulary({}, np.zeros(1), np.zeros(1, np.int64), 1, 1, np.zeros(lbl.CLASSES), np.zeros(lbl.CLASSES), np.concatenate([np.full(20, 50), np.zeros(lbl.WORDS + 1 + lbl.CLASSES - 20)]))
-    units = np.cumsum(draw.integers(1, 3, 6000)) % 20  # the next unit is one of two
-    context = lbl.contexts(units, np.zeros(len(units), np.int64), v.end)
-    trainer = lbl.Trainer(lbl.Parameters.start(v), v, 1)
-    before = lbl.log_probabilities(trainer.p, context, units).mean()
-    for _ in range(60):
-        trainer.step(context, units)
-    assert lbl.log_probabilities(trainer.p, context, units).mean() > before + 0.2
-    every = np.arange(len(v.unit_tokens))
-    one = np.repeat(context[:, 7:8], len(every), axis=1)
-    assert abs((10 ** lbl.log_probabilities(trainer.p, one, every)).sum() - 1) < 1e-4
-
-
 def test_chunks_find_repeats_and_survive_shifts(docs, texts, empty):
     rows = chunks.repeated_passages(docs).collect()
     found = {r.doc_id for r in rows}
