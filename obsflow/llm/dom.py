@@ -6,17 +6,23 @@ import html
 import re
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[!?/][^>]*(?:>|$))", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# attributes by the rules of the HTML standard: a quote opens a value only right after an equals sign
+_PART = r"[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++)?+)?+"
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:{_PART})*+)>")
+_CUT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")  # a quoted value that never ends: the tag ends at its first >
+_OTHER = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?=[^a-zA-Z]))[^>]*+(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"[\s/]++|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?+)?+")
 _WORD = re.compile(r"[a-z]+")
 # fixed values of HTML
-RAW = frozenset(["script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "template"])
+RAW = frozenset(["script", "style", "title", "textarea", "iframe", "noembed", "noframes"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-UNSEEN = frozenset("head svg math object audio video canvas map select button datalist".split())
+# besides script, style and what is never shown: form controls; all else is left to the trees
+UNSEEN = frozenset("head template select button datalist".split())
+_NAMED = frozenset(["class", "id", "role", "itemprop", "aria-label"])
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "body": ("head",),
@@ -39,15 +45,13 @@ def attribute_tokens(attributes: str) -> tuple[str, ...]:
     """Words of class, id, role, itemprop and aria-label; the word hidden for what is not shown."""
     found: list[str] = []
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                found.append("hidden")
-        elif name == "hidden" or name == "aria-hidden":
-            if name == "hidden" or value == "true":
-                found.append("hidden")
-        else:
-            found += _WORD.findall(value)
+        name = name.lower()
+        if name in _NAMED:
+            found += _WORD.findall("".join(values).lower())
+        elif name == "hidden" or (name == "aria-hidden" and "true" in values):
+            found.append("hidden")
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", "".join(values).lower()):
+            found.append("hidden")
     return tuple(found)
 
 
@@ -76,20 +80,21 @@ def parse(source: str) -> Page:
         if found < 0:
             text(source[at:])
             break
-        match = _TOKEN.match(source, found)
+        text(source[at:found])
+        match = _TAG.match(source, found)
+        if not match:
+            other = _OTHER.match(source, found)
+            if other:
+                at = other.end()
+                continue
+            match = _CUT_TAG.match(source, found)
         if not match:
-            after = found + 1
             if re.match(r"</?[a-zA-Z]", source[found : found + 3]):  # a tag that the page's end cuts off
-                text(source[at:found])
                 break
-            text(source[at:after])
-            at = after
-            continue
-        text(source[at:found])
-        at = match.end()
-        name = match[2]
-        if not name or source[at - 1] != ">":
+            text("<")
+            at = found + 1
             continue
+        at, name = match.end(), match[2]
         name = name.lower()
         if match[1]:
             k = len(open_nodes) - 1

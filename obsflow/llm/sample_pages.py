@@ -89,6 +89,9 @@ class Maker:
             text = " ".join(self.sentence(1, 25) for _ in range(self.some(1, 8)))
             if self.chance(0.15):
                 text += f' <a href="/x">{self.sentence(1, 4)}</a> {self.sentence(2, 9)}'
+            if self.chance(0.12):
+                tag = self.pick(["math", "object", "noscript", "svg", "map", "canvas", "video", "audio", "em", "code", "span"])
+                text += f" <{tag}>{self.sentence(1, 6)}</{tag}> {self.sentence(1, 9)}"
             if self.chance(0.15):
                 return f"<p><b>{text}<br>"
             return f"<p>{text}</p>" if self.chance(0.9) else f"<div>{text}</div>"
@@ -114,6 +117,8 @@ class Maker:
         tag = str(self.pick(["article", "article", "main", "div", "div", "section"]))
         attributes = self.attributes("content") if tag != "div" else f' class="{self.pick(NAMES["content"].split())}"'
         article = f"<{tag}{attributes}>{''.join(body)}</{tag}>"
+        if self.chance(0.05):
+            article = f"<noscript><p>{self.sentence(4, 14, UNWANTED)}</p></noscript>" + article
         before = [self.unwanted(p) for p in ("notice", "header", "nav", "ad", "form") if self.chance(0.5)]
         after = [self.unwanted(p) for p in ("share", "aside", "comments", "ad", "nav", "form", "footer", "notice") if self.chance(0.35)]
         self.random.shuffle(before)
