@@ -138,10 +138,10 @@ def examples(lines: list[str], seed: int = 9) -> list[tuple[str, float, bool]]:
 
     def variants(text: str, label: int) -> None:
         tokens = text.split()
-        for k in range(14):
+        for k in range(14 if len(tokens) < 25 else 36):
             part = list(tokens)
             if k % 3 == 1 and len(part) > 4:
-                cut = draw.randint(0, max(1, len(part) // 3))
+                cut = draw.randint(0, max(1, len(part) * 2 // 3))
                 part = part[cut:] if draw.random() < 0.5 else part[: len(part) - cut]
             if k % 3 == 2 and len(part) > 4:
                 part.pop(draw.randrange(len(part)))
