@@ -15,6 +15,10 @@ the first of them, so suffixes are compared on their first `length` bytes and th
 4. Combination. Both kinds of marks go back to their documents and the union of the marked strings is removed.
 
 All hashes are taken over content by one prefix sum per document, have 64 bits, and are compared within a trigger.
+
+A phrase or string that a smaller document of the same task has is known to be repeated before anything is shuffled;
+it travels under a key of its own instead of its trigger's, so a passage that stands in a third of all documents sends
+its trigger's group about one row for each task.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsflow.llm.common import groups_of_rows, only, stored, text_bytes
+from obsflow.llm.common import discard, groups_of_rows, only, stored, text_bytes
 
 LAST = (1 << 63) - 1
 BLOCK = 1 << 20
+#: Phrases and strings that a task keeps in mind to settle later documents at once; what it forgets is settled after the shuffle.
+KNOWN = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -122,28 +128,62 @@ def triggers(data: np.ndarray, ends: np.ndarray, shape: Shape) -> Iterator[tuple
         yield document, at + low - starts[document], rolled[at], phrase
 
 
+class Seen:
+    """The smallest document so far of contents that several documents of a task have."""
+
+    def __init__(self) -> None:
+        self._c, self._d = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def later(self, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Which of these contents a smaller document of the task is known to have."""
+        order = np.lexsort((d, c))
+        first = np.flatnonzero(np.concatenate([[True], c[order][1:] != c[order][:-1]])[: len(c)])
+        least = np.empty(len(c), np.int64)
+        least[order] = np.repeat(d[order][first], np.diff(first, append=len(c)))
+        if len(self._c):
+            k = np.minimum(np.searchsorted(self._c, c), len(self._c) - 1)
+            least = np.where(self._c[k] == c, np.minimum(least, self._d[k]), least)
+        out = d > least
+        if out.any():
+            both, smallest = np.concatenate([c[out], self._c]), np.concatenate([least[out], self._d])
+            self._c, at = np.unique(both, return_index=True)  # the newest entry of a content holds the least document
+            self._d = smallest[at]
+            if len(self._c) > KNOWN:
+                newest = np.sort(np.argsort(at, kind="stable")[:KNOWN])
+                self._c, self._d = self._c[newest], self._d[newest]
+        return out
+
+
+def _spread(key: np.ndarray, c: np.ndarray, d: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """The key, or one that differs from document to document where the row is settled already."""
+    mixed = (c.view(np.uint64) ^ (d.view(np.uint64) * np.uint64(_BASE))) >> np.uint64(20)
+    return np.where(here, mixed.view(np.int64), key)
+
+
 def occurrences(docs: DataFrame, shape: Shape) -> DataFrame:
-    """The parse: (g, c, d, pos) for each phrase of a document: its trigger's hash, its own, the document and the place.
+    """The parse: (g, c, d, r, mark) for each phrase of a document: its trigger's hash, its own, the document and the place.
 
-    A phrase that a document repeats is named once, at its first place, as -1 - place.
+    A phrase that a document repeats is named once, at its first place. mark is 4 * place, + 2 for such a phrase, + 1 for
+    one that a smaller document of the task has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in groups_of_rows(batches, "text", BLOCK):
             data, ends = text_bytes(batch.column("text"))
-            ids = batch.column("d").to_numpy(zero_copy_only=False)
+            ids, rows = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("d", "r"))
             for document, place, g, c in triggers(data, ends, shape):
                 order = np.lexsort((place, c, document))
                 document, place, g, c = document[order], place[order], g[order], c[order]
                 first = np.flatnonzero(np.concatenate([[True], (document[1:] != document[:-1]) | (c[1:] != c[:-1])])[: len(order)])
                 again = np.diff(first, append=len(order)) > 1
                 document, g, c = document[first], g[first], c[first]
-                place = np.where(again, -1 - place[first], place[first])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[document]), pa.array(place.astype(np.int32))], ["g", "c", "d", "pos"]
-                )
+                c, d = c.view(np.int64), ids[document]
+                here = seen.later(c, d)
+                key = _spread((g >> np.uint64(20)).view(np.int64), c, d, here)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, c, d, rows[document], 4 * place[first] + 2 * again + here)], ["g", "c", "d", "r", "mark"])
 
-    return docs.mapInArrow(run, "g long, c long, d long, pos int")
+    return docs.mapInArrow(run, "g long, c long, d long, r long, mark long")
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,13 +193,18 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last_g = last_c = first_d = None
     runs, pending = 0, []
 
-    def rows(d: np.ndarray, pos: np.ndarray, c: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(pos), pa.array(c), pa.array(settled)], ["d", "pos", "c", "settled"])
+    def rows(d: np.ndarray, r: np.ndarray, mark: np.ndarray, c: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
+        pos = np.where(mark & 2, -1 - (mark >> 2), mark >> 2).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d, r, pos, c, settled)], ["d", "r", "pos", "c", "settled"])
 
     for batch in batches:
-        if not batch.num_rows:
+        g, c, d, r, mark = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("g", "c", "d", "r", "mark"))
+        here = (mark & 1).astype(bool)
+        if here.any():
+            yield rows(d[here], r[here], mark[here], c[here], here[here])
+            g, c, d, r, mark = (x[~here] for x in (g, c, d, r, mark))
+        if not len(g):
             continue
-        g, c, d, pos = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("g", "c", "d", "pos"))
         n = len(g)
         new_g = np.concatenate([[last_g is None or g[0] != last_g], g[1:] != g[:-1]])
         new_c = new_g | np.concatenate([[last_c is None or c[0] != last_c], c[1:] != c[:-1]])
@@ -178,23 +223,24 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pending = []
         take = settled | is_open
         if take.any():
-            yield rows(d[take], pos[take], c[take], settled[take])
+            yield rows(d[take], r[take], mark[take], c[take], settled[take])
         if runs_of[group[-1]] == 1:
             wait = (group == group[-1]) & ~settled
-            pending.append((d[wait], pos[wait], c[wait]))
+            pending.append((d[wait], r[wait], mark[wait], c[wait]))
         last_g, last_c, first_d, runs = g[-1], c[-1], own_first[-1], int(runs_of[group[-1]])
 
 
 def _open_strings(shape: Shape):  # noqa: ANN202
-    """From texts with their marks: (w, d, pos) for each string whose own trigger is open and that no settled phrase covers.
+    """From texts with their marks: (k, w, d, r, mark) for each string whose own trigger is open and that no settled phrase covers.
 
     A string's own trigger has the smallest rolling hash in it, so it is at the same place wherever the string occurs.
     If it is neither open nor settled, the string occurs again only in that trigger's phrase, and is settled there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in groups_of_rows(batches, "text", BLOCK):
-            hs, ds, ps = [], [], []
+            hs, ds, rs, ps = [], [], [], []
             for k in range(batch.num_rows):
                 data = np.frombuffer((batch.column("text")[k].as_py() or "").encode(), np.uint8)
                 if len(data) < shape.length:
@@ -210,26 +256,31 @@ def _open_strings(shape: Shape):  # noqa: ANN202
                 start = np.flatnonzero(own & ~_starts(at[settled], len(data), shape)[: len(own)])
                 hs.append(hashes.of(start, start + shape.length).view(np.int64))
                 ds.append(np.full(len(start), batch.column("d")[k].as_py()))
-                ps.append(start.astype(np.int32))
+                rs.append(np.full(len(start), batch.column("r")[k].as_py()))
+                ps.append(start)
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ds, ps)], ["w", "d", "pos"])
+                w, d, r, place = (np.concatenate(x) for x in (hs, ds, rs, ps))
+                here = seen.later(w, d)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_spread(w, w, d, here), w, d, r, 2 * place + here)], ["k", "w", "d", "r", "mark"])
 
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From strings sorted by (w, d): those that a smaller document has. Only the last string and its first document are carried."""
+    """From strings sorted by (k, w, d): those that a smaller document has. Only the last string and its first document are carried."""
     last_w = first_d = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        w, d = batch.column("w").to_numpy(), batch.column("d").to_numpy()
-        new = np.concatenate([[last_w is None or w[0] != last_w], w[1:] != w[:-1]])
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
-        first = np.where(begin >= 0, d[np.maximum(begin, 0)], first_d if first_d is not None else 0)
-        last_w, first_d = w[-1], first[-1]
-        again = pa.array(d > first)
-        yield batch.filter(again)
+        w, d, r, mark = (batch.column(n).to_numpy() for n in ("w", "d", "r", "mark"))
+        again = (mark & 1).astype(bool)
+        live = np.flatnonzero(~again)
+        if len(live):
+            w_, d_ = w[live], d[live]
+            new = np.concatenate([[last_w is None or w_[0] != last_w], w_[1:] != w_[:-1]])
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(w_)), -1))
+            first = np.where(begin >= 0, d_[np.maximum(begin, 0)], first_d if first_d is not None else 0)
+            last_w, first_d = w_[-1], first[-1]
+            again[live] = d_ > first
+        yield pa.RecordBatch.from_arrays([pa.array(x[again]) for x in (w, d, r, (mark >> 1).astype(np.int32))], ["w", "d", "r", "pos"])
 
 
 def _checked(hashes: Hashes, n: int, batch: pa.RecordBatch, k: int, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -315,22 +366,28 @@ def repeated_strings(docs: DataFrame, shape: Shape = Shape(), keep: list[str] |
     A byte is removed if a string of `length` bytes covers it that also starts in a document with a smaller doc_id.
     Rows without a doc_id count as larger than all others and equal to each other; rows with one doc_id, repeated rows
     too, do not remove each other's text. Null text is empty; an empty table gives no rows; columns besides doc_id
-    and text are not read. kept_text leaves out bytes of characters that were cut in two.
+    and text are not read. A very long text is parsed in stretches and held whole only in its own task. kept_text leaves
+    out bytes of characters that were cut in two.
     """
     keep = keep or ["doc_id"]
-    text = F.col("text").cast("string").alias("text")
+    text = F.col("text").cast("string")
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d")
-    texts = docs.select(d, text, F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"))
-    plain = only(docs, doc_id="long", text="string").select(d, "text")
+    # rows without a doc_id are told apart by their texts, so that they are no group
+    r = F.when(F.col("doc_id").isNull(), F.coalesce(F.xxhash64(text), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("r")
+    texts = docs.select(d, r, text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"))
+    plain = only(docs, doc_id="long", text="string").select(d, r, "text")
     parsed = occurrences(plain, shape).repartition("g").sortWithinPartitions("g", "c", "d")
-    marks = stored(parsed.mapInArrow(_settle, "d long, pos int, c long, settled boolean"), "marks")
-    of_doc = marks.join(marks.where("not settled").select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.collect_list(F.struct("pos", "c", "settled")).alias("marks"))
-    strings = plain.join(of_doc, "d").mapInArrow(_open_strings(shape), "w long, d long, pos int")
-    found = stored(strings.repartition("w").sortWithinPartitions("w", "d").mapInArrow(_later, "w long, d long, pos int"), "strings")
-    of_strings = found.groupBy("d").agg(F.collect_list(F.struct("pos", "w")).alias("strings"))
-    settled = marks.where("settled").groupBy("d").agg(F.collect_list(F.struct("pos", "c", "settled")).alias("marks"))
-    both = stored(settled.join(of_strings, "d", "full_outer"), "spans")
+    marks = stored(parsed.mapInArrow(_settle, "d long, r long, pos int, c long, settled boolean"), "marks")
+    row_key = ["d", "r"]
+    opened = marks.where("not settled").select(*row_key).distinct()
+    of_doc = marks.join(opened, row_key, "left_semi").groupBy(*row_key).agg(F.collect_list(F.struct("pos", "c", "settled")).alias("marks"))
+    strings = plain.join(of_doc, row_key).mapInArrow(_open_strings(shape), "k long, w long, d long, r long, mark long")
+    found = stored(strings.repartition("k").sortWithinPartitions("k", "w", "d").mapInArrow(_later, "w long, d long, r long, pos int"), "strings")
+    of_strings = found.groupBy(*row_key).agg(F.collect_list(F.struct("pos", "w")).alias("strings"))
+    settled = marks.where("settled").groupBy(*row_key).agg(F.collect_list(F.struct("pos", "c", "settled")).alias("marks"))
+    both = stored(settled.join(of_strings, row_key, "full_outer"), "spans")
+    discard(marks, found)
     row = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in keep)).schema)
-    return texts.join(both, "d", "left").select("text", "marks", "strings", "_row").mapInArrow(
+    return texts.join(both, row_key, "left").select("text", "marks", "strings", "_row").mapInArrow(
         _removed(shape), f"_row struct<{row}>, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept_text string"
     )
