@@ -55,7 +55,7 @@ def boundaries(data: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(hi, lo, d, pos, size) for each chunk of each text of docs (d, text)."""
+    """(hi, lo, d, r, size, pos) for each chunk of each text of docs (d, r, text), a repeated one once with all its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of_rows(batches, "text", 2 << 20):
@@ -70,31 +70,35 @@ def chunks(docs: DataFrame) -> DataFrame:
                 size.append(cuts - begin)
                 counts.append(len(cuts))
                 base = end
-            key = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            d = np.repeat(batch.column("d").to_numpy(zero_copy_only=False), counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(d), pa.array(np.concatenate(pos)), pa.array(np.concatenate(size))], ["hi", "lo", "d", "pos", "size"]
-            )
+            hi, lo = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+            of, places, sizes = np.repeat(np.arange(batch.num_rows), counts), np.concatenate(pos), np.concatenate(size)
+            order = np.lexsort((places, lo, hi, of))
+            hi, lo, of, places = hi[order], lo[order], of[order], places[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
+            d, r = (batch.column(n).to_numpy(zero_copy_only=False)[of[first]] for n in ("d", "r"))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)).astype(np.int32)), pa.array(places))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (hi[first], lo[first], d, r, sizes[order][first])), lists], ["hi", "lo", "d", "r", "size", "pos"])
 
-    return docs.mapInArrow(run, "hi long, lo long, d long, pos long, size long")
+    return docs.mapInArrow(run, "hi long, lo long, d long, r long, size long, pos array<long>")
 
 
 def repeated_passages(docs: DataFrame, least_bytes: int = 100) -> DataFrame:
     """(doc_id, start, end, n_chunks, first_doc_id): runs of at least least_bytes bytes whose chunks a smaller document has.
 
     first_doc_id is the smallest document among those that hold a chunk of the run first. The first document of a
-    passage is not reported for it. Rows without a doc_id count as larger than all others and are reported with null;
-    rows that share a doc_id, repeated rows too, are one document. Null and empty texts have no chunks; an empty
-    table gives no rows; columns besides doc_id and text are not read.
+    passage is not reported for it. Rows without a doc_id count as larger than all others and equal to each other, and
+    are reported with null. Rows that share a doc_id do not repeat each other; their passages are told apart by text, and
+    rows equal in both are reported once. Null and empty texts have no chunks; a very long text is cut whole in its
+    task; an empty table gives no rows; columns besides doc_id and text are not read.
     """
-    plain = only(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text")
+    plain = only(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("r"), "text")
     all_chunks = stored(chunks(plain), "chunks")
     first = all_chunks.groupBy("hi", "lo").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("hi", "lo", "first")
-    again = all_chunks.join(first, ["hi", "lo"]).where("d > first").select("d", "pos", "size", "first").distinct()
-    in_doc = Window.partitionBy("d").orderBy("pos", "size")
+    again = all_chunks.join(first, ["hi", "lo"]).where("d > first").select("d", "r", F.explode("pos").alias("pos"), "size", "first").distinct()
+    in_doc = Window.partitionBy("d", "r").orderBy("pos", "size")
     fresh = F.coalesce(F.col("pos") > F.max(F.col("pos") + F.col("size")).over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     runs = again.withColumn("run", F.sum(fresh.cast("long")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("d", "run").agg(
+    spans = runs.groupBy("d", "r", "run").agg(
         F.min("pos").alias("start"), F.max(F.col("pos") + F.col("size")).alias("end"), F.count("*").alias("n_chunks"), F.min("first").alias("first_doc_id")
     )
     return spans.where(F.col("end") - F.col("start") >= least_bytes).select(

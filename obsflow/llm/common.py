@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none, as in tests."""
+    """The folder that driver and executors share. Only in local mode, as in tests, is one made where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="obsflow-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -42,13 +44,29 @@ def _shuffles_end_with_the_write(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that stored() makes inside go when the block ends; results must be written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        discard(*_scratch.pop())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its lineage ends there and its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _shuffles_end_with_the_write(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
@@ -65,6 +83,13 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))
 
 
+def rows_of(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, text_hash) is in keep, one of each, and all rows without a doc_id; their columns may have any names."""
+    own = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    found = own.join(keep.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), ["i", "h"], "left_semi").dropDuplicates(["i", "h"])
+    return found.select("row.*").unionByName(docs.where("doc_id is null"))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order (null: none)."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")

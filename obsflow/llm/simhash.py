@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsflow.llm.common import groups_of_rows, only, stored
+from obsflow.llm.common import groups_of_rows, only, rows_of, stored
 from obsflow.llm.components import components
 
 GROUPS, GROUP_BITS, PIVOTS = 4, 16, 12
@@ -154,6 +154,4 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
     """
     marked = _marked(docs, shingle, radius).where("doc_id is not null")
     keep = stored(marked.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*"), "kept")
-    own = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    same = (own["doc_id"] == keep["doc_id"]) & (own["_hash"] == keep["text_hash"])
-    return own.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash").unionByName(docs.where("doc_id is null"))
+    return rows_of(docs, keep)
