@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ class WordTokenizer:
     one that holds the content of an added token (such as <|endoftext|>, which the library gives its one id), in any case.
     """
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,7 +42,7 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self._index: dict[str, int] = {}
+        self._known = pa.array([], pa.large_string())
         self._start, self._length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self._ids, self._used = np.zeros(1 << 18, np.uint32), 0
 
@@ -79,7 +78,7 @@ class WordTokenizer:
         return np.concatenate(ids_of), np.concatenate(counts)
 
     def _add(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
-        k, used = len(self._index), self._used
+        k, used = len(self._known), self._used
         while used + len(ids) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
         while k + len(words) > len(self._start):
@@ -87,53 +86,61 @@ class WordTokenizer:
         self._ids[used : used + len(ids)] = ids
         self._start[k : k + len(words)], self._length[k : k + len(words)] = used + np.cumsum(n) - n, n
         self._used += len(ids)
-        self._index.update(zip(words, range(k, k + len(words)), strict=True))
+        self._known = pa.concat_arrays([self._known, pa.array(words, pa.large_string())])
 
     def _ids_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self._length[at]
         ends = np.cumsum(n)
         return self._ids[np.repeat(self._start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
-    def _places(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self._index.get, words, repeat(-1)), np.int64, len(words))
+    def _places(self, words: pa.Array) -> np.ndarray:
+        return pc.index_in(words, value_set=self._known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Encode new words and keep their ids; their places."""
         # marks behind a letter are a piece of their own, so each stem is encoded once; a letter of two in lower case may end in a mark
-        marked, stems, behind, whole = [], [], [], []
-        for w in new:
+        marked, stems, behind, whole = [], [], [], {}
+        for k, w in enumerate(new):
             match = _MARKED.fullmatch(w) if not w[-1].isalnum() else None
             if match and len(match[1][-1].lower()) == 1:
-                marked.append(w)
+                marked.append(k)
                 stems.append(match[1])
                 behind.append(match[2])
             else:
-                whole.append(w)
-        whole = list(dict.fromkeys([*whole, *(s for s in stems if s not in self._index)]))
-        self._add(whole, *self._encode_words(whole))
+                whole[w] = len(self._known) + len(whole)
+        places = np.empty(len(new), np.int64)
+        different = list(dict.fromkeys(stems))
+        place_of = dict(zip(different, self._places(pa.array(different, pa.large_string())).tolist(), strict=True))
+        for stem, at in place_of.items():
+            if at < 0:
+                place_of[stem] = whole.setdefault(stem, len(self._known) + len(whole))
+        self._add(list(whole), *self._encode_words(list(whole)))
         if marked:
             for mark in set(behind).difference(self._marks):
                 self._marks[mark] = self._whole(mark)
-            ids, n = self._ids_at(self._places(stems))
+            ids, n = self._ids_at(np.asarray([place_of[x] for x in stems]))
             tails = [self._marks[m] for m in behind]
             more = np.fromiter(map(len, tails), np.int64, len(tails))
-            self._add(marked, np.insert(ids, np.repeat(np.cumsum(n), more), [i for t in tails for i in t]), n + more)
+            places[marked] = len(self._known) + np.arange(len(marked))
+            self._add([new[k] for k in marked], np.insert(ids, np.repeat(np.cumsum(n), more), [i for t in tails for i in t]), n + more)
             if len(self._marks) > 100_000:
                 self._marks = {}
+        inner = np.ones(len(new), bool)
+        inner[marked] = False
+        places[inner] = [whole[new[k]] for k in np.flatnonzero(inner).tolist()]
+        return places
 
     def _encode_even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """encode() of texts without other than single spaces and line ends, and without added tokens."""
         marked = pc.binary_join_element_wise(pa.scalar("\x00", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type))
         split = pc.split_pattern(marked, " ")
         found = split.flatten().dictionary_encode()
-        words = found.dictionary.to_numpy(zero_copy_only=False)
-        at = self._places(words.tolist())
+        at = self._places(found.dictionary)
         if (new := np.flatnonzero(at < 0)).size:
-            if len(self._index) + 2 * len(new) > self._keep:
+            if len(self._known) + 2 * len(new) > self._keep:
                 self._forget()
-                new = np.arange(len(words))
-            missing = words[new].tolist()
-            self._learn(missing)
-            at[new] = self._places(missing)
+                new = np.arange(len(at))
+            at[new] = self._learn(found.dictionary.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist())
         ids, n = self._ids_at(at[found.indices.to_numpy()])
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
         return ids, np.diff(np.cumsum(n)[ends - 1], prepend=0) if len(ends) else np.zeros(0, np.int64)
