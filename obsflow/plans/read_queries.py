@@ -101,7 +101,7 @@ def stories_series(df: DataFrame, w: Range) -> DataFrame:
 def log_alerts(alerts: DataFrame, examples: DataFrame, story_rows: DataFrame, w: Range, kind: str | None = None, service: str | None = None, most: int = 200) -> DataFrame:
     """Alerts that overlap the window, whether active at its end, and which of their example traces have a story."""
     own = wanted(latest(alerts, ["alert_id"], "version"), kind=kind, service=service).where((F.col("started_at") < w.upper) & (F.col("last_at") >= w.start))
-    top = own.withColumn("active", F.col("last_at") >= w.end - 600).orderBy(F.desc("last_at"), "alert_id").limit(most)
+    top = own.withColumn("active", F.col("last_at") > w.end - 600).orderBy(F.desc("last_at"), "alert_id").limit(most)
     traces = top.join(examples, "template_id").select("alert_id", F.explode("traces").alias("trace_id"))
     linked = traces.join(stories(story_rows).select("trace_id", "story_id"), "trace_id").groupBy("alert_id").agg(F.array_sort(F.collect_list("story_id")).alias("stories"))
     return top.join(linked, "alert_id", "left").withColumn("n_stories", F.coalesce(F.size("stories"), F.lit(0)))
@@ -112,7 +112,7 @@ def log_templates(hits: DataFrame, templates: DataFrame, alerts: DataFrame, sile
     listed = wanted(counts.join(templates, "template_id"), service=service)
     if q:
         listed = listed.where(F.lower("template").contains(q.lower()))
-    alerting = latest(alerts, ["alert_id"], "version").where((F.col("last_at") >= w.end - 600) & (F.col("started_at") < w.end)).select("template_id").distinct().withColumn("alerting", F.lit(True))
+    alerting = latest(alerts, ["alert_id"], "version").where("kind <> 'silence'").where((F.col("last_at") > w.end - 600) & (F.col("started_at") < w.end)).select("template_id").distinct().withColumn("alerting", F.lit(True))
     silenced = silences.where("enabled").select("template_id").withColumn("silenced", F.lit(True))
     out = listed.join(alerting, "template_id", "left").join(silenced, "template_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("alerting", "silenced")}).orderBy(F.desc("n"), "template_id").limit(most)
@@ -149,18 +149,22 @@ def service_map(edges: DataFrame, w: Range, most: int = 500) -> DataFrame:
 
 
 def service_nodes(spans: DataFrame, w: Range, baseline_s: int = 86400) -> DataFrame:
-    """Served spans per service: calls, errors, p99, the p99 of the day before the minute of the end, and health."""
+    """Served spans per service: calls, errors, p99, the p99 of the day before the minute of the end, and health.
+
+    A service is in error when at least 5 % of its calls failed, and slow when its p99 is over twice a positive baseline.
+    """
     served = spans.where(F.col("kind").isin(SERVED))
     end = w.end - w.end % 60
     now = served.where(w.inside("start_ns")).groupBy("service").agg(F.count("*").alias("calls"), F.count_if(F.col("status") == "error").alias("errors"), F.percentile("duration_ns", 0.99).alias("p99"))
     day = served.where((F.col("start_ns") >= (end - baseline_s) * S) & (F.col("start_ns") < end * S)).groupBy("service").agg(F.percentile("duration_ns", 0.99).alias("base_p99"))
-    health = F.when(F.col("errors") * 100 >= F.col("calls"), "error").when(F.col("p99") > F.greatest(F.col("base_p99") * 1.5, F.col("base_p99") + 100_000_000), "slow").otherwise("ok")
+    slow = (F.col("base_p99") > 0) & (F.col("p99") > 2 * F.col("base_p99"))
+    health = F.when(F.col("errors") * 20 >= F.col("calls"), "error").when(slow, "slow").otherwise("ok")
     return now.join(day, "service", "left").withColumn("health", health)
 
 
 def overview(story_rows: DataFrame, alerts: DataFrame, spans: DataFrame, w: Range) -> DataFrame:
     counts = stories(story_rows).where(w.inside()).agg(F.count_if(F.col("kind") == "error").alias("error_stories"), F.count_if(F.col("kind") == "slow").alias("slow_stories"))
-    active = latest(alerts, ["alert_id"], "version").where((F.col("last_at") >= w.end - 600) & (F.col("started_at") < w.end)).agg(F.count("*").alias("active_alerts"))
+    active = latest(alerts, ["alert_id"], "version").where((F.col("last_at") > w.end - 600) & (F.col("started_at") < w.end)).agg(F.count("*").alias("active_alerts"))
     rate = spans.where(w.inside("start_ns")).agg((F.count("*") / (w.end - w.start)).alias("spans_per_s"))
     return counts.crossJoin(F.broadcast(active)).crossJoin(F.broadcast(rate))  # a row each
 
@@ -234,13 +238,16 @@ def gauge(buckets: DataFrame, largest: bool = False) -> DataFrame:
 
 
 def histogram_quantile(increases: DataFrame, q: float) -> DataFrame:
-    """Prometheus' quantile of cumulative buckets (bucket, le, increase): linear within the bucket that holds it."""
+    """Prometheus' quantile of cumulative buckets (bucket, le, increase): linear within the bucket that holds it.
+
+    There is none where the bucket without an upper bound is missing or is the only one.
+    """
     sums = increases.groupBy("bucket", F.col("le").cast("double").alias("le")).agg(F.sum("increase").alias("n"))
     up = Window.partitionBy("bucket").orderBy("le")
     whole = Window.partitionBy("bucket")
     rising = sums.withColumn("n", F.max("n").over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    edged = rising.withColumns({"low": F.lag("le").over(up), "below": F.coalesce(F.lag("n").over(up), F.lit(0)), "total": F.max("n").over(whole), "top": F.max(F.when(F.col("le") < float("inf"), F.col("le"))).over(whole)})
-    at = edged.where(F.col("total") > 0).withColumn("rank", F.col("total") * q).where((F.col("n") >= F.col("rank")) & ((F.col("below") < F.col("rank")) | F.col("low").isNull()))
+    edged = rising.withColumns({"low": F.lag("le").over(up), "below": F.coalesce(F.lag("n").over(up), F.lit(0)), "total": F.max("n").over(whole), "top": F.max(F.when(F.col("le") < float("inf"), F.col("le"))).over(whole), "last": F.max("le").over(whole)})
+    at = edged.where((F.col("total") > 0) & (F.col("last") == float("inf")) & F.col("top").isNotNull()).withColumn("rank", F.col("total") * q).where((F.col("n") >= F.col("rank")) & ((F.col("below") < F.col("rank")) | F.col("low").isNull()))
     inside = F.coalesce("low", F.lit(0.0)) + (F.col("le") - F.coalesce("low", F.lit(0.0))) * (F.col("rank") - F.col("below")) / (F.col("n") - F.col("below"))
     value = F.when(F.col("le") == float("inf"), F.col("top")).when(F.col("low").isNull() & (F.col("le") <= 0), F.col("le")).when(F.col("n") == F.col("below"), F.col("le")).otherwise(inside)
     return at.groupBy("bucket").agg(F.min(value).alias("value"))

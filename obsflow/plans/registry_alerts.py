@@ -202,14 +202,14 @@ add(
 EXAMPLES = "ex AS (SELECT template_id, trace_id FROM (SELECT template_id, trace_id, row_number() OVER (PARTITION BY template_id ORDER BY max(ts_ns) DESC, trace_id) AS k FROM fx_hits WHERE trace_id <> '' GROUP BY 1, 2) WHERE k <= 5)"
 add(
     "Q7_log_alerts", lambda s, d: Q.log_alerts(known(s, d), D.example_traces(hits(s, d)), story_rows(s, d), LOGS).select("alert_id", "active", "n_stories"),
-    f"""WITH {EXAMPLES}, top AS (SELECT *, last_at >= {LOG_END - 600} AS active FROM {LATEST_ALERTS} WHERE started_at < {LOG_END} AND last_at >= {LOGS.start} ORDER BY last_at DESC, alert_id LIMIT 200)
+    f"""WITH {EXAMPLES}, top AS (SELECT *, last_at > {LOG_END - 600} AS active FROM {LATEST_ALERTS} WHERE started_at < {LOG_END} AND last_at >= {LOGS.start} ORDER BY last_at DESC, alert_id LIMIT 200)
       SELECT alert_id, active, CAST((SELECT count(*) FROM ex JOIN {STORIES} s USING (trace_id) WHERE ex.template_id = top.template_id) AS INTEGER) AS n_stories FROM top""", "fx_alerts", "fx_hits", "fx_stories",
 )
 IN_LOGS = f"ts_ns >= {LOGS.start * S} AND ts_ns < {LOGS.end * S}"
 LISTED = f"ls AS (SELECT t.template_id, t.service, count(DISTINCT log_id) AS n FROM fx_hits h JOIN fx_templates t USING (template_id) WHERE {IN_LOGS} GROUP BY 1, 2)"
 add(
     "Q8_log_templates", lambda s, d: Q.log_templates(hits(s, d), templates(s, d), known(s, d), settings(s, d), LOGS).select("template_id", "n", "alerting", "silenced"),
-    f"WITH {LISTED} SELECT template_id, n, template_id IN (SELECT template_id FROM {LATEST_ALERTS} WHERE last_at >= {LOG_END - 600} AND started_at < {LOG_END}) AS alerting, template_id IN (SELECT template_id FROM {SETTINGS} WHERE enabled) AS silenced FROM ls ORDER BY n DESC, template_id LIMIT 200",
+    f"WITH {LISTED} SELECT template_id, n, template_id IN (SELECT template_id FROM {LATEST_ALERTS} WHERE kind <> 'silence' AND last_at > {LOG_END - 600} AND started_at < {LOG_END}) AS alerting, template_id IN (SELECT template_id FROM {SETTINGS} WHERE enabled) AS silenced FROM ls ORDER BY n DESC, template_id LIMIT 200",
     "fx_hits", "fx_templates", "fx_alerts",
 )
 add("Q8_template_buckets", lambda s, d: Q.template_buckets(hits(s, d), templates(s, d), LOGS), f"SELECT template_id, {bucket_sql(LOG_STEP)} AS bucket, count(DISTINCT log_id) AS n FROM fx_hits WHERE {IN_LOGS} GROUP BY 1, 2", "fx_hits")
@@ -229,12 +229,12 @@ add(
     "Q12_service_graph", lambda s, d: rounded(Q.service_nodes(spans(s, d), SPANS), "p99", "base_p99"),
     f"""WITH n AS (SELECT service, count(*) AS calls, count(*) FILTER (status = 'error') AS errors, quantile_cont(duration_ns, 0.99) AS p99 FROM fx_spans WHERE {SERVED} AND {IN_START} GROUP BY 1),
       b AS (SELECT service, quantile_cont(duration_ns, 0.99) AS base_p99 FROM fx_spans WHERE {SERVED} AND start_ns >= {(MINUTE_END - 86400) * S} AND start_ns < {MINUTE_END * S} GROUP BY 1)
-      SELECT service, calls, errors, round(p99, 3) AS p99, round(base_p99, 3) AS base_p99, CASE WHEN errors * 100 >= calls THEN 'error' WHEN p99 > greatest(base_p99 * 1.5, base_p99 + 100000000) THEN 'slow' ELSE 'ok' END AS health FROM n LEFT JOIN b USING (service)""", "fx_spans",
+      SELECT service, calls, errors, round(p99, 3) AS p99, round(base_p99, 3) AS base_p99, CASE WHEN errors * 20 >= calls THEN 'error' WHEN base_p99 > 0 AND p99 > 2 * base_p99 THEN 'slow' ELSE 'ok' END AS health FROM n LEFT JOIN b USING (service)""", "fx_spans",
 )
 add(
     "Q13_overview", lambda s, d: Q.overview(story_rows(s, d), known(s, d), spans(s, d), SPANS),
     f"""SELECT (SELECT count(*) FROM {STORIES} WHERE {IN_SPANS} AND kind = 'error') AS error_stories, (SELECT count(*) FROM {STORIES} WHERE {IN_SPANS} AND kind = 'slow') AS slow_stories,
-      (SELECT count(*) FROM {LATEST_ALERTS} WHERE last_at >= {SPAN_END - 600} AND started_at < {SPAN_END}) AS active_alerts, (SELECT count(*) / {SPANS.end - SPANS.start} FROM fx_spans WHERE {IN_START}) AS spans_per_s""", "fx_stories", "fx_alerts", "fx_spans",
+      (SELECT count(*) FROM {LATEST_ALERTS} WHERE last_at > {SPAN_END - 600} AND started_at < {SPAN_END}) AS active_alerts, (SELECT count(*) / {SPANS.end - SPANS.start} FROM fx_spans WHERE {IN_START}) AS spans_per_s""", "fx_stories", "fx_alerts", "fx_spans",
 )
 NEWEST = "(SELECT * FROM fx_summaries QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY span_count DESC, ts_ns DESC) = 1)"
 add(
