@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsflow.functions.text import short_hash
+from obsflow.operators.mining import OVERFLOW
 from obsflow.operators.tables import latest, minute_of
 
 S = 1_000_000_000
@@ -27,6 +28,7 @@ class Rules:
     least_coverage: float = 0.5
     active_s: int = 600
     new_age_s: int = 900
+    recent_s: int = 600
     lookback_s: int = 3 * 86400
 
 
@@ -54,17 +56,22 @@ def template_coverage(windows: DataFrame, minutes: DataFrame, now: int, r: Rules
 
 
 def spike_baseline(covered: DataFrame, now: int, r: Rules = Rules()) -> DataFrame:
-    """windows with expected (hits to expect in a spike window) and status: spike, none or skip_coverage."""
-    start, whole = now - r.spike_s - r.baseline_s, r.baseline_s // 60
-    possible = F.least(F.lit(whole), F.greatest(F.lit(0), F.floor((F.lit((now - r.spike_s) * S) - F.greatest("first_seen", F.lit(start * S))) / (60 * S)).cast("int")))
-    young = possible < 1
-    expected = F.when(young | (F.col("covered") == 0), F.lit(0.0)).otherwise(F.col("baseline") / F.col("covered") * (r.spike_s / 60))
-    status = (
-        F.when(young, F.lit("none"))
-        .when(F.col("covered") < possible * r.least_coverage, "skip_coverage")
-        .when((F.col("current") >= r.min_count) & (F.col("current") >= r.factor * F.greatest(expected, F.lit(1.0))), "spike")
-        .otherwise("none")
-    )
+    """windows with expected (hits to expect in a spike window; null where not judged) and status: spike, none or skip_coverage.
+
+    Lines of the overflow template, templates younger than recent_s and those that existed for less than a spike window
+    before it are not judged. A baseline covered in full is divided by its whole spike windows, a shorter one by the
+    minutes that have data.
+    """
+    spike, whole = r.spike_s // 60, r.baseline_s // 60
+    age = F.expr(f"({now * S} - first_seen) div {60 * S}")
+    possible = F.least(age - spike, F.lit(whole))
+    divisor = F.least(possible, F.col("covered"))
+    judged = (F.col("template") != OVERFLOW) & (age >= r.recent_s // 60) & (age - spike >= spike)
+    thin = F.col("covered") < possible * r.least_coverage
+    full = F.col("baseline") / F.greatest(F.floor(divisor / spike), F.lit(1))
+    expected = F.when(judged & ~thin, F.when(divisor >= whole, full).otherwise(F.col("baseline") * spike / divisor))
+    fires = (F.col("current") >= r.min_count) & (F.col("current") >= r.factor * F.greatest(F.col("expected"), F.lit(1.0)))
+    status = F.when(~judged, "none").when(thin, "skip_coverage").when(fires, "spike").otherwise("none")
     return covered.withColumn("expected", expected).withColumn("status", status)
 
 
@@ -113,7 +120,7 @@ def new_alerts(candidates: DataFrame, watermark_ns: int, epoch_ns: int, r: Rules
     """Candidates seen after the watermark less a minute, of services and a masking epoch that are old enough."""
     age = r.new_age_s * S
     keep = (F.col("first_seen") > watermark_ns - 60 * S) & (F.col("first_seen") - F.col("service_first") >= age) & (F.col("first_seen") - epoch_ns >= age)
-    return candidates.where(keep & (F.coalesce("template", F.lit("")) != "<overflow>")).withColumn("alert_id", short_hash(F.lit("new"), F.col("template_id")))
+    return candidates.where(keep & (F.coalesce("template", F.lit("")) != OVERFLOW)).withColumn("alert_id", short_hash(F.lit("new"), F.col("template_id")))
 
 
 def data_now(hits: DataFrame, now: int, r: Rules = Rules()) -> DataFrame:

@@ -47,35 +47,77 @@ def breaker_status(outcomes: DataFrame, now_ns: int, cooldown_s: int = COOLDOWN_
 
 
 def rfc3339(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC with milliseconds, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def summary_text(kind: Column, service: Column, template: Column) -> Column:
-    what = F.when(kind == "spike", "Spike in").when(kind == "new", "New log template in").otherwise("Silence of a template in")
-    return F.concat(what, F.lit(" "), service, F.lit(": "), template)
+def silent_minutes() -> Column:
+    return F.greatest(F.expr("(last_at - started_at) div 60"), F.lit(0))
+
+
+def baseline_text() -> Column:
+    return F.format_string("%.1f", F.bround(F.coalesce("baseline", F.lit(0.0)), 1))
+
+
+def summary_text() -> Column:
+    """One line on an alert, by its kind."""
+    kind, service, template = F.col("kind"), F.col("service"), F.col("template")
+    spike = F.concat(template, F.lit(" spiked to "), F.col("count").cast("string"), F.lit(" per window in "), service, F.lit(" (baseline "), baseline_text(), F.lit(")"))
+    silence = F.concat(template, F.lit(" has been silent for "), silent_minutes().cast("string"), F.lit(" min in "), service)
+    return F.when(kind == "spike", spike).when(kind == "silence", silence).otherwise(F.concat(F.lit("New log template in "), service, F.lit(": "), template))
+
+
+def template_link(base_url: str) -> Column:
+    return F.concat(F.lit(base_url.rstrip("/") + "/logs/templates/"), "template_id")
+
+
+def trace_links(base_url: str, most: int) -> Column:
+    return F.transform(F.slice("traces", 1, most), lambda t: F.concat(F.lit(base_url.rstrip("/") + "/traces/"), t))
 
 
 def webhook_payload(alerts: DataFrame, base_url: str, most_traces: int = 3) -> DataFrame:
-    links = F.transform(F.slice("traces", 1, most_traces), lambda t: F.concat(F.lit(f"{base_url}/traces/"), t))
+    """alerts: (alert_id, kind, service, template_id, template, started_at, last_at, count, baseline, traces)."""
     body = F.struct(
-        "alert_id", "kind", "service", "template", rfc3339(F.col("started_at")).alias("started_at"), rfc3339(F.col("last_at")).alias("last_at"), "count",
-        summary_text(F.col("kind"), F.col("service"), F.col("template")).alias("text"), links.alias("traces"),
+        "alert_id", "kind", "service", "template_id", "template", rfc3339(F.col("started_at")).alias("started_at"), rfc3339(F.col("last_at")).alias("last_at"), "count",
+        F.coalesce("baseline", F.lit(0.0)).alias("baseline"), summary_text().alias("summary"), F.col("traces").alias("example_trace_ids"),
+        F.struct(template_link(base_url).alias("template"), trace_links(base_url, most_traces).alias("traces")).alias("links"),
     )
     return alerts.select("alert_id", F.to_json(body).alias("payload"))
 
 
-def slack_payload(alerts: DataFrame, base_url: str) -> DataFrame:
-    """Blocks: a header of at most 150 characters, the escaped template of at most 2800, fields by kind, a button."""
-    escaped = F.replace(F.replace(F.replace(F.col("template"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+def shortened(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+
+
+def escaped(text: Column, most: int) -> Column:
+    """Control characters as entities; a cut text ends before an entity that does not fit, with an ellipsis."""
+    whole = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    head = F.regexp_replace(F.substring(whole, 1, most - 1), "&[a-z]*$", "")
+    return F.when(F.length(whole) > most, F.concat(head, F.lit("…"))).otherwise(whole)
+
+
+def slack_payload(alerts: DataFrame, base_url: str, most_traces: int = 3, header_max: int = 150, template_max: int = 2800, text_max: int = 3000) -> DataFrame:
+    """A text, and blocks: a header, the template as code without backticks, fields by kind, buttons to the template and to traces."""
     plain = lambda text: F.struct(F.lit("plain_text").alias("type"), text.alias("text"))
-    header = F.to_json(F.struct(F.lit("header").alias("type"), plain(F.substring(F.concat_ws(" ", F.upper("kind"), "service"), 1, 150)).alias("text")))
-    section = F.to_json(F.struct(F.lit("section").alias("type"), F.struct(F.lit("mrkdwn").alias("type"), F.concat(F.lit("```"), F.substring(escaped, 1, 2800), F.lit("```")).alias("text")).alias("text")))
-    field = lambda name, value: F.struct(F.lit("mrkdwn").alias("type"), F.concat(F.lit(f"*{name}:* "), value.cast("string")).alias("text"))
-    by_kind = F.when(F.col("kind") == "spike", F.array(field("Count", F.col("count")), field("Since", rfc3339(F.col("started_at"))))).otherwise(F.array(field("Since", rfc3339(F.col("started_at")))))
-    fields = F.to_json(F.struct(F.lit("section").alias("type"), by_kind.alias("fields")))
-    button = F.struct(F.lit("button").alias("type"), plain(F.lit("Open")).alias("text"), F.concat(F.lit(f"{base_url}/alerts/"), "alert_id").alias("url"))
-    actions = F.to_json(F.struct(F.lit("actions").alias("type"), F.array(button).alias("elements")))
-    return alerts.select("alert_id", F.concat(F.lit('{"blocks":['), F.concat_ws(",", header, section, fields, actions), F.lit("]}")).alias("payload"))
+    mark = lambda text: F.struct(F.lit("mrkdwn").alias("type"), text.alias("text"))
+    field = lambda name, value: mark(F.concat(F.lit(f"*{name}*\n"), value))
+    button = lambda action, label, url: F.struct(F.lit("button").alias("type"), action.alias("action_id"), plain(label).alias("text"), url.alias("url"))
+    titles = F.when(F.col("kind") == "spike", "Log spike").when(F.col("kind") == "silence", "Log silence").otherwise("New log template")
+    header = F.struct(F.lit("header").alias("type"), plain(shortened(F.concat(titles, F.lit(" in "), "service"), header_max)).alias("text"))
+    code = F.concat(F.lit("```"), escaped(F.replace(F.col("template"), F.lit("`"), F.lit("ˋ")), template_max), F.lit("```"))
+    section = F.struct(F.lit("section").alias("type"), mark(code).alias("text"))
+    per_window = F.lit(" per window")
+    baseline, started = field("Baseline", F.concat(baseline_text(), per_window)), rfc3339(F.col("started_at"))
+    spike = F.array(field("Count", F.concat(F.col("count").cast("string"), per_window)), baseline, field("Started", started))
+    silence = F.array(field("Silent for", F.concat(silent_minutes().cast("string"), F.lit(" min"))), field("Last hit", started), baseline)
+    by_kind = F.when(F.col("kind") == "spike", spike).when(F.col("kind") == "silence", silence).otherwise(F.array(field("First seen", started)))
+    fields = F.struct(F.lit("section").alias("type"), by_kind.alias("fields"))
+    numbered = lambda url, i: button(F.concat(F.lit("trace-"), (i + 1).cast("string")), F.concat(F.lit("Trace "), (i + 1).cast("string")), url)
+    buttons = F.concat(F.array(button(F.lit("template"), F.lit("Open template"), template_link(base_url))), F.transform(trace_links(base_url, most_traces), numbered))
+    actions = F.struct(F.lit("actions").alias("type"), buttons.alias("elements"))
+    text = F.to_json(F.struct(escaped(summary_text(), text_max).alias("text")))
+    blocks = F.concat_ws(",", *(F.to_json(b) for b in (header, section, fields, actions)))
+    return alerts.select("alert_id", F.concat(F.regexp_replace(text, r"\}$", ""), F.lit(',"blocks":['), blocks, F.lit("]}")).alias("payload"))
 
 
 def story_messages(stories: DataFrame) -> DataFrame:

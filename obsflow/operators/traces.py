@@ -54,21 +54,41 @@ def ancestors(links: DataFrame, most_rounds: int = 20) -> DataFrame:
 
 
 def cut_cycles(spans: DataFrame) -> DataFrame:
-    """(trace_id, span_id, parent_id, cut): links without cycles. On each cycle the link of the earliest span goes."""
+    """(trace_id, span_id, parent_id, cut): links without cycles.
+
+    Of spans that reach no root, the earliest one (ties by id) climbs, and the first span that it meets twice loses its
+    parent. Pointers double until they are as long as the largest such trace; spans under a root drop out on the way, so
+    a round has at most a row for each span.
+    """
+    from obsflow.sources.checkpoint import cut
+
     links = parents(spans).select("trace_id", "span_id", "start_ns", "parent_id")
-    above = ancestors(links)
-    mutual = above.alias("a").join(
-        above.alias("b"), F.expr("a.trace_id = b.trace_id and a.span_id = b.ancestor_id and a.ancestor_id = b.span_id")
-    ).select(F.col("a.trace_id"), F.col("a.span_id"), F.col("a.ancestor_id").alias("other"))
-    two = links.where("parent_id is not null").select("trace_id", "span_id", F.col("parent_id").alias("other"))
-    cycle = mutual.unionByName(two.join(two.select("trace_id", F.col("other").alias("span_id"), F.col("span_id").alias("other")), ["trace_id", "span_id", "other"])).distinct()
-    starts = links.select("trace_id", F.col("span_id").alias("other"), F.col("start_ns").alias("other_start"))
-    first = cycle.join(starts, ["trace_id", "other"]).join(links.select("trace_id", "span_id", "start_ns"), ["trace_id", "span_id"])
-    lead = first.groupBy("trace_id", "span_id").agg(F.min(F.struct("other_start", "other")).alias("o"), F.first(F.struct("start_ns", "span_id")).alias("s")).where("s < o").select("trace_id", "span_id", F.lit(True).alias("cut"))
+    step = links.where("parent_id is not null").select("trace_id", "span_id", F.col("parent_id").alias("up"))
+    stuck, rounds = step, 0
+    while (stuck.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0) > 2**rounds:
+        stuck, rounds = cut(_doubled(stuck)), rounds + 1
+    ring = cut(stuck.select("trace_id", F.col("up").alias("span_id")).distinct())
+    on_ring = ring.withColumn("_on", F.lit(True))
+    enter = stuck.select("trace_id", "span_id").join(step, ["trace_id", "span_id"]).join(on_ring, ["trace_id", "span_id"], "left")
+    enter = enter.select("trace_id", "span_id", F.when(F.col("_on"), F.col("span_id")).otherwise(F.col("up")).alias("up"))
+    name = step.join(ring, ["trace_id", "span_id"], "left_semi").withColumn("low", F.least("span_id", "up"))
+    if rounds and not ring.isEmpty():
+        for _ in range(rounds):
+            enter, name = cut(_doubled(enter)), cut(_doubled(name))
+    whole = enter.join(name.select("trace_id", F.col("span_id").alias("up"), "low"), ["trace_id", "up"]).join(links.select("trace_id", "span_id", "start_ns"), ["trace_id", "span_id"])
+    lead = whole.groupBy("trace_id", "low").agg(F.min_by("up", F.struct("start_ns", "span_id")).alias("span_id")).select("trace_id", "span_id", F.lit(True).alias("cut"))
     marked = links.join(lead, ["trace_id", "span_id"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
     return marked.select("trace_id", "span_id", F.when(~F.col("cut"), F.col("parent_id")).alias("parent_id"), "cut")
 
 
+def _doubled(jumps: DataFrame) -> DataFrame:
+    """Pointers (trace_id, span_id, up) of twice the length, with the lowest name (low) on the way if there is one; those that leave the table go."""
+    named = "low" in jumps.columns
+    after = jumps.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_far"), *([F.col("low").alias("_low")] if named else []))
+    joined = jumps.join(after, ["trace_id", "up"])
+    return joined.select("trace_id", "span_id", F.col("_far").alias("up"), *([F.least("low", "_low").alias("low")] if named else []))
+
+
 def attach_logs(spans: DataFrame, logs: DataFrame) -> DataFrame:
     """Logs of traces with at_span: their span if the trace has it, else the root."""
     roots = span_tree(spans).select("trace_id", "root_id")
@@ -86,10 +106,10 @@ def error_flags(spans: DataFrame, logs: DataFrame | None = None) -> DataFrame:
 
 
 def error_leaves(flagged: DataFrame) -> DataFrame:
-    """Error spans with no error below them. Only the ancestors of error spans are looked for."""
-    linked = parents(flagged)
-    above = ancestors(linked.select("trace_id", "span_id", "parent_id"))
+    """Error spans with no error below them. Only traces with an error are climbed."""
     errors = flagged.where("is_error").select("trace_id", "span_id")
+    failing = flagged.join(errors.select("trace_id").distinct(), "trace_id", "left_semi")
+    above = ancestors(parents(failing).select("trace_id", "span_id", "parent_id"))
     covered = above.join(errors, ["trace_id", "span_id"], "left_semi").select("trace_id", F.col("ancestor_id").alias("span_id"))
     return flagged.where("is_error").join(covered, ["trace_id", "span_id"], "left_anti")
 

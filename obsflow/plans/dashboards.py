@@ -99,11 +99,11 @@ def job_status(up: DataFrame, now: int, stale_s: int = 180) -> DataFrame:
     return newest.select("job", F.when((F.col("value") >= 1) & (F.col("bucket") >= now - stale_s), "up").otherwise("down").alias("state"))
 
 
-def trace_rows(summaries: DataFrame, low_ns: int, high_ns: int, start_ns: int, end_ns: int, *order: str) -> DataFrame:
-    """Traces in a brushed rectangle with their tone, sorted by several keys (a minus sign: descending)."""
-    own = summaries.where(F.col("duration_ns").between(low_ns, high_ns) & F.col("ts_ns").between(start_ns, end_ns))
-    tone = F.when(F.col("is_error"), "error").when(F.col("duration_ns") >= 1_000_000_000, "slow").otherwise("ok")
-    return own.withColumn("tone", tone).orderBy(*(F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order))
+def trace_rows(found: DataFrame, low_ns: int, high_ns: int, start_ns: int, end_ns: int, *order: str) -> DataFrame:
+    """Found traces (with story_kind) in a brushed rectangle with their tone, sorted by several keys (a minus sign: descending), ties newest first, then by id."""
+    own = found.where(F.col("duration_ns").between(low_ns, high_ns) & F.col("ts_ns").between(start_ns, end_ns))
+    tone = F.when(F.col("is_error") | F.coalesce(F.col("story_kind") == "error", F.lit(False)), "err").when(F.col("story_kind") == "slow", "slow").otherwise("accent")
+    return own.withColumn("tone", tone).orderBy(*(F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order), F.desc("ts_ns"), "trace_id")
 
 
 def waterfall(spans: DataFrame) -> DataFrame:

@@ -56,27 +56,31 @@ def wanted(df: DataFrame, **values: str | None) -> DataFrame:
     return df
 
 
-def stories(df: DataFrame) -> DataFrame:
+def stories(df: DataFrame, w: Range | None = None, slack_s: int = 600) -> DataFrame:
+    """Newest version of each story; with a window, of rows near it only, so that the scan prunes by time."""
+    if w is not None:
+        df = df.where((F.col("ts_ns") >= (w.start - slack_s) * S) & (F.col("ts_ns") < (w.upper + slack_s) * S))
     return latest(df, ["story_id"], "span_count")
 
 
 def story_groups(df: DataFrame, w: Range, kind: str | None = None, service: str | None = None, most: int = 100) -> DataFrame:
-    own = wanted(stories(df).where(w.rows()), kind=kind, endpoint_service=service)
+    """Newest first by size; service is the one of the root cause."""
+    own = wanted(stories(df, w).where(w.rows()), kind=kind, cause_service=service)
     groups = own.groupBy("fingerprint").agg(
         F.count("*").alias("n"), F.max_by("summary", F.struct("ts_ns", "story_id")).alias("summary"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"),
-        F.min("kind").alias("kind"), F.min("story_id").alias("sample_id"),
+        F.min("kind").alias("kind"), F.max_by("story_id", F.struct("ts_ns", "story_id")).alias("sample_id"),
     )
     return groups.orderBy(F.desc("n"), "fingerprint").limit(most)
 
 
 def group_buckets(df: DataFrame, w: Range, **filters: str | None) -> DataFrame:
     kept = story_groups(df, w, **filters).select("fingerprint")
-    own = stories(df).where(w.rows()).join(kept, "fingerprint", "left_semi")
+    own = stories(df, w).where(w.rows()).join(kept, "fingerprint", "left_semi")
     return own.groupBy("fingerprint", bucket("ts_ns", w.bucket_s()).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def story_group(df: DataFrame, fingerprint: str, w: Range, newest: int = 20) -> DataFrame:
-    own = stories(df).where(w.rows()).where(F.col("fingerprint") == fingerprint)
+    own = stories(df, w).where(w.rows()).where(F.col("fingerprint") == fingerprint)
     return own.orderBy(F.desc("ts_ns"), "story_id").limit(newest)
 
 
@@ -93,7 +97,7 @@ def trace_spans(spans: DataFrame, trace_id: str, most: int = 10_000) -> DataFram
 
 
 def stories_series(df: DataFrame, w: Range) -> DataFrame:
-    own = stories(df).where(w.inside())
+    own = stories(df, w).where(w.inside())
     counts = own.groupBy(bucket("ts_ns", w.bucket_s()).alias("bucket")).pivot("kind", ["error", "slow"]).count()
     return counts.select("bucket", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("error", "slow")))
 
@@ -163,7 +167,7 @@ def service_nodes(spans: DataFrame, w: Range, baseline_s: int = 86400) -> DataFr
 
 
 def overview(story_rows: DataFrame, alerts: DataFrame, spans: DataFrame, w: Range) -> DataFrame:
-    counts = stories(story_rows).where(w.inside()).agg(F.count_if(F.col("kind") == "error").alias("error_stories"), F.count_if(F.col("kind") == "slow").alias("slow_stories"))
+    counts = stories(story_rows, w).where(w.inside()).agg(F.count_if(F.col("kind") == "error").alias("error_stories"), F.count_if(F.col("kind") == "slow").alias("slow_stories"))
     active = latest(alerts, ["alert_id"], "version").where((F.col("last_at") > w.end - 600) & (F.col("started_at") < w.end)).agg(F.count("*").alias("active_alerts"))
     rate = spans.where(w.inside("start_ns")).agg((F.count("*") / (w.end - w.start)).alias("spans_per_s"))
     return counts.crossJoin(F.broadcast(active)).crossJoin(F.broadcast(rate))  # a row each
@@ -177,7 +181,8 @@ def traces_search(summaries: DataFrame, story_rows: DataFrame, w: Range, service
         own = own.where("is_error")
     top = own.orderBy(F.desc("ts_ns"), "trace_id").limit(most + 50)
     newest = summaries.join(top.select("trace_id"), "trace_id", "left_semi").groupBy("trace_id").agg(F.max("span_count").alias("_most"))
-    kinds = stories(story_rows).select("trace_id", F.col("kind").alias("story_kind"))
+    found = story_rows.join(top.select("trace_id"), "trace_id", "left_semi")
+    kinds = stories(found).select("trace_id", F.col("kind").alias("story_kind"))
     current = top.join(newest, "trace_id").where("span_count = _most").drop("_most").join(kinds, "trace_id", "left")
     return current.orderBy(F.desc("ts_ns"), "trace_id").limit(most)
 
@@ -220,21 +225,34 @@ def metric_buckets(samples: DataFrame, metric: str, start_ms: int, end_ms: int,
     return own.groupBy(*keys, at.alias("bucket")).agg(F.max_by("value", "ts_ms").alias("value"), F.max("ts_ms").alias("at_ms"))
 
 
-def series_increases(buckets: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """Increase since the bucket before in each series; after a reset it is the new value."""
+def series_increases(buckets: DataFrame, step_s: int, keys: list[str] = SERIES) -> DataFrame:
+    """Increase since the bucket before in each series, and the time between the two buckets; after a reset it is the new value.
+
+    A series without an instance whose other keys also occur with one is a target between spells of several replicas:
+    only its adjacent buckets are paired.
+    """
     w = Window.partitionBy(*keys).orderBy("bucket")
-    before = buckets.withColumn("last", F.lag("value").over(w)).withColumn("last_ms", F.lag("at_ms").over(w)).where("last is not null and at_ms > last_ms")
-    return before.withColumn("increase", F.when(F.col("value") < F.col("last"), F.col("value")).otherwise(F.col("value") - F.col("last"))).withColumn("elapsed_ms", F.col("at_ms") - F.col("last_ms"))
+    pairs = buckets.withColumn("last", F.lag("value").over(w)).withColumn("elapsed_ms", (F.col("bucket") - F.lag("bucket").over(w)) * 1000).where("last is not null")
+    if "instance" in keys:
+        others = [k for k in keys if k != "instance"]
+        replicated = buckets.where("instance <> ''").select(*others).distinct().withColumn("_replicated", F.lit(True))
+        alone = (F.coalesce("instance", F.lit("")) == "") & F.coalesce("_replicated", F.lit(False))
+        pairs = pairs.join(replicated, others, "left").where(~alone | (F.col("elapsed_ms") <= step_s * 1000)).drop("_replicated")
+    return pairs.withColumn("increase", F.when(F.col("value") < F.col("last"), F.col("value")).otherwise(F.col("value") - F.col("last")))
 
 
-def counter_rate(buckets: DataFrame, by: list[str], keys: list[str] = SERIES) -> DataFrame:
-    rates = series_increases(buckets, keys)
+def counter_rate(buckets: DataFrame, by: list[str], step_s: int, keys: list[str] = SERIES) -> DataFrame:
+    rates = series_increases(buckets, step_s, keys)
     return rates.groupBy(*by, "bucket").agg(F.sum(F.col("increase") * 1000 / F.col("elapsed_ms")).alias("rate"))
 
 
-def gauge(buckets: DataFrame, largest: bool = False) -> DataFrame:
-    """Last values summed over series, or the largest of them."""
-    return buckets.groupBy("metric", "bucket").agg((F.max("value") if largest else F.sum("value")).alias("value"))
+def gauge(buckets: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """Last values summed over series. Of a metric that every replica reports whole (up, ..._data_lag_seconds,
+    ..._templates) series that differ in their instance only count once, with the largest value."""
+    whole = (F.col("metric") == "up") | F.col("metric").rlike("(_data_lag_seconds|_templates)$")
+    replica = F.when(~whole, F.col("instance"))
+    once = buckets.groupBy(*(k for k in keys if k != "instance"), replica.alias("_replica"), "bucket").agg(F.max("value").alias("value"))
+    return once.groupBy("metric", "bucket").agg(F.sum("value").alias("value"))
 
 
 def histogram_quantile(increases: DataFrame, q: float) -> DataFrame:

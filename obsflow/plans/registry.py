@@ -283,7 +283,7 @@ add(
     "A28_span_self_ns", lambda s, d: A.span_self_ns(spans(s, d)).select("trace_id", "span_id", "self_ns"),
     f"WITH {SELF} SELECT f.trace_id, f.span_id, f.duration_ns - coalesce(c, 0) AS self_ns FROM fx_spans f LEFT JOIN cov USING (trace_id, span_id)", "fx_spans",
 )
-add("A29_critical_spans", lambda s, d: C.critical_path(spans(s, d), skew_ns=0).select("trace_id", "span_id").distinct())
+add("A29_critical_spans", lambda s, d: C.critical_spans(spans(s, d)))
 
 # log templates
 

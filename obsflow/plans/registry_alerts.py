@@ -49,10 +49,22 @@ def coverage(s: SparkSession, d: str) -> DataFrame:
 
 COVERED = f"{WINDOWS}, cov AS (SELECT w.*, least(60, (SELECT count(*) FROM (SELECT DISTINCT {MINUTE} AS m FROM fx_hits WHERE ts_ns >= {BASE} AND ts_ns < {SPIKE}) WHERE m >= greatest(first_seen // 60000000000 * 60, {(LOG_END - 3900) // 60 * 60}))) AS covered FROM win w)"
 add("D3_template_coverage", lambda s, d: coverage(s, d).select("template_id", F.col("covered").cast("long")), f"WITH {COVERED} SELECT template_id, covered FROM cov", "fx_hits", "fx_templates")
+
+
+def aged(s: SparkSession, d: str) -> DataFrame:
+    """The windows with some templates made young, middle-aged or overflow by the first digits of their ids."""
+    digit = F.substring("template_id", 1, 1)
+    seen = F.when(digit.isin("0", "1"), (LOG_END - 420) * S).when(digit.isin("2", "3"), (LOG_END - 1230) * S).when(digit == "4", (LOG_END - 840) * S).otherwise(F.col("first_seen"))
+    return coverage(s, d).withColumn("first_seen", seen).withColumn("template", F.when(digit == "5", "<overflow>").otherwise(F.col("template")))
+
+
+AGED = f"""{COVERED}, aged AS (SELECT * REPLACE (CASE WHEN template_id[1] IN ('0', '1') THEN {(LOG_END - 420) * S} WHEN template_id[1] IN ('2', '3') THEN {(LOG_END - 1230) * S} WHEN template_id[1] = '4' THEN {(LOG_END - 840) * S} ELSE first_seen END AS first_seen,
+    CASE WHEN template_id[1] = '5' THEN '<overflow>' ELSE template END AS template) FROM cov),
+  age AS (SELECT *, ({LOG_END * S} - first_seen) // 60000000000 AS minutes FROM aged), jd AS (SELECT *, template <> '<overflow>' AND minutes >= 10 AS judged, least(minutes - 5, 60) AS possible FROM age),
+  e AS (SELECT *, CASE WHEN NOT judged OR covered * 2 < possible THEN NULL WHEN least(possible, covered) = 60 THEN baseline / 12 ELSE baseline * 5 / least(possible, covered) END AS expected FROM jd)"""
 add(
-    "D4_spike_baseline", lambda s, d: D.spike_baseline(coverage(s, d), LOG_END, D.Rules(min_count=5, factor=1.2)).select("template_id", F.round("expected", 6).alias("expected"), "status"),
-    f"""WITH {COVERED}, p AS (SELECT *, least(60, greatest(0, ({SPIKE} - greatest(first_seen, {BASE})) // 60000000000)) AS possible FROM cov), e AS (SELECT *, CASE WHEN possible < 1 OR covered = 0 THEN 0 ELSE baseline / covered * 5.0 END AS expected FROM p)
-      SELECT template_id, round(expected, 6) AS expected, CASE WHEN possible < 1 THEN 'none' WHEN covered < possible * 0.5 THEN 'skip_coverage' WHEN current >= 1.2 * greatest(expected, 1) THEN 'spike' ELSE 'none' END AS status FROM e""", "fx_hits", "fx_templates",
+    "D4_spike_baseline", lambda s, d: D.spike_baseline(aged(s, d), LOG_END, D.Rules(min_count=5, factor=1.2)).select("template_id", F.round("expected", 6).alias("expected"), "status"),
+    f"""WITH {AGED} SELECT template_id, round(expected, 6) AS expected, CASE WHEN NOT judged THEN 'none' WHEN covered * 2 < possible THEN 'skip_coverage' WHEN current >= 1.2 * greatest(expected, 1) THEN 'spike' ELSE 'none' END AS status FROM e""", "fx_hits", "fx_templates",
 )
 SHIFTS = (1800, 86400)
 SEASON = f"""sea AS (SELECT i.template_id, sh.shift, CASE WHEN sh.shift IN (SELECT shift FROM roll) THEN coalesce(n, 0) END AS n FROM (SELECT DISTINCT template_id FROM win) i CROSS JOIN (SELECT unnest([{SHIFTS[0]}, {SHIFTS[1]}]) AS shift) sh
@@ -175,11 +187,45 @@ def with_traces(s: SparkSession, d: str) -> DataFrame:
     return M.latest(known(s, d), ["alert_id"], "version").join(D.example_traces(hits(s, d)), "template_id", "left").withColumn("traces", F.coalesce("traces", F.array().cast("array<string>")))
 
 
+EXAMPLES = "ex AS (SELECT template_id, trace_id, k FROM (SELECT template_id, trace_id, row_number() OVER (PARTITION BY template_id ORDER BY max(ts_ns) DESC, trace_id) AS k FROM fx_hits WHERE trace_id <> '' GROUP BY 1, 2) WHERE k <= 5)"
+
+
+def told(s: SparkSession, d: str) -> DataFrame:
+    return with_traces(s, d).withColumn("baseline", F.col("count") / 12).withColumn("template", F.concat(F.lit("`a` <*> & "), "template"))
+
+
+def parts(df: DataFrame, **paths: str) -> DataFrame:
+    return df.select("alert_id", *(F.get_json_object("payload", p).alias(n) for n, p in paths.items()))
+
+
+TIME = "strftime(make_timestamp(started_at * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')"
+TOLD = f"""{EXAMPLES}, lt AS (SELECT * REPLACE ('`a` <*> & ' || template AS template), count / 12.0 AS baseline FROM {LATEST_ALERTS}),
+  told AS (SELECT *, greatest((last_at - started_at) // 60, 0) AS quiet, {TIME} AS started, (SELECT count(*) FROM ex WHERE ex.template_id = lt.template_id) AS n_traces,
+    (SELECT min(trace_id) FROM ex WHERE ex.template_id = lt.template_id AND ex.k = 1) AS trace_1 FROM lt),
+  said AS (SELECT *, CASE kind WHEN 'spike' THEN template || ' spiked to ' || count || ' per window in ' || service || ' (baseline ' || printf('%.1f', baseline) || ')'
+    WHEN 'silence' THEN template || ' has been silent for ' || quiet || ' min in ' || service ELSE 'New log template in ' || service || ': ' || template END AS summary FROM told)"""
 add(
-    "N5_webhook_payload", lambda s, d: N.webhook_payload(with_traces(s, d), "https://obs.example").select("alert_id", F.get_json_object("payload", "$.text").alias("text"), F.get_json_object("payload", "$.started_at").alias("started_at")),
-    f"""SELECT alert_id, CASE kind WHEN 'spike' THEN 'Spike in ' WHEN 'new' THEN 'New log template in ' ELSE 'Silence of a template in ' END || service || ': ' || template AS text, strftime(make_timestamp(started_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS started_at FROM {LATEST_ALERTS}""", "fx_alerts",
+    "N5_webhook_payload",
+    lambda s, d: parts(
+        N.webhook_payload(told(s, d), "https://obs.example/"), kind="$.kind", service="$.service", template_id="$.template_id", template="$.template", count="$.count", started_at="$.started_at",
+        summary="$.summary", link="$.links.template", trace_link="$.links.traces[0]", fourth="$.links.traces[3]", example="$.example_trace_ids[0]",
+    ),
+    f"""WITH {TOLD} SELECT alert_id, kind, service, template_id, template, CAST(count AS VARCHAR) AS count, started AS started_at, summary, 'https://obs.example/logs/templates/' || template_id AS link,
+      'https://obs.example/traces/' || trace_1 AS trace_link, CAST(NULL AS VARCHAR) AS fourth, trace_1 AS example FROM said""", "fx_alerts", "fx_hits",
+)
+ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+add(
+    "N6_slack_payload",
+    lambda s, d: parts(
+        N.slack_payload(told(s, d), "https://obs.example"), text="$.text", header="$.blocks[0].text.text", code="$.blocks[1].text.text", field_1="$.blocks[2].fields[0].text", field_2="$.blocks[2].fields[1].text",
+        field_3="$.blocks[2].fields[2].text", button_1="$.blocks[3].elements[0].action_id", label_2="$.blocks[3].elements[1].text.text", url_2="$.blocks[3].elements[1].url",
+    ),
+    f"""WITH {TOLD}, f AS (SELECT *, '*Baseline*' || chr(10) || printf('%.1f', baseline) || ' per window' AS base FROM said)
+      SELECT alert_id, {ESCAPED.format("summary")} AS text, CASE kind WHEN 'spike' THEN 'Log spike in ' WHEN 'silence' THEN 'Log silence in ' ELSE 'New log template in ' END || service AS header,
+        '```' || {ESCAPED.format("replace(template, '`', 'ˋ')")} || '```' AS code, CASE kind WHEN 'spike' THEN '*Count*' || chr(10) || count || ' per window' WHEN 'silence' THEN '*Silent for*' || chr(10) || quiet || ' min' ELSE '*First seen*' || chr(10) || started END AS field_1,
+        CASE kind WHEN 'spike' THEN base WHEN 'silence' THEN '*Last hit*' || chr(10) || started END AS field_2, CASE kind WHEN 'spike' THEN '*Started*' || chr(10) || started WHEN 'silence' THEN base END AS field_3,
+        'template' AS button_1, CASE WHEN n_traces > 0 THEN 'Trace 1' END AS label_2, 'https://obs.example/traces/' || trace_1 AS url_2 FROM f""", "fx_alerts", "fx_hits",
 )
-add("N6_slack_payload", lambda s, d: N.slack_payload(with_traces(s, d), "https://obs.example"))
 from obsflow.functions.text import redact_urls, severity_label  # noqa: E402
 
 add("N7_redact_urls", lambda s, d: view(s, d, "pages").select("page_id", redact_urls(F.concat(F.lit("at <"), F.col("url"), F.lit("> now"))).alias("text")), "SELECT page_id, regexp_replace('at <' || url || '> now', '(?i)https?://[^\\s\"''<>)]*', '<redacted>', 'g') AS text FROM pages")
@@ -188,8 +234,9 @@ add("N7_redact_urls", lambda s, d: view(s, d, "pages").select("page_id", redact_
 
 STORIES = "(SELECT * FROM fx_stories QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY span_count DESC) = 1)"
 IN_SPANS = f"ts_ns >= {SPANS.start * S} AND ts_ns < {SPANS.end * S}"
-GROUPS = f"grp AS (SELECT fingerprint, count(*) AS n, arg_max(summary, (ts_ns, story_id)) AS summary, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, min(kind) AS kind, min(story_id) AS sample_id FROM {STORIES} WHERE {IN_SPANS} GROUP BY 1 ORDER BY n DESC, fingerprint LIMIT 100)"
+GROUPS = f"grp AS (SELECT fingerprint, count(*) AS n, arg_max(summary, (ts_ns, story_id)) AS summary, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, min(kind) AS kind, arg_max(story_id, (ts_ns, story_id)) AS sample_id FROM {STORIES} WHERE {IN_SPANS} GROUP BY 1 ORDER BY n DESC, fingerprint LIMIT 100)"
 add("Q1_story_groups", lambda s, d: Q.story_groups(story_rows(s, d), SPANS), f"WITH {GROUPS} SELECT * FROM grp", "fx_stories")
+add("Q1_groups_of_service", lambda s, d: Q.story_groups(story_rows(s, d), SPANS, kind="error", service="svc0"), f"WITH {GROUPS.replace(IN_SPANS, IN_SPANS + " AND kind = 'error' AND cause_service = 'svc0'")} SELECT * FROM grp", "fx_stories")
 add("Q2_group_buckets", lambda s, d: Q.group_buckets(story_rows(s, d), SPANS), f"WITH {GROUPS} SELECT fingerprint, {bucket_sql(STEP)} AS bucket, count(*) AS n FROM {STORIES} WHERE {IN_SPANS} AND fingerprint IN (SELECT fingerprint FROM grp) GROUP BY 1, 2", "fx_stories")
 BIGGEST = "substring(md5('error|order o /orders/<*>|svc0'), 1, 16)"
 add("Q3_story_group", lambda s, d: Q.story_group(story_rows(s, d), _md5("error|order o /orders/<*>|svc0"), SPANS).select("story_id", "ts_ns"), f"SELECT story_id, ts_ns FROM {STORIES} WHERE {IN_SPANS} AND fingerprint = {BIGGEST} ORDER BY ts_ns DESC, story_id LIMIT 20", "fx_stories")
@@ -199,7 +246,6 @@ add(
     "Q6_stories_series", lambda s, d: Q.stories_series(story_rows(s, d), SPANS),
     f"SELECT {bucket_sql(STEP)} AS bucket, count(*) FILTER (kind = 'error') AS error, count(*) FILTER (kind = 'slow') AS slow FROM {STORIES} WHERE {IN_SPANS} GROUP BY 1", "fx_stories",
 )
-EXAMPLES = "ex AS (SELECT template_id, trace_id FROM (SELECT template_id, trace_id, row_number() OVER (PARTITION BY template_id ORDER BY max(ts_ns) DESC, trace_id) AS k FROM fx_hits WHERE trace_id <> '' GROUP BY 1, 2) WHERE k <= 5)"
 add(
     "Q7_log_alerts", lambda s, d: Q.log_alerts(known(s, d), D.example_traces(hits(s, d)), story_rows(s, d), LOGS).select("alert_id", "active", "n_stories"),
     f"""WITH {EXAMPLES}, top AS (SELECT *, last_at > {LOG_END - 600} AS active FROM {LATEST_ALERTS} WHERE started_at < {LOG_END} AND last_at >= {LOGS.start} ORDER BY last_at DESC, alert_id LIMIT 200)
@@ -262,14 +308,35 @@ def metric(s: SparkSession, d: str) -> DataFrame:
 
 MB = f"mb AS (SELECT job, metric, instance, CAST((ts_ms - ts_ms % 600000) / 1000 AS BIGINT) AS bucket, arg_max(value, ts_ms) AS value, max(ts_ms) AS at_ms FROM fx_metrics WHERE metric = 'click' AND ts_ms >= {METRIC[0]} AND ts_ms < {METRIC[1]} GROUP BY 1, 2, 3, 4)"
 add("Q19_metric_buckets", metric, f"WITH {MB} SELECT * FROM mb", "fx_metrics")
-INC = f"{MB}, lg AS (SELECT *, lag(value) OVER w AS last, lag(at_ms) OVER w AS last_ms FROM mb WINDOW w AS (PARTITION BY job, metric, instance ORDER BY bucket)), inc AS (SELECT *, CASE WHEN value < last THEN value ELSE value - last END AS increase, at_ms - last_ms AS elapsed_ms FROM lg WHERE last IS NOT NULL AND at_ms > last_ms)"
-add("Q20_counter_rate", lambda s, d: Q.counter_rate(metric(s, d), ["job"]).withColumn("rate", F.round("rate", 6)), f"WITH {INC} SELECT job, bucket, round(sum(increase * 1000 / elapsed_ms), 6) AS rate FROM inc GROUP BY 1, 2", "fx_metrics")
+PAIRS = "{mb}, lg AS (SELECT *, lag(value) OVER w AS last, (bucket - lag(bucket) OVER w) * 1000 AS elapsed_ms FROM mb WINDOW w AS (PARTITION BY job, metric, instance ORDER BY bucket)), inc AS (SELECT *, CASE WHEN value < last THEN value ELSE value - last END AS increase FROM lg WHERE last IS NOT NULL AND (instance <> '' OR elapsed_ms <= {step} OR NOT EXISTS (SELECT 1 FROM mb m WHERE m.job = lg.job AND m.metric = lg.metric AND m.instance <> '')))"
+INC = PAIRS.format(mb=MB, step=600_000)
+SPARSE = (1704067200000, 1704067200000 + 15_000_000)
+SPARSE_MB = f"mb AS (SELECT job, metric, CASE WHEN instance = 'i2' THEN '' ELSE instance END AS instance, CAST((ts_ms - ts_ms % 60000) / 1000 AS BIGINT) AS bucket, arg_max(value, ts_ms) AS value, max(ts_ms) AS at_ms FROM fx_metrics WHERE metric = 'click' AND ts_ms >= {SPARSE[0]} AND ts_ms < {SPARSE[1]} GROUP BY 1, 2, 3, 4)"
+
+
+def sparse(s: SparkSession, d: str) -> DataFrame:
+    """Minutes with gaps; i2 reports without an instance."""
+    own = view(s, d, "fx_metrics").withColumn("instance", F.when(F.col("instance") == "i2", "").otherwise(F.col("instance")))
+    return Q.metric_buckets(own, "click", *SPARSE, 60)
+
+
+def told_rate(df: DataFrame) -> DataFrame:
+    return df.withColumn("rate", F.round("rate", 6))
+
+
+RATE = "round(sum(increase * 1000 / elapsed_ms), 6) AS rate FROM inc"
+add("Q20_counter_rate", lambda s, d: told_rate(Q.counter_rate(metric(s, d), ["job"], 600)), f"WITH {INC} SELECT job, bucket, {RATE} GROUP BY 1, 2", "fx_metrics")
+add("Q20_rate_with_gaps", lambda s, d: told_rate(Q.counter_rate(sparse(s, d), ["job"], 60)), f"WITH {PAIRS.format(mb=SPARSE_MB, step=60_000)} SELECT job, bucket, {RATE} GROUP BY 1, 2", "fx_metrics")
 add("Q21_gauge", lambda s, d: Q.gauge(metric(s, d)), f"WITH {MB} SELECT metric, bucket, CAST(sum(value) AS BIGINT) AS value FROM mb GROUP BY 1, 2", "fx_metrics")
+add(
+    "Q21_gauge_of_replicas", lambda s, d: Q.gauge(metric(s, d).withColumn("metric", F.lit("log_templates"))),
+    f"WITH {MB} SELECT 'log_templates' AS metric, bucket, CAST(sum(value) AS BIGINT) AS value FROM (SELECT job, bucket, max(value) AS value FROM mb GROUP BY 1, 2) GROUP BY 2", "fx_metrics",
+)
 
 
 def by_edge(s: SparkSession, d: str) -> DataFrame:
     le = F.when(F.col("instance") == "i0", 1.0).when(F.col("instance") == "i1", 5.0).otherwise(float("inf"))
-    return Q.histogram_quantile(Q.series_increases(metric(s, d)).withColumn("le", le), 0.9)
+    return Q.histogram_quantile(Q.series_increases(metric(s, d), 600).withColumn("le", le), 0.9)
 
 
 add("Q22_histogram_quantile", by_edge)
@@ -320,7 +387,17 @@ add("U9_edge_tones", lambda s, d: U.edge_tones(totals(s, d)).select("parent_serv
 add("U9_map_summary", lambda s, d: U.map_summary(totals(s, d)), f"SELECT count(*) AS n_edges, count(*) FILTER (errors * 100 >= calls) AS failing, CAST(sum(calls) AS BIGINT) AS calls FROM {TOTALS}", "fx_edges")
 UP_NOW = METRIC[1] // 1000
 add("U10_job_status", lambda s, d: U.job_status(metric(s, d).where("job = 'job0' or bucket < 1704100000").select("job", "bucket", "value"), UP_NOW), f"WITH {MB} SELECT job, CASE WHEN arg_max(value, bucket) >= 1 AND max(bucket) >= {UP_NOW - 180} THEN 'up' ELSE 'down' END AS state FROM mb WHERE job = 'job0' OR bucket < 1704100000 GROUP BY 1", "fx_metrics")
-add("U11_trace_rows", lambda s, d: U.trace_rows(summaries(s, d), 3 * 10**8, 2 * 10**9, SPANS.start * S, SPANS.end * S, "-duration_ns", "trace_id").select("trace_id", "tone", "duration_ns"), f"SELECT trace_id, CASE WHEN is_error THEN 'error' WHEN duration_ns >= 1000000000 THEN 'slow' ELSE 'ok' END AS tone, duration_ns FROM fx_summaries WHERE duration_ns BETWEEN 300000000 AND 2000000000 AND ts_ns BETWEEN {SPANS.start * S} AND {SPANS.end * S}", "fx_summaries")
+
+
+def with_kinds(s: SparkSession, d: str) -> DataFrame:
+    return summaries(s, d).join(Q.stories(story_rows(s, d)).select("trace_id", F.col("kind").alias("story_kind")), "trace_id", "left")
+
+
+add(
+    "U11_trace_rows", lambda s, d: U.trace_rows(with_kinds(s, d), 3 * 10**8, 6 * 10**9, SPANS.start * S, SPANS.end * S, "-duration_ns").select("trace_id", "tone", "duration_ns"),
+    f"""SELECT u.trace_id, CASE WHEN is_error OR kind = 'error' THEN 'err' WHEN kind = 'slow' THEN 'slow' ELSE 'accent' END AS tone, u.duration_ns FROM fx_summaries u LEFT JOIN {STORIES} k USING (trace_id)
+      WHERE u.duration_ns BETWEEN 300000000 AND 6000000000 AND u.ts_ns BETWEEN {SPANS.start * S} AND {SPANS.end * S}""", "fx_summaries", "fx_stories",
+)
 add("U12_waterfall", lambda s, d: U.waterfall(spans(s, d)).select("trace_id", "span_id", "row", "depth", "parent_row", "n_children", "subtree_end"))
 add("U13_waterfall_filter", lambda s, d: U.waterfall_filter(spans(s, d), spans(s, d).where("status = 'error'")))
 add(
@@ -338,7 +415,7 @@ add("G4_edge_table", lambda s, d: U.edge_table(edges(s, d)), f"SELECT parent_ser
 add("G5_alerts_per_hour", lambda s, d: U.alerts_per_hour(known(s, d)), f"SELECT started_at - started_at % 3600 AS hour, kind, count(*) AS n FROM {LATEST_ALERTS} GROUP BY 1, 2", "fx_alerts")
 add("G6_new_templates_per_hour", lambda s, d: U.new_templates_per_hour(templates(s, d)), f"SELECT {bucket_sql(3600, 'first_seen')} AS hour, service, count(*) AS n FROM fx_templates GROUP BY 1, 2", "fx_templates")
 add("G6_top_templates", lambda s, d: U.top_templates(hits(s, d), templates(s, d)).select("template_id", "n", "service"), "SELECT h.template_id, count(DISTINCT log_id) AS n, any_value(t.service) AS service FROM fx_hits h JOIN fx_templates t USING (template_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "fx_hits", "fx_templates")
-add("G7_rate_by_instance", lambda s, d: Q.counter_rate(metric(s, d), ["instance"]).withColumn("rate", F.round("rate", 6)), f"WITH {INC} SELECT instance, bucket, round(sum(increase * 1000 / elapsed_ms), 6) AS rate FROM inc GROUP BY 1, 2", "fx_metrics")
+add("G7_rate_by_instance", lambda s, d: told_rate(Q.counter_rate(metric(s, d), ["instance"], 600)), f"WITH {INC} SELECT instance, bucket, {RATE} GROUP BY 1, 2", "fx_metrics")
 add("G8_group_lag", lambda s, d: U.group_lag(view(s, d, "fx_offsets").select("grp", "topic", "part", "committed"), view(s, d, "fx_offsets").select("topic", "part", "high")), "SELECT grp, CAST(sum(high - committed) AS BIGINT) AS lag FROM fx_offsets GROUP BY 1", "fx_offsets")
 add("M16_parse_openmetrics", lambda s, d: metrics.parse_openmetrics(metrics.exposition(view(s, d, "fx_metrics")))[0].groupBy("name").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "SELECT metric AS name, count(*) AS n, CAST(sum(value) AS DOUBLE) AS total FROM fx_metrics GROUP BY 1", "fx_metrics")
 add("M17_metric_rows", lambda s, d: metrics.metric_rows(metrics.parse_openmetrics(metrics.exposition(view(s, d, "fx_metrics")))[0], "job0", "i0", METRIC[0]).groupBy("metric").agg(F.count("*").alias("n")), "SELECT metric, count(*) AS n FROM fx_metrics GROUP BY 1 UNION ALL SELECT 'up', 1", "fx_metrics")

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in spark.checkpoint.dir; a folder is made only where the session names none, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="obsflow-"))
-    return df.checkpoint()
+    """df as a table in spark.checkpoint.dir, computed once; a folder is made only where the session names none, as in tests."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _folder()
+    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@cache
+def _folder() -> str:
+    return tempfile.mkdtemp(prefix="obsflow-")

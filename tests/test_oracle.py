@@ -9,7 +9,8 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = [
     "M11_latest", "M13_template_minutes", "T1_dedup_spans", "T5_sessionize_batch", "A3_span_tree", "A6_ancestors", "A8_root_cause", "A12_explain", "A17_endpoint_stats", "A24_baseline_diff",
-    "A28_span_self_ns", "L3_distinct_sequences", "D4_spike_baseline", "D7_spike_alerts", "D15_example_traces", "N3_delivery_outcome", "Q1_story_groups", "Q7_log_alerts", "Q8_log_templates", "Q12_service_graph", "Q13_overview", "Q11_service_map", "Q14_traces_search", "Q20_counter_rate", "U3_alert_activity",
+    "A28_span_self_ns", "L3_distinct_sequences", "D4_spike_baseline", "D7_spike_alerts", "D15_example_traces", "N3_delivery_outcome", "Q1_story_groups", "Q7_log_alerts", "Q8_log_templates", "Q12_service_graph", "Q13_overview", "Q11_service_map", "Q14_traces_search", "Q20_counter_rate", "Q20_rate_with_gaps", "Q21_gauge_of_replicas", "Q1_groups_of_service", "N5_webhook_payload",
+    "N6_slack_payload", "U3_alert_activity", "U11_trace_rows",
 ]
 
 

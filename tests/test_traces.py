@@ -74,6 +74,82 @@ def test_cycles_are_cut_once(spark):
     assert rows == {"1": (None, True), "2": ("1", False), "3": ("2", False), "4": ("2", False)}
 
 
+def climbed(spans):
+    """The spans that lose their parent, found by climbing from one span after the other."""
+    by_id = {s[1]: s for s in spans}
+    up = {s[1]: s[2] for s in spans if s[2] in by_id and s[2] != s[1]}
+    reached, lost = set(), set()
+
+    def reach(top):
+        todo = [top]
+        while todo:
+            i = todo.pop()
+            if i not in reached:
+                reached.add(i)
+                todo += [c for c, p in up.items() if p == i]
+
+    for s in spans:
+        if s[1] not in up:
+            reach(s[1])
+    for s in sorted(spans, key=lambda s: (s[6], s[1])):
+        if s[1] not in reached:
+            met, i = set(), s[1]
+            while i not in met:
+                met.add(i)
+                i = up[i]
+            del up[i]
+            lost.add(i)
+            reach(i)
+    return lost
+
+
+def test_cycles_are_cut_where_a_climb_meets_them(spark):
+    draw = random.Random(9)
+    rows, want = [], set()
+    for t in range(40):
+        own = [span(f"{k:02}", f"{draw.randrange(16 if t % 2 else 12):02}", draw.randint(0, 6), 9, trace=f"t{t}") for k in range(12)]
+        rows += own
+        want |= {(f"t{t}", i) for i in climbed(own)}
+    found = traces.cut_cycles(frame(spark, *rows))
+    assert found.count() == len(rows)
+    assert {(r.trace_id, r.span_id) for r in found.where("cut").collect()} == want and len(want) > 20
+    assert traces.cut_cycles(frame(spark)).count() == 0
+
+
+def marked(spans):
+    """Spans of the path from the longest root, visited one by one."""
+    by_id = {s[1]: s for s in spans}
+    roots = [s for s in spans if s[2] not in by_id or s[2] == s[1]]
+    if not roots:
+        return set()
+    top = min(roots, key=lambda s: (s[6] - s[7], s[6], s[1]))
+    out, todo = set(), [(top, top[7])]
+    while todo:
+        s, bound = todo.pop()
+        out.add(s[1])
+        for c in sorted((c for c in spans if c[2] == s[1] and c[1] != s[1]), key=lambda c: (-c[7], c[6], c[1])):
+            if min(c[7], s[7]) <= bound:
+                todo.append((c, min(c[7], s[7])))
+                bound = c[6]
+    return out
+
+
+def test_critical_spans_equal_a_walk(spark):
+    draw = random.Random(5)
+    rows, want = [], set()
+    for t in range(30):
+        own = []
+        for k in range(20):
+            parent = f"{draw.randrange(k):02}" if k and draw.random() < 0.9 else ""
+            a = draw.randint(0, 40)
+            own.append(span(f"{k:02}", parent, a, a + draw.randint(0, 40), trace=f"t{t}"))
+        own += [span(f"x{k}", f"x{(k + 1) % 3}", 0, 9, trace=f"t{t}") for k in range(3)]
+        rows += own
+        want |= {(f"t{t}", i) for i in marked(own)}
+    found = critical_path.critical_spans(frame(spark, *rows)).collect()
+    assert len(found) == len(want) and {(r.trace_id, r.span_id) for r in found} == want
+
+
 def walk(spans, root, skew):
     """The same path, one span after the other."""
     by_id = {s[1]: s for s in spans}
