@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import chunks, decontaminate, extract, lbl, licenses, oracles, packing, quality, rans, repeats, simhash
+from obsflow.llm import chunks, decontaminate, dialogue, extract, lbl, licenses, oracles, packing, quality, rans, repeats, simhash
 from obsflow.llm.common import table
 
 
@@ -61,8 +61,16 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repaired(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans_ids, op2_packing, op3_benchmark, op4_lbl_scores, op5_repeated_passages, op6_quality, op7_near_duplicates, op8_repeated_strings, op9_licenses, op10_main_text)}
+    found = (
+        op1_rans_ids, op2_packing, op3_benchmark, op4_lbl_scores, op5_repeated_passages, op6_quality, op7_near_duplicates, op8_repeated_strings,
+        op9_licenses, op10_main_text, op12_conversations,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
