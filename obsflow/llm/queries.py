@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import chunks, decontaminate, dialogue, extract, lbl, licenses, oracles, packing, quality, rans, repeats, simhash
+from obsflow.llm import chunks, decontaminate, dialogue, extract, lbl, lexical, licenses, oracles, packing, quality, rans, repeats, sanitise, simhash
 from obsflow.llm.common import table
 
 
@@ -61,18 +61,27 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.sanitised(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms")
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repaired(dialogue.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_rans_ids, op2_packing, op3_benchmark, op4_lbl_scores, op5_repeated_passages, op6_quality, op7_near_duplicates, op8_repeated_strings,
-        op9_licenses, op10_main_text, op12_conversations,
+        op9_licenses, op10_main_text, op11_personal_data, op12_conversations, op13_search,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are out of SQL's reach on whole tables; tests/llm holds them against brute force."""
-    return {"op6_quality": oracles.quality()}
+    return {"op6_quality": oracles.quality(), "op13_search": oracles.SEARCH}
