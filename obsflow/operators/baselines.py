@@ -85,6 +85,15 @@ def baselines_from_summaries(summaries: DataFrame) -> DataFrame:
     return summaries.where("not is_error").groupBy(*KEYS).agg(F.count("*").alias("traces"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"))
 
 
+def offline_op_stats(summaries: DataFrame) -> DataFrame:
+    """The operations of offline baselines: presence, the share of an endpoint's non-error traces, and the nearest-rank p95."""
+    good = summaries.where("not is_error")
+    traces = good.groupBy(*KEYS).agg(F.count("*").alias("traces"))
+    ops = good.select(*KEYS, F.explode("op_durations").alias("op", "duration")).groupBy(*KEYS, "op")
+    p95 = F.expr("percentile_disc(0.95) within group (order by duration)").cast("long").alias("p95")
+    return ops.agg(F.count("*").alias("present"), p95).join(traces, KEYS).select(*KEYS, "op", (F.col("present") / F.col("traces")).alias("presence"), "p95")
+
+
 def slow_traces(summaries: DataFrame, baselines: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     trusted = baselines.where(F.col("traces") >= t.min_traces).select(*KEYS, "p99")
     return summaries.where("not is_error").join(trusted, KEYS).where(F.col("duration_ns") > slow_limit(F.col("p99"), t))

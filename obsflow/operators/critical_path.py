@@ -1,62 +1,20 @@
-"""The critical path: segments that tile the root's window, each named after the span that ran it.
-
-A span's children are walked from the latest end to the earliest start with one cursor, so what a span contributes
-depends on its own window and its direct children only. The walk therefore goes level by level: all spans of a level
-in all traces at once, one fold over each one's sorted children, and the windows it hands down are the next level.
-"""
+"""The critical path: segments that tile the root's window, each named after the span that ran it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsflow.operators.traces import parents, span_tree
+from obsflow.operators import trace_trees as trees
+from obsflow.operators.traces import parents
 from obsflow.sources.checkpoint import cut
 
-SKEW_NS = 5_000_000
-
-
-def critical_path(spans: DataFrame, skew_ns: int = SKEW_NS, most_levels: int = 10_000) -> DataFrame:
-    """(trace_id, span_id, start_ns, end_ns) segments; none is empty."""
-    linked = parents(spans)
-    child = F.struct(F.col("end_ns").alias("e"), F.col("start_ns").alias("s"), F.col("span_id").alias("id"))
-    children = linked.where("parent_id is not null").groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.collect_list(child).alias("children"))
-    roots = span_tree(spans).select("trace_id", F.col("root_id").alias("span_id"))
-    level = cut(spans.join(roots, ["trace_id", "span_id"], "left_semi").select("trace_id", "span_id", F.col("start_ns").alias("lo"), F.col("end_ns").alias("hi")))
-    children = cut(children)
-    segments = None
-    for _ in range(most_levels):
-        walked = cut(_walk(level.join(children, ["trace_id", "span_id"], "left"), skew_ns))
-        found = walked.select("trace_id", "span_id", F.explode("done.segments").alias("x")).select("trace_id", "span_id", "x.*")
-        segments = found if segments is None else segments.unionByName(found)
-        level = walked.select("trace_id", F.explode("done.next").alias("x")).select("trace_id", F.col("x.id").alias("span_id"), "x.lo", "x.hi")
-        if level.isEmpty():
-            break
-    return segments
-
-
-def _walk(level: DataFrame, skew_ns: int) -> DataFrame:
-    kept = F.filter(F.coalesce("children", F.array()), lambda c: (c["e"] <= F.col("hi") + skew_ns) & (c["e"] > F.col("lo")) & (c["s"] < F.col("hi")))
-    clamped = F.transform(kept, lambda c: F.struct(F.least(c["e"], F.col("hi")).alias("e"), c["id"].alias("id"), F.greatest(c["s"], F.col("lo")).alias("s")))
-    ordered = F.reverse(F.array_sort(clamped))
-    segment, handed = "array<struct<start_ns: bigint, end_ns: bigint>>", "array<struct<id: string, lo: bigint, hi: bigint>>"
-    start = F.struct(F.col("hi").alias("cursor"), F.array().cast(segment).alias("segments"), F.array().cast(handed).alias("next"))
-
-    def step(acc, c):  # noqa: ANN001, ANN202
-        over = c["e"] > acc["cursor"]
-        skip = over & ~((c["s"] < acc["cursor"]) & (c["e"] - acc["cursor"] <= skew_ns))
-        end = F.when(over, acc["cursor"]).otherwise(c["e"])
-        gap = F.when(acc["cursor"] > end, F.array(F.struct(end.alias("start_ns"), acc["cursor"].alias("end_ns")))).otherwise(F.array().cast(segment))
-        after = F.struct(
-            c["s"].alias("cursor"), F.concat(acc["segments"], gap).alias("segments"), F.concat(acc["next"], F.array(F.struct(c["id"].alias("id"), c["s"].alias("lo"), end.alias("hi")))).alias("next")
-        )
-        return F.when(skip, acc).otherwise(after)
-
-    def finish(acc):  # noqa: ANN001, ANN202
-        rest = F.when(acc["cursor"] > F.col("lo"), F.array(F.struct(F.col("lo").alias("start_ns"), acc["cursor"].alias("end_ns")))).otherwise(F.array().cast(segment))
-        return F.struct(F.concat(acc["segments"], rest).alias("segments"), acc["next"].alias("next"))
 
-    return level.select("trace_id", "span_id", F.aggregate(ordered, start, step, finish).alias("done"))
+def critical_path(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, start_ns, end_ns) segments; none is empty. One shuffle, however deep the traces are."""
+    rows = trees.with_critical_path(trees.bundles(spans.select("trace_id", "span_id", "parent_span_id", "start_ns", "end_ns")))
+    named = F.transform("critical.segments", lambda x: F.struct(F.get("spans", x["span"])["span_id"].alias("span_id"), x["start_ns"].alias("start_ns"), x["end_ns"].alias("end_ns")))
+    return rows.select("trace_id", F.explode(named).alias("x")).select("trace_id", "x.*")
 
 
 def critical_spans(spans: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Traces: parents, ancestors, root causes, summaries, edges, self times.
 
-Nothing recurses and nothing is collected: ancestors come from pointer doubling, a dozen rounds for chains of
-thousands of spans, each round a join that stays within traces.
+What needs a trace's shape works on rows that hold whole traces (`trace_trees`), after one shuffle by trace. All pairs of
+spans and their ancestors, where they are the result, come from pointer doubling.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsflow.functions.text import endpoint_name, mask, operation_of, peer_of, short_hash
+from obsflow.operators import trace_trees as trees
 
 SEVERITY_ERROR = 17
 
@@ -23,13 +24,11 @@ def parents(spans: DataFrame) -> DataFrame:
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
-    """One row per trace: root_id (the earliest parentless span), n_roots, n_spans, incomplete."""
-    return parents(spans).groupBy("trace_id").agg(
-        F.min_by(F.when(F.col("parent_id").isNull(), F.col("span_id")), F.when(F.col("parent_id").isNull(), F.struct("start_ns", "span_id"))).alias("root_id"),
-        F.count_if(F.col("parent_id").isNull()).alias("n_roots"),
-        F.count("*").alias("n_spans"),
-        (F.max("missing") | (F.count_if(F.col("parent_id").isNull()) != 1)).alias("incomplete"),
-    )
+    """One row per trace: root_id (the earliest parentless span, else the earliest one at which a cycle was cut), n_roots (parentless spans), n_spans, incomplete."""
+    rows = trees.with_tree(trees.bundles(spans.select("trace_id", "span_id", "parent_span_id", "start_ns")))
+    tops = F.size(F.filter("tree.up", lambda u: u < 0)) - F.size(F.filter("tree.cut", lambda c: c))
+    root = F.get("spans", F.col("tree.root"))["span_id"].alias("root_id")
+    return rows.select("trace_id", root, tops.cast("long").alias("n_roots"), F.size("spans").cast("long").alias("n_spans"), "tree.incomplete")
 
 
 def ancestors(links: DataFrame, most_rounds: int = 20) -> DataFrame:
@@ -50,43 +49,16 @@ def ancestors(links: DataFrame, most_rounds: int = 20) -> DataFrame:
             return paths
         paths = cut(paths.unionByName(longer).groupBy("trace_id", "span_id", "ancestor_id").agg(F.min("distance").alias("distance")))
         reach *= 2
-    return paths
+    raise RuntimeError(f"some spans have more than {reach} others above them")
 
 
 def cut_cycles(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, parent_id, cut): links without cycles.
 
     Of spans that reach no root, the earliest one (ties by id) climbs, and the first span that it meets twice loses its
-    parent. Pointers double until they are as long as the largest such trace; spans under a root drop out on the way, so
-    a round has at most a row for each span.
+    parent.
     """
-    from obsflow.sources.checkpoint import cut
-
-    links = parents(spans).select("trace_id", "span_id", "start_ns", "parent_id")
-    step = links.where("parent_id is not null").select("trace_id", "span_id", F.col("parent_id").alias("up"))
-    stuck, rounds = step, 0
-    while (stuck.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0) > 2**rounds:
-        stuck, rounds = cut(_doubled(stuck)), rounds + 1
-    ring = cut(stuck.select("trace_id", F.col("up").alias("span_id")).distinct())
-    on_ring = ring.withColumn("_on", F.lit(True))
-    enter = stuck.select("trace_id", "span_id").join(step, ["trace_id", "span_id"]).join(on_ring, ["trace_id", "span_id"], "left")
-    enter = enter.select("trace_id", "span_id", F.when(F.col("_on"), F.col("span_id")).otherwise(F.col("up")).alias("up"))
-    name = step.join(ring, ["trace_id", "span_id"], "left_semi").withColumn("low", F.least("span_id", "up"))
-    if rounds and not ring.isEmpty():
-        for _ in range(rounds):
-            enter, name = cut(_doubled(enter)), cut(_doubled(name))
-    whole = enter.join(name.select("trace_id", F.col("span_id").alias("up"), "low"), ["trace_id", "up"]).join(links.select("trace_id", "span_id", "start_ns"), ["trace_id", "span_id"])
-    lead = whole.groupBy("trace_id", "low").agg(F.min_by("up", F.struct("start_ns", "span_id")).alias("span_id")).select("trace_id", "span_id", F.lit(True).alias("cut"))
-    marked = links.join(lead, ["trace_id", "span_id"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
-    return marked.select("trace_id", "span_id", F.when(~F.col("cut"), F.col("parent_id")).alias("parent_id"), "cut")
-
-
-def _doubled(jumps: DataFrame) -> DataFrame:
-    """Pointers (trace_id, span_id, up) of twice the length, with the lowest name (low) on the way if there is one; those that leave the table go."""
-    named = "low" in jumps.columns
-    after = jumps.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_far"), *([F.col("low").alias("_low")] if named else []))
-    joined = jumps.join(after, ["trace_id", "up"])
-    return joined.select("trace_id", "span_id", F.col("_far").alias("up"), *([F.least("low", "_low").alias("low")] if named else []))
+    return trees.nested_intervals(spans).select("trace_id", "span_id", "parent_id", "cut")
 
 
 def attach_logs(spans: DataFrame, logs: DataFrame) -> DataFrame:
@@ -105,21 +77,12 @@ def error_flags(spans: DataFrame, logs: DataFrame | None = None) -> DataFrame:
     return spans.join(bad, ["trace_id", "span_id"], "left").withColumn("is_error", own | F.coalesce("_log", F.lit(False))).drop("_log")
 
 
-def error_leaves(flagged: DataFrame) -> DataFrame:
-    """Error spans with no error below them. Only traces with an error are climbed."""
-    errors = flagged.where("is_error").select("trace_id", "span_id")
-    failing = flagged.join(errors.select("trace_id").distinct(), "trace_id", "left_semi")
-    above = ancestors(parents(failing).select("trace_id", "span_id", "parent_id"))
-    covered = above.join(errors, ["trace_id", "span_id"], "left_semi").select("trace_id", F.col("ancestor_id").alias("span_id"))
-    return flagged.where("is_error").join(covered, ["trace_id", "span_id"], "left_anti")
-
-
 def root_causes(flagged: DataFrame) -> DataFrame:
-    """Per trace the error leaf that ended first, and also_failed: the other leaves in the order they ended."""
-    order = F.struct("end_ns", "start_ns", "span_id")
-    leaves = error_leaves(flagged).groupBy("trace_id").agg(F.array_sort(F.collect_list(order)).alias("leaves"))
-    also = F.transform(F.slice("leaves", 2, F.greatest(F.size("leaves") - 1, F.lit(0))), lambda x: x["span_id"])
-    return leaves.select("trace_id", F.col("leaves")[0]["span_id"].alias("cause_id"), also.alias("also_failed"))
+    """Per failing trace the error span without errors below it that ended first, and also_failed: the others in the order they ended."""
+    rows = trees.bundles(flagged.select("trace_id", "span_id", "parent_span_id", "start_ns", "end_ns", "is_error")).where(F.exists("spans", lambda s: s["is_error"]))
+    leaves = F.transform(trees.at(F.col("spans"), trees.error_leaves(F.col("spans.is_error"))), lambda s: s["span_id"])
+    found = rows.withColumn("leaves", leaves)
+    return found.select("trace_id", F.get("leaves", F.lit(0)).alias("cause_id"), F.slice("leaves", 2, F.greatest(F.size("leaves") - 1, F.lit(0))).alias("also_failed"))
 
 
 def error_messages(spans: DataFrame, logs: DataFrame | None = None) -> DataFrame:
@@ -149,29 +112,32 @@ def with_children(spans: DataFrame) -> DataFrame:
     return spans.join(counts, ["trace_id", "span_id"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
 
 
+def _roots(flagged: DataFrame, *more: str) -> DataFrame:
+    own = flagged.select("trace_id", "span_id", "parent_span_id", "start_ns", "end_ns", "service", "name", "is_error", *more)
+    return trees.with_tree(trees.bundles(own)).withColumn("root", F.get("spans", F.col("tree.root")))
+
+
 def trace_summaries(flagged: DataFrame) -> DataFrame:
     """Per trace: ts, endpoint, root duration, is_error, span_count, and the longest duration of each operation."""
-    roots = span_tree(flagged).select("trace_id", F.col("root_id").alias("span_id"))
-    root = flagged.join(roots, ["trace_id", "span_id"]).select(
-        "trace_id", F.col("start_ns").alias("ts_ns"), F.col("service").alias("endpoint_service"), endpoint_name(F.col("name"), F.col("attrs")).alias("endpoint_name"), (F.col("end_ns") - F.col("start_ns")).alias("duration_ns")
-    )
-    per_op = flagged.groupBy("trace_id", F.concat_ws(":", "service", "name").alias("op")).agg(
-        F.max(F.col("end_ns") - F.col("start_ns")).alias("longest"), F.max("is_error").alias("is_error"), F.count("*").alias("n")
-    )
-    whole = per_op.groupBy("trace_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("op", "longest")))).alias("op_durations"), F.max("is_error").alias("is_error"), F.sum("n").alias("span_count"))
-    return root.join(whole, "trace_id")
+    rows = _roots(flagged.withColumn("endpoint", endpoint_name(F.col("name"), F.col("attrs"))), "endpoint")
+    return rows.select(
+        "trace_id", F.col("root.start_ns").alias("ts_ns"), F.col("root.service").alias("endpoint_service"), F.col("root.endpoint").alias("endpoint_name"),
+        (F.col("root.end_ns") - F.col("root.start_ns")).alias("duration_ns"), F.map_from_entries(trees.op_durations()).alias("op_durations"),
+        F.exists("spans", lambda s: s["is_error"]).alias("is_error"), F.size("spans").cast("long").alias("span_count"),
+    )
 
 
 def service_edges(flagged: DataFrame) -> DataFrame:
     """Calls between services by the minute their trace starts: calls, errors and time."""
-    linked = parents(flagged).where("parent_id is not null")
-    up = flagged.select("trace_id", F.col("span_id").alias("parent_id"), F.col("service").alias("parent_service"))
-    roots = span_tree(flagged).select("trace_id", F.col("root_id").alias("span_id"))
-    minutes = flagged.join(roots, ["trace_id", "span_id"], "left_semi").select("trace_id", F.floor((F.col("start_ns") - F.col("start_ns") % 60_000_000_000) / 1_000_000_000).cast("long").alias("minute"))
-    calls = linked.join(up, ["trace_id", "parent_id"]).where("service <> parent_service").join(minutes, "trace_id")
-    return calls.groupBy("minute", "parent_service", F.col("service").alias("child_service")).agg(
-        F.count("*").alias("calls"), F.count_if("is_error").alias("errors"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("duration_ns_sum")
-    )
+
+    def call(s, i):  # noqa: ANN001, ANN202
+        above = F.get("spans", F.get("tree.up", i))["service"]
+        return F.struct(above.alias("parent_service"), s["service"].alias("child_service"), s["is_error"].alias("is_error"), (s["end_ns"] - s["start_ns"]).alias("ns"))
+
+    minute = ((F.col("root.start_ns") - F.col("root.start_ns") % 60_000_000_000) / 1_000_000_000).cast("long").alias("minute")
+    crossing = F.filter(F.transform("spans", call), lambda c: c["parent_service"] != c["child_service"])
+    calls = _roots(flagged).select(minute, F.explode(crossing).alias("c")).select("minute", "c.*")
+    return calls.groupBy("minute", "parent_service", "child_service").agg(F.count("*").alias("calls"), F.count_if("is_error").alias("errors"), F.sum("ns").alias("duration_ns_sum"))
 
 
 def span_self_ns(spans: DataFrame) -> DataFrame:
@@ -187,33 +153,3 @@ def span_self_ns(spans: DataFrame) -> DataFrame:
 
 def story_fingerprint(kind: str, service: str, name: str, cause_service: str, cause_name: str, message: str):  # noqa: ANN201
     return short_hash(F.col(kind), F.col(service), F.col(name), F.col(cause_service), F.col(cause_name), mask(F.col(message)))
-
-
-def error_stories(spans: DataFrame, logs: DataFrame, most_logs: int = 50) -> DataFrame:
-    """One row per failing trace: cause, message, summary, path from the root, other failures, logs, fingerprint, flags."""
-    flagged = error_flags(spans, logs)
-    causes = root_causes(flagged)
-    trees = span_tree(spans).select("trace_id", "incomplete", "n_spans")
-    ids = causes.select("trace_id", F.col("cause_id").alias("span_id"))
-    told = explain(with_children(error_messages(spans, logs))).join(ids, ["trace_id", "span_id"], "left_semi").select(
-        "trace_id", F.col("span_id").alias("cause_id"), F.col("service").alias("cause_service"), F.col("name").alias("cause_name"), "message", "exception_type", "summary"
-    )
-    above = ancestors(parents(spans).select("trace_id", "span_id", "parent_id")).join(ids, ["trace_id", "span_id"], "left_semi")
-    steps = above.select("trace_id", F.col("ancestor_id").alias("span_id"), "distance").unionByName(ids.withColumn("distance", F.lit(0)))
-    named = steps.join(spans.select("trace_id", "span_id", "service"), ["trace_id", "span_id"])
-    sorted_path = F.transform(F.sort_array(F.collect_list(F.struct("distance", "span_id", "service")), asc=False), lambda x: F.struct(x["span_id"], x["service"]))
-    path = named.groupBy("trace_id").agg(sorted_path.alias("path"))
-    neighbours = F.aggregate(
-        F.transform("path", lambda x: x["service"]), F.array().cast("array<string>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == s), acc).otherwise(F.concat(acc, F.array(s))),
-    )
-    order = F.array_sort(F.collect_list(F.struct((-F.col("severity_number")).alias("rank"), "ts_ns", "service", "span_id", "body")))
-    own_logs = logs.where("trace_id <> ''").groupBy("trace_id").agg(F.slice(order, 1, most_logs).alias("logs"))
-    summaries = trace_summaries(flagged).select("trace_id", "ts_ns", "endpoint_service", "endpoint_name", "duration_ns")
-    joined = causes.join(told, ["trace_id", "cause_id"]).join(path, "trace_id").join(trees, "trace_id").join(summaries, "trace_id").join(own_logs, "trace_id", "left")
-    return joined.withColumn("kind", F.lit("error")).select(
-        F.col("trace_id").alias("story_id"), "trace_id", "kind", "ts_ns", "duration_ns", "endpoint_service", "endpoint_name", "cause_id", "cause_service", "cause_name", "message", "exception_type",
-        "summary", F.transform("path", lambda x: x["span_id"]).alias("path_spans"), neighbours.alias("path_services"), "also_failed", F.col("n_spans").alias("span_count"),
-        story_fingerprint("kind", "endpoint_service", "endpoint_name", "cause_service", "cause_name", "message").alias("fingerprint"),
-        F.when(F.col("incomplete"), F.array(F.lit("incomplete"))).otherwise(F.array().cast("array<string>")).alias("flags"), "logs",
-    )

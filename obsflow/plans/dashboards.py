@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsflow.operators.tables import latest
-from obsflow.operators.traces import ancestors, parents
+from obsflow.operators import trace_trees as trees
 from obsflow.plans.read_queries import Range, bucket, stories
 from obsflow.sources.checkpoint import cut
 
@@ -108,32 +108,32 @@ def trace_rows(found: DataFrame, low_ns: int, high_ns: int, start_ns: int, end_n
 
 def waterfall(spans: DataFrame) -> DataFrame:
     """Depth-first rows of each trace: row, depth, parent row, children, the end of the subtree, offset and width as shares of the trace."""
-    linked = parents(spans).select("trace_id", "span_id", "parent_id", "start_ns", "end_ns")
-    above = ancestors(linked.select("trace_id", "span_id", "parent_id"))
-    starts = linked.select("trace_id", F.col("span_id").alias("ancestor_id"), "start_ns")
-    steps = above.join(starts, ["trace_id", "ancestor_id"]).select("trace_id", "span_id", "distance", F.struct("start_ns", F.col("ancestor_id").alias("id")).alias("step"))
-    own = linked.select("trace_id", "span_id", F.lit(0).alias("distance"), F.struct("start_ns", F.col("span_id").alias("id")).alias("step"))
-    path = F.transform(F.sort_array(F.collect_list(F.struct("distance", "step")), asc=False), lambda x: x["step"])
-    placed = steps.unionByName(own).groupBy("trace_id", "span_id").agg(path.alias("path"), (F.count("*") - 1).alias("depth"))
-    subtree = above.groupBy("trace_id", F.col("ancestor_id").alias("span_id")).agg(F.count("*").alias("below"), F.count_if(F.col("distance") == 1).alias("n_children"))
-    bounds = linked.groupBy("trace_id").agg(F.min("start_ns").alias("low"), F.max("end_ns").alias("high"))
-    rows = linked.join(placed, ["trace_id", "span_id"]).join(subtree, ["trace_id", "span_id"], "left").join(bounds, "trace_id")
-    w = Window.partitionBy("trace_id").orderBy("path")
-    numbered = rows.withColumn("row", F.row_number().over(w) - 1).withColumns({"below": F.coalesce("below", F.lit(0)), "n_children": F.coalesce("n_children", F.lit(0))})
-    up = numbered.select("trace_id", F.col("span_id").alias("parent_id"), F.col("row").alias("parent_row"))
+    rows = trees.with_tree(trees.bundles(spans.select("trace_id", "span_id", "parent_span_id", "start_ns", "end_ns")))
+    rows = rows.withColumns({"low": F.array_min("spans.start_ns"), "high": F.array_max("spans.end_ns")})
     length = F.greatest(F.col("high") - F.col("low"), F.lit(1))
-    return numbered.join(up, ["trace_id", "parent_id"], "left").select(
-        "trace_id", "span_id", "row", "depth", "parent_row", "n_children", (F.col("row") + F.col("below")).alias("subtree_end"),
-        ((F.col("start_ns") - F.col("low")) / length).alias("offset"), ((F.col("end_ns") - F.col("start_ns")) / length).alias("width"),
-    )
+
+    def one(s, i):  # noqa: ANN001, ANN202
+        of = lambda c: F.get(f"tree.{c}", i)
+        return F.struct(
+            s["span_id"].alias("span_id"), of("first").alias("row"), of("depth").alias("depth"), F.when(of("up") >= 0, F.get("tree.first", of("up"))).alias("parent_row"),
+            of("n_kids").alias("n_children"), of("last").alias("subtree_end"), ((s["start_ns"] - F.col("low")) / length).alias("offset"), ((s["end_ns"] - s["start_ns"]) / length).alias("width"),
+        )
+
+    return rows.select("trace_id", F.explode(F.transform("spans", one)).alias("x")).select("trace_id", "x.*")
+
+
+def visible_matches(spans: DataFrame, only: str = "all", query: str = "") -> DataFrame:
+    """The spans (with error and critical) that a filter ("all", "errors", "critical") and a text search let through."""
+    text = query.strip().lower()
+    own = spans if only == "all" else spans.where("error" if only == "errors" else "critical")
+    has = lambda c: F.contains(F.lower(c), F.lit(text))
+    attrs = F.exists(F.map_entries("attrs"), lambda e: has(e["key"]) | has(e["value"]))
+    return own if not text else own.where(has(F.col("service")) | has(F.col("name")) | F.coalesce(attrs, F.lit(False)))
 
 
 def waterfall_filter(spans: DataFrame, matches: DataFrame) -> DataFrame:
     """(trace_id, span_id, is_context): the matching spans, and their ancestors as context."""
-    above = ancestors(parents(spans).select("trace_id", "span_id", "parent_id")).join(matches.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_semi")
-    context = above.select("trace_id", F.col("ancestor_id").alias("span_id")).distinct().withColumn("is_context", F.lit(True))
-    own = matches.select("trace_id", "span_id").distinct().withColumn("is_context", F.lit(False))
-    return own.unionByName(context).groupBy("trace_id", "span_id").agg(F.min("is_context").alias("is_context"))
+    return trees.with_context(spans, matches)
 
 
 def compact_rows(tiers: DataFrame, most: int) -> DataFrame:

@@ -16,7 +16,8 @@ from obsflow.operators import mining as L
 from obsflow.operators import tables as M
 from obsflow.operators import traces as A
 from obsflow.plans import read_queries as Q
-from obsflow.operators.slow_stories import slow_stories
+from obsflow.operators import stories as ST
+from obsflow.operators import trace_trees as TT
 from obsflow.sources.fixtures import LOG_END, SPAN_END, logs, spans, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,13 +38,15 @@ def flagged(s: SparkSession, d: str) -> DataFrame:
     return A.error_flags(spans(s, d))
 
 
-def kinds(df: DataFrame) -> DataFrame:
-    """Maps as JSON text, so that results compare as values."""
-    return df.select(*(F.to_json(c).alias(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes))
+def kinds(df: DataFrame, *more: str) -> DataFrame:
+    """Maps (and more) as JSON text, so that results compare as values."""
+    return df.select(*(F.to_json(c).alias(c) if t.startswith(("map", *more)) else F.col(c) for c, t in df.dtypes))
 
 
 # tables and sources
 
+MASK = "regexp_replace(regexp_replace(regexp_replace({0}, '\\b[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}\\b', '<*>', 'g'), '\\b(?:0x)?[0-9a-fA-F]{{8,}}\\b', '<*>', 'g'), '\\d+(?:\\.\\d+)?', '<*>', 'g')"
+
 add(
     "M5_log_id", lambda s, d: logs(s, d).select("log_id", T.log_id(F.col("trace_id"), F.col("span_id"), F.col("ts_ns"), F.col("body")).alias("stable_id")),
     "SELECT log_id, substring(md5(trace_id || chr(0) || span_id || chr(0) || ts_ns || chr(0) || body || chr(0)), 1, 16) AS stable_id FROM fx_logs", "fx_logs",
@@ -124,12 +127,32 @@ add(
     f"""SELECT trace_id, arg_min(span_id, CASE WHEN parent_id IS NULL THEN start_ns END) AS root_id, count(*) FILTER (parent_id IS NULL) AS n_roots, count(*) AS n_spans,
         bool_or(parent_id IS NULL AND parent_span_id <> '') OR count(*) FILTER (parent_id IS NULL) <> 1 AS incomplete FROM ({KNOWN}) GROUP BY 1""", "fx_spans",
 )
-add("A4_cut_cycles", lambda s, d: A.cut_cycles(spans(s, d).withColumn("parent_span_id", F.when((F.col("parent_span_id") == "") & (F.substring("trace_id", 32, 1) == "7"), F.concat(F.substring("span_id", 1, 15), F.lit("1"))).otherwise(F.col("parent_span_id")))).where("cut"))
+
+
+def looped(s: SparkSession, d: str) -> DataFrame:
+    """Spans of which one trace in ten has its root below its first child."""
+    child = F.concat(F.substring("span_id", 1, 15), F.lit("1"))
+    return spans(s, d).withColumn("parent_span_id", F.when((F.col("parent_span_id") == "") & (F.substring("trace_id", 32, 1) == "7"), child).otherwise(F.col("parent_span_id")))
+
+
+add(
+    "A4_cut_cycles", lambda s, d: A.cut_cycles(looped(s, d)).where("cut"),
+    """SELECT r.trace_id, r.span_id, CAST(NULL AS VARCHAR) AS parent_id, true AS cut FROM fx_spans r JOIN fx_spans c ON c.trace_id = r.trace_id AND c.span_id = substring(r.span_id, 1, 15) || '1'
+       WHERE r.parent_span_id = '' AND substring(r.trace_id, 32, 1) = '7' AND c.parent_span_id = r.span_id""", "fx_spans",
+)
+add(
+    "A4_looped_roots", lambda s, d: A.span_tree(looped(s, d).where("substring(trace_id, 32, 1) = '7'")).select("trace_id", "root_id", "incomplete"),
+    f"""WITH k AS ({KNOWN}), t AS (SELECT trace_id, arg_min(span_id, start_ns) FILTER (parent_id IS NULL AND parent_span_id <> '') AS orphan, max(span_id) FILTER (parent_span_id = '') AS top,
+          bool_or(parent_span_id <> '' AND span_id = substring(span_id, 1, 15) || '1') AS looped FROM k WHERE substring(trace_id, 32, 1) = '7' GROUP BY 1)
+        SELECT trace_id, CASE WHEN looped THEN coalesce(orphan, top) ELSE top END AS root_id, true AS incomplete FROM t""", "fx_spans",
+)
 ROOTS = f"(SELECT trace_id, arg_min(span_id, CASE WHEN parent_id IS NULL THEN start_ns END) AS root_id FROM ({KNOWN}) GROUP BY 1)"
+#: Logs at their span, else at the root, which in the fixture is the one span without a parent id.
+LOGS_AT = """placed AS MATERIALIZED (SELECT l.log_id, l.trace_id, l.ts_ns, l.body, l.severity_number, coalesce(s.span_id, r.span_id) AS span_id FROM fx_logs l
+  JOIN (SELECT trace_id, span_id FROM fx_spans WHERE parent_span_id = '') r ON r.trace_id = l.trace_id LEFT JOIN (SELECT trace_id, span_id FROM fx_spans) s ON s.trace_id = l.trace_id AND s.span_id = l.span_id WHERE l.trace_id <> '')"""
 add(
     "A5_attach_logs", lambda s, d: A.attach_logs(spans(s, d), logs(s, d)).select("log_id", "at_span"),
-    f"SELECT l.log_id, coalesce(s.span_id, r.root_id) AS at_span FROM fx_logs l JOIN {ROOTS} r USING (trace_id) LEFT JOIN fx_spans s ON s.trace_id = l.trace_id AND s.span_id = l.span_id WHERE l.trace_id <> ''",
-    "fx_spans", "fx_logs",
+    f"WITH {LOGS_AT} SELECT log_id, span_id AS at_span FROM placed", "fx_spans", "fx_logs",
 )
 LINKS = f"links AS (SELECT trace_id, span_id, parent_id FROM ({KNOWN}))"
 PATHS = "paths AS (SELECT trace_id, span_id, parent_id AS ancestor_id, 1 AS distance FROM links WHERE parent_id IS NOT NULL UNION ALL SELECT p.trace_id, p.span_id, l.parent_id, p.distance + 1 FROM paths p JOIN links l ON l.trace_id = p.trace_id AND l.span_id = p.ancestor_id WHERE l.parent_id IS NOT NULL)"
@@ -137,11 +160,19 @@ add(
     "A6_ancestors", lambda s, d: A.ancestors(A.parents(spans(s, d)).select("trace_id", "span_id", "parent_id")),
     f"WITH RECURSIVE {LINKS}, {PATHS} SELECT trace_id, span_id, ancestor_id, distance FROM paths", "fx_spans",
 )
+ORDERED = "deep AS (SELECT l.trace_id, l.span_id, lpad(CAST(start_ns AS STRING), 20, '0') || l.span_id AS path, 0 AS depth FROM links l JOIN fx_spans USING (trace_id, span_id) WHERE parent_id IS NULL UNION ALL SELECT l.trace_id, l.span_id, d.path || lpad(CAST(f.start_ns AS STRING), 20, '0') || l.span_id, d.depth + 1 FROM deep d JOIN links l ON l.trace_id = d.trace_id AND l.parent_id = d.span_id JOIN fx_spans f ON f.trace_id = l.trace_id AND f.span_id = l.span_id)"
+NUMBERED = "numbered AS (SELECT trace_id, span_id, depth, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS INTEGER) AS first FROM deep), below AS (SELECT trace_id, ancestor_id AS span_id, count(*) AS n, count(*) FILTER (distance = 1) AS kids FROM paths GROUP BY 1, 2)"
+add(
+    "A6_nested_intervals", lambda s, d: TT.nested_intervals(spans(s, d)),
+    f"""WITH RECURSIVE {LINKS}, {PATHS}, {ORDERED}, {NUMBERED} SELECT trace_id, span_id, parent_id, depth, first, CAST(first + coalesce(n, 0) AS INTEGER) AS last, false AS cut
+        FROM numbered JOIN links USING (trace_id, span_id) LEFT JOIN below USING (trace_id, span_id)""", "fx_spans",
+)
 BAD_LOG = f"(SELECT DISTINCT l.trace_id, coalesce(s.span_id, r.root_id) AS span_id FROM fx_logs l JOIN {ROOTS} r USING (trace_id) LEFT JOIN fx_spans s ON s.trace_id = l.trace_id AND s.span_id = l.span_id WHERE l.severity_number >= 17)"
 FLAGGED = f"flagged AS (SELECT f.*, (f.status = 'error' OR b.span_id IS NOT NULL) AS is_error FROM fx_spans f LEFT JOIN {BAD_LOG} b ON b.trace_id = f.trace_id AND b.span_id = f.span_id)"
 add(
     "A7_error_flags", lambda s, d: A.error_flags(spans(s, d), logs(s, d)).select("trace_id", "span_id", "is_error"),
-    f"WITH {FLAGGED} SELECT trace_id, span_id, is_error FROM flagged", "fx_spans", "fx_logs",
+    f"""WITH {LOGS_AT}, bad AS MATERIALIZED (SELECT DISTINCT trace_id, span_id FROM placed WHERE severity_number >= 17)
+        SELECT f.trace_id, f.span_id, f.status = 'error' OR b.span_id IS NOT NULL AS is_error FROM fx_spans f LEFT JOIN bad b ON b.trace_id = f.trace_id AND b.span_id = f.span_id""", "fx_spans", "fx_logs",
 )
 LEAVES = f"{LINKS}, {PATHS}, {FLAGGED}, leaves AS (SELECT * FROM flagged f WHERE is_error AND NOT EXISTS (SELECT 1 FROM paths p JOIN flagged g ON g.trace_id = p.trace_id AND g.span_id = p.span_id AND g.is_error WHERE p.trace_id = f.trace_id AND p.ancestor_id = f.span_id))"
 add(
@@ -156,7 +187,9 @@ FIRST_LOG = f"(SELECT trace_id, at_span AS span_id, arg_min(body, (ts_ns, log_id
 MESSAGES = f"told AS (SELECT f.*, coalesce(nullif(f.status_message, ''), b.body, 'error') AS message FROM fx_spans f LEFT JOIN {FIRST_LOG} b ON b.trace_id = f.trace_id AND b.span_id = f.span_id)"
 add(
     "A10_error_message", lambda s, d: A.error_messages(spans(s, d), logs(s, d)).select("trace_id", "span_id", "message", "exception_type"),
-    f"WITH {MESSAGES} SELECT trace_id, span_id, message, '' AS exception_type FROM told", "fx_spans", "fx_logs",
+    f"""WITH {LOGS_AT}, said AS MATERIALIZED (SELECT trace_id, span_id, arg_min(body, (ts_ns, log_id)) AS body FROM placed WHERE severity_number >= 17 GROUP BY 1, 2)
+        SELECT f.trace_id, f.span_id, CASE WHEN f.status_message <> '' THEN f.status_message ELSE coalesce(b.body, 'error') END AS message, '' AS exception_type
+        FROM fx_spans f LEFT JOIN said b ON b.trace_id = f.trace_id AND b.span_id = f.span_id""", "fx_spans", "fx_logs",
 )
 add(
     "A11_peer_of", lambda s, d: spans(s, d).select("span_id", T.peer_of(F.col("attrs")).alias("peer"), T.operation_of(F.col("name"), F.col("attrs")).alias("operation")),
@@ -241,6 +274,12 @@ add(
     "A22_offline_baselines", lambda s, d: B.baselines_from_summaries(A.trace_summaries(flagged(s, d))),
     f"WITH {SUMS} SELECT endpoint_service, endpoint_name, count(*) AS traces, quantile_disc(duration_ns, 0.5) AS p50, quantile_disc(duration_ns, 0.95) AS p95, quantile_disc(duration_ns, 0.99) AS p99 FROM sums WHERE NOT is_error GROUP BY 1, 2", "fx_spans",
 )
+add(
+    "A22_offline_op_stats", lambda s, d: B.offline_op_stats(A.trace_summaries(flagged(s, d))),
+    f"""WITH {SUMS}, {OPS}, n AS (SELECT endpoint_service, endpoint_name, count(*) AS traces FROM sums WHERE NOT is_error GROUP BY 1, 2)
+        SELECT endpoint_service, endpoint_name, op, any_value(count_all) / any_value(traces) AS presence, CAST(any_value(p95) AS BIGINT) AS p95 FROM (
+          SELECT endpoint_service, endpoint_name, op, count(*) AS count_all, quantile_disc(ns, 0.95) AS p95 FROM sums JOIN ops USING (trace_id) WHERE NOT is_error GROUP BY 1, 2, 3) JOIN n USING (endpoint_service, endpoint_name) GROUP BY 1, 2, 3""", "fx_spans",
+)
 OFFLINE = "base AS (SELECT endpoint_name, count(*) AS traces, quantile_disc(duration_ns, 0.5) AS p99 FROM sums WHERE NOT is_error GROUP BY 1)"
 add(
     "A23_slow_traces",
@@ -268,9 +307,29 @@ add(
         coalesce(array_to_string(list(op ORDER BY op) FILTER (ns IS NULL AND presence > 0.95), ','), '') AS missing_ops,
         coalesce(array_to_string(list(op ORDER BY op) FILTER (coalesce(presence, 0) >= 0.01 AND ns > greatest(p95 * 2, p95 + 50000000)), ','), '') AS slower_ops FROM x GROUP BY 1""", "fx_spans",
 )
-add("A25_error_stories", lambda s, d: A.error_stories(spans(s, d), logs(s, d)).select("story_id", "kind", "cause_id", "message", "summary", "fingerprint", F.array_join("path_services", ">").alias("path"), F.array_join("path_spans", ">").alias("path_spans"), F.size("logs").alias("n_logs"), F.array_join("flags", ",").alias("flags")))
-add("A25_slow_stories", lambda s, d: slow_stories(spans(s, d), logs(s, d), B.baselines_from_summaries(A.trace_summaries(flagged(s, d))).withColumn("p99", F.col("p50"))).select("story_id", "cause_id", "summary", "fingerprint"))
-MASK = "regexp_replace(regexp_replace(regexp_replace({0}, '\\b[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}\\b', '<*>', 'g'), '\\b(?:0x)?[0-9a-fA-F]{{8,}}\\b', '<*>', 'g'), '\\d+(?:\\.\\d+)?', '<*>', 'g')"
+
+
+def story_baselines(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    summaries = A.trace_summaries(flagged(s, d))
+    return B.baselines_from_summaries(summaries).withColumn("p99", F.col("p50")), B.offline_op_stats(summaries)
+
+
+add(
+    "A25_error_stories",
+    lambda s, d: ST.error_stories(spans(s, d), logs(s, d)).select("story_id", "kind", "cause_id", "message", "summary", "fingerprint", F.array_join("path_services", ">").alias("path"), F.array_join("path_spans.span_id", ">").alias("path_spans"), F.size("logs").alias("n_logs"), F.array_join("flags", ",").alias("flags")),
+    f"""WITH RECURSIVE {LEAVES}, {EXPLAINED}, cause AS (SELECT trace_id, arg_min(span_id, (start_ns + duration_ns, start_ns, span_id)) AS span_id FROM leaves GROUP BY 1),
+      steps AS (SELECT p.trace_id, p.ancestor_id AS span_id, distance FROM paths p JOIN cause USING (trace_id, span_id) UNION ALL SELECT trace_id, span_id, 0 FROM cause),
+      path AS (SELECT trace_id, array_to_string(list(span_id ORDER BY distance DESC), '>') AS path_spans, array_to_string(list(service ORDER BY distance DESC) FILTER (new), '>') AS path
+        FROM (SELECT t.*, s.service, coalesce(s.service <> lag(s.service) OVER (PARTITION BY t.trace_id ORDER BY distance DESC), true) AS new FROM steps t JOIN fx_spans s USING (trace_id, span_id)) GROUP BY 1),
+      whole AS (SELECT trace_id, bool_or(parent_id IS NULL AND parent_span_id <> '') OR count(*) FILTER (parent_id IS NULL) <> 1 AS incomplete FROM ({KNOWN}) GROUP BY 1),
+      n AS (SELECT trace_id, count(*) AS n FROM fx_logs GROUP BY 1)
+      SELECT c.trace_id AS story_id, 'error' AS kind, c.span_id AS cause_id, s.message, s.summary, path, path_spans, CAST(least(50, coalesce(n, 0)) AS INTEGER) AS n_logs, CASE WHEN incomplete THEN 'incomplete' ELSE '' END AS flags,
+        substring(md5('error' || chr(0) || 'frontend' || chr(0) || r.name || ' /orders/<*>' || chr(0) || s.service || chr(0) || s.name || chr(0) || {MASK.format('s.message')} || chr(0)), 1, 16) AS fingerprint
+      FROM cause c JOIN said s USING (trace_id, span_id) JOIN path USING (trace_id) JOIN whole USING (trace_id) JOIN fx_spans r ON r.trace_id = c.trace_id AND r.parent_span_id = '' LEFT JOIN n ON n.trace_id = c.trace_id""",
+    "fx_spans", "fx_logs",
+)
+add("A25_slow_stories", lambda s, d: ST.slow_stories(spans(s, d), logs(s, d), *story_baselines(s, d)).select("story_id", "cause_id", "summary", "fingerprint"))
+add("A25_stories", lambda s, d: kinds(ST.stories(spans(s, d), logs(s, d), *story_baselines(s, d)), "array", "struct"))
 add("A26_mask", lambda s, d: logs(s, d).select("log_id", T.mask(F.col("body")).alias("masked")), f"SELECT log_id, {MASK.format('body')} AS masked FROM fx_logs", "fx_logs")
 add(
     "A27_story_fingerprint", lambda s, d: spans(s, d).where("status = 'error'").select("span_id", T.short_hash(F.lit("error"), F.col("service"), F.col("name"), T.mask(F.col("status_message"))).alias("fingerprint")),

@@ -11,7 +11,7 @@ from obsflow.operators import tables as M
 from obsflow.operators import traces as A
 from obsflow.plans import dashboards as U
 from obsflow.plans import read_queries as Q
-from obsflow.plans.registry import MINUTE, ROUNDED, S, add, rounded
+from obsflow.plans.registry import LINKS, MINUTE, NUMBERED, ORDERED, PATHS, ROUNDED, S, add, rounded
 from obsflow.sources import metrics
 from obsflow.sources.fixtures import LOG_END, SPAN_END, logs, spans, view
 
@@ -398,8 +398,21 @@ add(
     f"""SELECT u.trace_id, CASE WHEN is_error OR kind = 'error' THEN 'err' WHEN kind = 'slow' THEN 'slow' ELSE 'accent' END AS tone, u.duration_ns FROM fx_summaries u LEFT JOIN {STORIES} k USING (trace_id)
       WHERE u.duration_ns BETWEEN 300000000 AND 6000000000 AND u.ts_ns BETWEEN {SPANS.start * S} AND {SPANS.end * S}""", "fx_summaries", "fx_stories",
 )
-add("U12_waterfall", lambda s, d: U.waterfall(spans(s, d)).select("trace_id", "span_id", "row", "depth", "parent_row", "n_children", "subtree_end"))
-add("U13_waterfall_filter", lambda s, d: U.waterfall_filter(spans(s, d), spans(s, d).where("status = 'error'")))
+add(
+    "U12_waterfall", lambda s, d: U.waterfall(spans(s, d)).select("trace_id", "span_id", "row", "depth", "parent_row", "n_children", "subtree_end"),
+    f"""WITH RECURSIVE {LINKS}, {PATHS}, {ORDERED}, {NUMBERED} SELECT n.trace_id, n.span_id, n.first AS row, n.depth, p.first AS parent_row, CAST(coalesce(b.kids, 0) AS INTEGER) AS n_children, CAST(n.first + coalesce(b.n, 0) AS INTEGER) AS subtree_end
+        FROM numbered n JOIN links l USING (trace_id, span_id) LEFT JOIN below b USING (trace_id, span_id) LEFT JOIN numbered p ON p.trace_id = l.trace_id AND p.span_id = l.parent_id""", "fx_spans",
+)
+add(
+    "U13_waterfall_filter", lambda s, d: U.waterfall_filter(spans(s, d), U.visible_matches(spans(s, d).withColumn("error", F.col("status") == "error"), "errors")),
+    f"""WITH RECURSIVE {LINKS}, {PATHS}, own AS (SELECT trace_id, span_id FROM fx_spans WHERE status = 'error')
+        SELECT trace_id, span_id, false AS is_context FROM own UNION ALL (SELECT p.trace_id, p.ancestor_id, true FROM paths p JOIN own USING (trace_id, span_id) EXCEPT SELECT trace_id, span_id, true FROM own)""", "fx_spans",
+)
+add(
+    "U13_text_search", lambda s, d: U.waterfall_filter(spans(s, d), U.visible_matches(spans(s, d).withColumn("error", F.col("status") == "error"), "errors", " SVC3 ")),
+    f"""WITH RECURSIVE {LINKS}, {PATHS}, own AS (SELECT trace_id, span_id FROM fx_spans WHERE status = 'error' AND (contains(service, 'svc3') OR contains(name, 'svc3') OR contains(peer, 'svc3')))
+        SELECT trace_id, span_id, false AS is_context FROM own UNION ALL (SELECT p.trace_id, p.ancestor_id, true FROM paths p JOIN own USING (trace_id, span_id) EXCEPT SELECT trace_id, span_id, true FROM own)""", "fx_spans",
+)
 add(
     "U14_compact_rows", lambda s, d: U.compact_rows(spans(s, d).select("trace_id", "span_id", F.when(F.col("status") == "error", 0).otherwise(1).alias("tier"), "duration_ns"), 3).select("trace_id", "span_id"),
     "SELECT trace_id, span_id FROM fx_spans QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY CASE WHEN status = 'error' THEN 0 ELSE 1 END, duration_ns DESC, span_id) <= 3", "fx_spans",

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from obsflow.operators import critical_path, traces
+from obsflow.operators import critical_path, stories, trace_trees, traces
 from obsflow.operators.tables import dedup_spans, latest
 
 SPAN = "trace_id string, span_id string, parent_span_id string, service string, name string, kind string, start_ns long, end_ns long, status string, status_message string, attrs map<string,string>, events array<struct<ts_ns:bigint,name:string,attrs:map<string,string>>>"
@@ -26,16 +26,17 @@ def no_logs(spark):
 
 def test_failing_callee_is_the_cause(spark):
     spans = frame(spark, span("1", "", 0, 100, "web", "error", "server", "502", "GET /buy"), span("2", "1", 10, 90, "cart", "error", "client", "x"), span("3", "2", 20, 80, "pay", "error", "server", "card 1234 refused"))
-    (story,) = traces.error_stories(spans, no_logs(spark)).collect()
+    (story,) = stories.error_stories(spans, no_logs(spark)).collect()
     assert (story.cause_id, story.cause_service, story.path_services) == ("3", "pay", ["web", "cart", "pay"])
     assert story.summary == "pay op failed: card 1234 refused"
-    assert story.also_failed == [] and story.flags == []
+    assert story.also_failed == [] and story.flags == [] and story.baseline_diff is None
+    assert sum(x.end_ns - x.start_ns for x in story.critical_path) == 100 * MS
 
 
 def test_unreachable_callee(spark):
     spans = frame(spark, span("1", "", 0, 100, "web"), span("2", "1", 10, 90, "cart", "error", "client", "refused"))
     spans = spans.withColumn("attrs", F.create_map(F.lit("url.full"), F.lit("http://u@pay:8080/x")))
-    (story,) = traces.error_stories(spans, no_logs(spark)).collect()
+    (story,) = stories.error_stories(spans, no_logs(spark)).collect()
     assert story.summary == "cart could not reach pay (op): refused"
 
 
@@ -186,7 +187,7 @@ def test_critical_path_tiles_the_root(spark):
             a = draw.randint(p[6] // MS - 3, p[7] // MS)
             own.append(span(f"{k:02}", p[1], max(0, a), max(0, a) + draw.randint(0, max(1, p[7] // MS - a + 4)), trace=f"t{t}"))
         rows += own
-        want[f"t{t}"] = walk(own, "00", critical_path.SKEW_NS)
+        want[f"t{t}"] = walk(own, "00", trace_trees.SKEW_NS)
     found = critical_path.critical_path(frame(spark, *rows)).collect()
     for t, segments in want.items():
         got = sorted(((r.span_id, r.start_ns, r.end_ns) for r in found if r.trace_id == t), key=lambda x: x[1])
@@ -208,10 +209,96 @@ def test_latest_and_dedup(spark):
 
 
 def test_slow_story_blames_the_longest_part(spark):
-    from obsflow.operators.slow_stories import slow_stories
+    from obsflow.operators.stories import slow_stories
 
     spans = frame(spark, span("1", "", 0, 900, "web", name="GET /x"), span("2", "1", 100, 850, "db", name="query"), span("9", "", 0, 100, "web", name="GET /x", trace="quick"))
     baselines = spark.createDataFrame([("web", "GET /x", 60, 1e8, 1e8, 2e8)], "endpoint_service string, endpoint_name string, traces long, p50 double, p95 double, p99 double")
     (story,) = slow_stories(spans, no_logs(spark), baselines).collect()
     assert (story.trace_id, story.cause_id) == ("t", "2")
     assert story.summary == "web GET /x took 900.0 ms (p99 200.0 ms); most time in db query (750.0 ms on the critical path)"
+
+
+def test_deep_chain_has_a_row_for_each_span(spark):
+    n = 10_000
+    rows = [(trace, f"s{k:05}", f"s{k - 1:05}" if k else "", k, 30_000 - k, "error" if k in (4000, 9000) else "ok") for trace in ("t", "u") for k in range(n)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, start_ns long, end_ns long, status string")
+    found = trace_trees.nested_intervals(spans)
+    assert found.count() == 2 * n
+    assert found.where("trace_id = 't' and span_id = 's04000'").select("parent_id", "depth", "first", "last", "cut").first() == ("s03999", 4000, 4000, n - 1, False)
+    causes = traces.root_causes(spans.withColumn("is_error", F.col("status") == "error")).collect()
+    assert {(r.trace_id, r.cause_id, tuple(r.also_failed)) for r in causes} == {("t", "s09000", ()), ("u", "s09000", ())}
+    assert critical_path.critical_path(spans).groupBy("trace_id").agg(F.sum(F.col("end_ns") - F.col("start_ns")).alias("ns")).collect()[0].ns == 30_000
+
+
+def test_intervals_equal_climbing(spark):
+    """Random links with missing parents, cycles and equal starts: intervals nest as the climbs do."""
+    draw = random.Random(7)
+    rows = []
+    for t in range(60):
+        ids = [f"{k:02}" for k in range(draw.randint(1, 12))]
+        rows += [span(i, draw.choice([*ids, "", "gone"]), draw.randint(0, 3), draw.randint(4, 9), trace=f"t{t:02}") for i in ids]
+    found = {(r.trace_id, r.span_id): r for r in trace_trees.nested_intervals(frame(spark, *rows)).collect()}
+    assert len(found) == len(rows)
+    for (trace, i), r in found.items():
+        above, at = set(), r.parent_id
+        while at is not None:
+            above.add(at)
+            at = found[trace, at].parent_id
+        assert r.depth == len(above)
+        assert {j for (t, j), x in found.items() if t == trace and x.first < r.first <= x.last} == above
+    trees = {r.trace_id: r for r in traces.span_tree(frame(spark, *rows)).collect()}
+    for t in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == t]
+        tops = [r for r in own if found[t, r[1]].parent_id is None]
+        genuine = [r for r in tops if not found[t, r[1]].cut] or tops
+        assert trees[t].root_id == min((r[6], r[1]) for r in genuine)[1]
+    assert {k for k, r in found.items() if r.cut} == {(t, i) for t in {r[0] for r in rows} for i in climbed([r for r in rows if r[0] == t])}
+
+
+def test_a_trace_that_is_one_cycle_has_a_story(spark):
+    spans = frame(spark, span("1", "2", 0, 9, "web"), span("2", "1", 1, 5, "cart", "error", message="no"))
+    (tree,) = traces.span_tree(spans).collect()
+    assert (tree.root_id, tree.n_roots, tree.incomplete) == ("1", 0, True)
+    (story,) = stories.error_stories(spans, no_logs(spark)).collect()
+    assert (story.cause_id, story.path_services, story.flags) == ("2", ["web", "cart"], ["incomplete"])
+
+
+def test_all_fields_of_an_error_story(spark):
+    spans = frame(
+        spark, span("a", "", 0, 100, "frontend", kind="server", name="POST /api/checkout"), span("b", "a", 10, 90, "checkout", "error", "client", "rpc error", "Charge"),
+        span("c", "b", 20, 80, "payment", "error", "server", "Invalid token 1234", "Charge"), span("d", "b", 82, 86, "mail", "error", "server", "", "Send"), span("z", "gone", 5, 6, "ad", name="GetAds"),
+    )
+    logs = spark.createDataFrame([("l1", 25, "payment", 9, "t", "c", "charging card"), ("l2", 70, "payment", 17, "t", "c", "charge failed"), ("l0", 1, "x", 9, "t", "lost", "far away")], LOG)
+    flags = spark.createDataFrame([("t", ["truncated"])], "trace_id string, window_flags array<string>")
+    base = spark.createDataFrame([("frontend", "POST /api/checkout", 60, 5e8)], "endpoint_service string, endpoint_name string, traces long, p99 double")
+    ops = spark.createDataFrame([("frontend", "POST /api/checkout", o, p, ms * 1e6) for o, p, ms in (("frontend:POST /api/checkout", 1.0, 20.0), ("checkout:Charge", 0.9, 20.0), ("payment:Charge", 0.005, 1.0), ("cart:Get", 0.99, 1.0), ("ad:GetAds", 0.5, 10.0))], "endpoint_service string, endpoint_name string, op string, presence double, p95 double")
+    (s,) = stories.stories(spans, logs, base, ops, window_flags=flags).collect()
+    assert (s.story_id, s.kind, s.ts_ns, s.duration_ns, s.endpoint_service, s.endpoint_name, s.span_count) == ("t", "error", 0, 100 * MS, "frontend", "POST /api/checkout", 5)
+    assert tuple(s.cause) == ("c", "payment", "Charge", "server", "error", 20 * MS, 60 * MS)
+    assert (s.message, s.exception_type, s.summary) == ("Invalid token 1234", "", "payment Charge failed: Invalid token 1234")
+    assert s.path_services == ["frontend", "checkout", "payment"] and [x.span_id for x in s.path_spans] == ["a", "b", "c"]
+    assert [(x.span_id, x.start_ns // MS, x.end_ns // MS) for x in s.critical_path] == [("a", 0, 10), ("b", 10, 20), ("c", 20, 80), ("b", 80, 82), ("d", 82, 86), ("b", 86, 90), ("a", 90, 100)]
+    assert [(x.span_id, x.service, x.self_time_ns // MS) for x in s.top_contributors] == [("c", "payment", 60), ("a", "frontend", 20), ("b", "checkout", 16)]
+    assert s.baseline_diff.new_ops == ["mail:Send", "payment:Charge"] and s.baseline_diff.missing_ops == ["cart:Get"]
+    assert [tuple(x) for x in s.baseline_diff.slower_ops] == [("checkout:Charge", 80 * MS, 20 * MS), ("frontend:POST /api/checkout", 100 * MS, 20 * MS)]
+    assert [(x.severity_number, x.body) for x in s.logs] == [(17, "charge failed"), (9, "far away"), (9, "charging card")]
+    assert [x.span_id for x in s.also_failed] == ["d"] and s.flags == ["truncated", "incomplete"]
+    (other,) = stories.stories(spans.withColumn("status_message", F.regexp_replace("status_message", "1234", "98765")), logs).collect()
+    assert other.fingerprint == s.fingerprint and other.baseline_diff is None
+
+
+def test_slow_story_has_a_path_and_logs_are_capped(spark):
+    spans = frame(spark, span("r", "", 0, 1000, "frontend", name="GET /"), span("c", "r", 100, 900, "cart", name="GetCart"))
+    logs = spark.createDataFrame([(f"l{k}", k, "a", 9, "t", "c", f"line {k}") for k in range(80)], LOG)
+    base = spark.createDataFrame([("frontend", "GET /", 100, 1e8)], "endpoint_service string, endpoint_name string, traces long, p99 double")
+    ops = spark.createDataFrame([("frontend", "GET /", "frontend:GET /", 1.0, 5e7)], "endpoint_service string, endpoint_name string, op string, presence double, p95 double")
+    (s,) = stories.slow_stories(spans, logs, base, ops).collect()
+    assert s.summary == "frontend GET / took 1000.0 ms (p99 100.0 ms); most time in cart GetCart (800.0 ms on the critical path)"
+    assert (s.cause_service, s.message, s.path_services, len(s.logs)) == ("cart", "slow", ["frontend", "cart"], 50)
+    assert s.baseline_diff.new_ops == ["cart:GetCart"] and s.baseline_diff.slower_ops[0].op == "frontend:GET /"
+
+
+def test_stories_take_one_shuffle(spark):
+    spans = frame(spark, span("1", "", 0, 100, "web"))
+    plan = stories.stories(spans, no_logs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(trace_id") == 1 and plan.count("Exchange") == 1
