@@ -27,9 +27,18 @@ class Thresholds:
     carry_windows: int = 2
 
 
+#: How far the versions of one trace's summary may lie apart: a trace stays open for a minute at most.
+VERSIONS_NS = 600_000_000_000
+
+
 def kept_summaries(summaries: DataFrame, slow_ids: DataFrame, caps: DataFrame, start_ns: int, end_ns: int, t: Thresholds = Thresholds()) -> DataFrame:
-    """Latest non-error summaries of the window with slow, cap and kept; endpoints without a cap start from ten medians."""
-    own = latest(summaries, ["trace_id"], "span_count", "ts_ns").where(~F.col("is_error") & (F.col("ts_ns") >= start_ns) & (F.col("ts_ns") < end_ns))
+    """Latest non-error summaries of the window with slow, cap and kept; endpoints without a cap start from ten medians.
+
+    Versions are settled among summaries of the window and VERSIONS_NS around it, so that the filter comes before the
+    shuffle and reaches the files.
+    """
+    near = summaries.where((F.col("ts_ns") >= start_ns - VERSIONS_NS) & (F.col("ts_ns") < end_ns + VERSIONS_NS))
+    own = latest(near, ["trace_id"], "span_count", "ts_ns").where(~F.col("is_error") & (F.col("ts_ns") >= start_ns) & (F.col("ts_ns") < end_ns))
     flagged = own.join(slow_ids.select("trace_id").distinct().withColumn("_slow", F.lit(True)), "trace_id", "left").withColumn("slow", F.coalesce("_slow", F.lit(False))).drop("_slow")
     medians = flagged.where("not slow").groupBy(*KEYS).agg(F.percentile("duration_ns", 0.5).alias("p50"))
     boot = medians.select(*KEYS, F.ceil(F.col("p50") * t.cap_factor).cast("long").alias("boot"))
@@ -49,6 +58,49 @@ def op_stats(kept: DataFrame) -> DataFrame:
     return ops.groupBy(*KEYS, "op").agg(F.count("*").alias("present"), F.percentile("duration", 0.95).alias("p95"))
 
 
+#: Items a level of a quantile sketch keeps. Ranks are off by at most RANK_ERROR of the count, in 99 of 100 sketches.
+SKETCH_K, RANK_ERROR = 200, 0.0165
+HOUR_NS = 3_600_000_000_000
+
+
+def endpoint_sketches(kept: DataFrame, k: int = SKETCH_K, slice_ns: int = HOUR_NS) -> DataFrame:
+    """Per endpoint and slice of time: seen, excluded, and durations of kept traces as a quantile sketch, to be stored and merged.
+
+    Sketches combine before the shuffle, so no task holds all durations of an endpoint. Up to k durations are exact.
+    """
+    slot = (F.col("ts_ns") - F.col("ts_ns") % slice_ns).alias("slot_ns")
+    used = F.when(F.col("kept"), F.col("duration_ns"))
+    return kept.groupBy(*KEYS, slot).agg(F.count("*").alias("seen"), F.count_if(~F.col("kept")).alias("excluded"), F.kll_sketch_agg_bigint(used, F.lit(k)).alias("durations"))
+
+
+def op_sketches(kept: DataFrame, k: int = SKETCH_K, slice_ns: int = HOUR_NS) -> DataFrame:
+    """Per endpoint, operation and slice of time: the traces with it, and its longest durations as a quantile sketch."""
+    slot = (F.col("ts_ns") - F.col("ts_ns") % slice_ns).alias("slot_ns")
+    ops = kept.where("kept").select(*KEYS, slot, F.explode("op_durations").alias("op", "duration"))
+    return ops.groupBy(*KEYS, "op", "slot_ns").agg(F.count("*").alias("present"), F.kll_sketch_agg_bigint("duration", F.lit(k)).alias("durations"))
+
+
+def quantiles(sketch: Column, *shares: float) -> list[Column]:
+    """Quantiles of a merged sketch, as values that occurred; null for an empty one."""
+    there = F.kll_sketch_get_n_bigint(sketch) > 0
+    return [F.when(there, F.kll_sketch_get_quantile_bigint(sketch, F.lit(q))) for q in shares]
+
+
+def merged_endpoint_stats(sketches: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
+    """endpoint_stats of the slices from start_ns to end_ns; ranks are within RANK_ERROR."""
+    own = sketches.where((F.col("slot_ns") >= start_ns) & (F.col("slot_ns") < end_ns)).groupBy(*KEYS)
+    whole = own.agg(F.sum("seen").alias("seen"), F.sum("excluded").alias("excluded"), F.kll_merge_agg_bigint("durations").alias("q"))
+    named = (q.alias(n) for q, n in zip(quantiles(F.col("q"), 0.5, 0.95, 0.99), ("p50", "p95", "p99"), strict=True))
+    return whole.select(*KEYS, "seen", (F.col("seen") - F.col("excluded")).alias("kept"), "excluded", *named)
+
+
+def merged_op_stats(sketches: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
+    """op_stats of the slices from start_ns to end_ns; ranks are within RANK_ERROR."""
+    own = sketches.where((F.col("slot_ns") >= start_ns) & (F.col("slot_ns") < end_ns)).groupBy(*KEYS, "op")
+    whole = own.agg(F.sum("present").alias("present"), F.kll_merge_agg_bigint("durations").alias("q"))
+    return whole.select(*KEYS, "op", "present", quantiles(F.col("q"), 0.95)[0].alias("p95"))
+
+
 def slow_limit(p99: Column, t: Thresholds = Thresholds()) -> Column:
     return F.greatest(p99 * t.slow_factor, p99 + t.slow_extra_ns)
 

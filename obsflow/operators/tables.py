@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +35,20 @@ def template_minutes(hits: DataFrame) -> DataFrame:
     return hits.select("template_id", minute_of(F.col("ts_ns")).alias("minute"), "log_id").distinct()
 
 
+def template_minute_sketches(hits: DataFrame, lg_k: int = 12) -> DataFrame:
+    """(template_id, minute, logs): a distinct-count sketch of each minute's logs.
+
+    Sketches merge without the log ids, and a replay adds nothing. The estimate of one of 2^lg_k registers has a relative
+    standard error of about 1.04 / sqrt(2^lg_k): 1.6 % for 12; counts far under 2^lg_k / 8 are all but exact.
+    """
+    return hits.groupBy("template_id", minute_of(F.col("ts_ns")).alias("minute")).agg(F.hll_sketch_agg("log_id", lg_k).alias("logs"))
+
+
+def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """The sketches of rollups (of replays, of other minutes) as one for each of keys."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("logs").alias("logs"))
+
+
 def backfill_minutes(hits: DataFrame, rollup: DataFrame) -> DataFrame:
     """The rollup with the minutes of hits up to its earliest one, or of all hits if it is empty."""
     first = rollup.agg(F.min("minute").alias("first"))
@@ -45,6 +61,28 @@ def apply_retention(df: DataFrame, ts_ns: str, days: int, now: int) -> DataFrame
     return df.where(F.col(ts_ns) >= (now - days * 86400) * 1_000_000_000)
 
 
+def drop_expired(spark: SparkSession, path: str, ts_ns: str, days: int, now: int) -> None:
+    """Retention of a table that write_raw made: day folders that lie wholly before the limit go, without being read.
+
+    Only the day in which the limit falls is read; its living rows replace it. A run that is repeated, or ends between
+    the steps, finds the table whole: the edge day is written beside the table first and then put in its place.
+    """
+    limit = now - days * 86400
+    edge = spark.range(1).select(F.date_format(F.timestamp_seconds(F.lit(limit)), "yyyy-MM-dd")).first()[0]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = {f.getPath().getName(): f.getPath() for f in files.listStatus(hadoop(path)) if f.isDirectory()}
+    for name, folder in folders.items():
+        if name.startswith("date=") and name < f"date={edge}":
+            files.delete(folder, True)
+    if f"date={edge}" in folders:
+        day = spark.read.parquet(f"{path}/date={edge}").where(F.col(ts_ns) >= limit * 1_000_000_000)
+        beside = f"{path}/_edge-{uuid.uuid4().hex}"
+        day.write.parquet(beside)
+        files.delete(folders[f"date={edge}"], True)
+        files.rename(hadoop(beside), hadoop(f"{path}/date={edge}"))
+
+
 def routing_key(df: DataFrame, by_service_only: bool = False) -> DataFrame:
     """df with key_kind and key: the trace id where it is valid, else the service."""
     valid = F.col("trace_id").rlike("^[0-9a-f]{32}$") & (F.col("trace_id") != "0" * 32) & F.lit(not by_service_only)
@@ -67,6 +105,18 @@ def extract_traces(spans: DataFrame, only_errors: bool, service: str | None, max
     return spans.join(ids.orderBy("trace_id").limit(max_traces), "trace_id", "left_semi")
 
 
+def sample_traces(spans: DataFrame, n: int, now_ns: int, settle_s: int = 60) -> DataFrame:
+    """The n settled trace ids with the smallest hashes. Each partition keeps its n smallest, so the sample is the same however spans are dealt."""
+    settled = spans.where("trace_id <> ''").groupBy("trace_id").agg(F.max("start_ns").alias("last")).where(F.col("last") <= now_ns - settle_s * 1_000_000_000)
+    return settled.select("trace_id").orderBy(F.md5("trace_id"), "trace_id").limit(n)
+
+
+def verify_sample(a: DataFrame, b: DataFrame, n: int, now_ns: int, settle_s: int = 60) -> DataFrame:
+    """Of a sample of n traces of a: those whose distinct span counts in b differ."""
+    ids = sample_traces(a, n, now_ns, settle_s)
+    return compare_span_counts(a.join(ids, "trace_id", "left_semi"), b.join(ids, "trace_id", "left_semi"), now_ns, settle_s)
+
+
 def compare_span_counts(a: DataFrame, b: DataFrame, now_ns: int, settle_s: int = 60) -> DataFrame:
     """Traces settled in either store whose distinct span counts differ."""
     count = lambda df, n: df.groupBy("trace_id").agg(F.countDistinct("span_id").alias(n), F.max("start_ns").alias(f"{n}_last"))

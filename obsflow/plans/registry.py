@@ -57,7 +57,11 @@ add(
       SELECT CASE WHEN v THEN 'trace' ELSE 'service' END AS key_kind, CASE WHEN v THEN trace_id ELSE service END AS key
       FROM (SELECT *, regexp_full_match(trace_id, '[0-9a-f]{32}') AND trace_id <> repeat('0', 32) AS v FROM fx_logs)) GROUP BY 1""", "fx_logs",
 )
-add("M7_drop_oversized", lambda s, d: M.drop_oversized(logs(s, d), 330)[1], None)
+add(
+    "M7_drop_oversized", lambda s, d: M.drop_oversized(logs(s, d), 330)[1],
+    """SELECT count(*) AS dropped FROM fx_logs WHERE strlen('{"log_id":"' || log_id || '","ts_ns":' || ts_ns || ',"service":"' || service || '","severity_number":' || severity_number || ',"trace_id":"' || trace_id
+       || '","span_id":"' || span_id || '","body":"' || body || '"}') > 330""", "fx_logs",
+)
 add(
     "M11_latest", lambda s, d: M.latest(view(s, d, "fx_summaries"), ["trace_id"], "span_count", "ts_ns"),
     """SELECT trace_id, ts_ns, endpoint_service, endpoint_name, duration_ns, is_error, span_count FROM fx_summaries
@@ -72,6 +76,11 @@ add(
     "M13_template_minutes", lambda s, d: M.template_minutes(view(s, d, "fx_hits")).groupBy("template_id", "minute").agg(F.count("*").alias("n")),
     f"SELECT template_id, {MINUTE} AS minute, count(DISTINCT log_id) AS n FROM fx_hits GROUP BY 1, 2", "fx_hits",
 )
+add(
+    "M13_minute_sketches",
+    lambda s, d: M.merged_sketches(M.template_minute_sketches(view(s, d, "fx_hits")).unionByName(M.template_minute_sketches(view(s, d, "fx_hits").where("severity_number > 5"))), "template_id", "minute").select("template_id", "minute", F.hll_sketch_estimate("logs").alias("n")),
+    f"SELECT template_id, {MINUTE} AS minute, count(DISTINCT log_id) AS n FROM fx_hits GROUP BY 1, 2", "fx_hits",
+)
 add(
     "M14_backfill_minutes",
     lambda s, d: M.backfill_minutes(view(s, d, "fx_hits"), M.template_minutes(view(s, d, "fx_hits").where(F.col("ts_ns") >= (LOG_END - 3000) * S))).groupBy("template_id").agg(F.count("*").alias("n")),
@@ -94,6 +103,17 @@ add(
        FROM fx_spans GROUP BY 1) WHERE l <> r AND m <= {(SPAN_END - 60) * S}""", "fx_spans",
 )
 
+add(
+    "M22_sample", lambda s, d: M.sample_traces(view(s, d, "fx_spans"), 200, SPAN_END * S),
+    f"SELECT trace_id FROM fx_spans GROUP BY 1 HAVING max(start_ns) <= {(SPAN_END - 60) * S} ORDER BY md5(trace_id), trace_id LIMIT 200", "fx_spans",
+)
+add(
+    "M22_verify_sample", lambda s, d: M.verify_sample(view(s, d, "fx_spans"), view(s, d, "fx_spans").where("span_id not like '%5'"), 200, SPAN_END * S),
+    f"""SELECT trace_id, count(DISTINCT span_id) AS left_spans, count(DISTINCT span_id) FILTER (span_id NOT LIKE '%5') AS right_spans FROM fx_spans
+        WHERE trace_id IN (SELECT trace_id FROM fx_spans GROUP BY 1 HAVING max(start_ns) <= {(SPAN_END - 60) * S} ORDER BY md5(trace_id), trace_id LIMIT 200)
+        GROUP BY 1 HAVING count(DISTINCT span_id) <> count(DISTINCT span_id) FILTER (span_id NOT LIKE '%5')""", "fx_spans",
+)
+
 # trace assembly on stored data
 
 REPLAYED = "SELECT * FROM fx_spans UNION ALL SELECT * FROM fx_spans WHERE CAST(span_id AS BIGINT) % 2 = 0"
@@ -247,6 +267,14 @@ add(
     "A19_op_stats", lambda s, d: rounded(B.op_stats(kept(s, d)), "p95"),
     f"WITH {KEPT}, {OPS} SELECT endpoint_service, endpoint_name, op, count(*) AS present, round(quantile_cont(ns, 0.95), 3) AS p95 FROM kept JOIN ops USING (trace_id) WHERE kept GROUP BY 1, 2, 3", "fx_spans",
 )
+HOUR = "ts_ns - ts_ns % 3600000000000"
+add(
+    "A17_endpoint_sketches",
+    lambda s, d: B.merged_endpoint_stats(B.endpoint_sketches(kept(s, d)), 0, SPANS.end * S).select("endpoint_service", "endpoint_name", "seen", "kept", "excluded"),
+    f"WITH {KEPT} SELECT endpoint_service, endpoint_name, count(*) AS seen, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS excluded FROM kept GROUP BY 1, 2", "fx_spans",
+)
+add("A17_sketched_quantiles", lambda s, d: B.merged_endpoint_stats(B.endpoint_sketches(kept(s, d)), 0, SPANS.end * S))
+add("A19_sketched_quantiles", lambda s, d: B.merged_op_stats(B.op_sketches(kept(s, d)), 0, SPANS.end * S))
 STAT = f"stat AS ({STATS})"
 PREVIOUS = [("frontend", "order o /orders/<*>", 80, 2e8, 3e8, 4e8), ("frontend", "order p /orders/<*>", 10, 2e8, 3e8, 4e8), ("frontend", "order f /orders/<*>", 60, 2e8, 3e8, float("nan"))]
 

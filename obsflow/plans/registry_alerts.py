@@ -406,12 +406,12 @@ add(
 add(
     "U13_waterfall_filter", lambda s, d: U.waterfall_filter(spans(s, d), U.visible_matches(spans(s, d).withColumn("error", F.col("status") == "error"), "errors")),
     f"""WITH RECURSIVE {LINKS}, {PATHS}, own AS (SELECT trace_id, span_id FROM fx_spans WHERE status = 'error')
-        SELECT trace_id, span_id, false AS is_context FROM own UNION ALL (SELECT p.trace_id, p.ancestor_id, true FROM paths p JOIN own USING (trace_id, span_id) EXCEPT SELECT trace_id, span_id, true FROM own)""", "fx_spans",
+        SELECT trace_id, span_id, bool_and(above) AS is_context FROM (SELECT trace_id, span_id, false AS above FROM own UNION ALL SELECT p.trace_id, p.ancestor_id, true FROM paths p JOIN own USING (trace_id, span_id)) GROUP BY 1, 2""", "fx_spans",
 )
 add(
     "U13_text_search", lambda s, d: U.waterfall_filter(spans(s, d), U.visible_matches(spans(s, d).withColumn("error", F.col("status") == "error"), "errors", " SVC3 ")),
     f"""WITH RECURSIVE {LINKS}, {PATHS}, own AS (SELECT trace_id, span_id FROM fx_spans WHERE status = 'error' AND (contains(service, 'svc3') OR contains(name, 'svc3') OR contains(peer, 'svc3')))
-        SELECT trace_id, span_id, false AS is_context FROM own UNION ALL (SELECT p.trace_id, p.ancestor_id, true FROM paths p JOIN own USING (trace_id, span_id) EXCEPT SELECT trace_id, span_id, true FROM own)""", "fx_spans",
+        SELECT trace_id, span_id, bool_and(above) AS is_context FROM (SELECT trace_id, span_id, false AS above FROM own UNION ALL SELECT p.trace_id, p.ancestor_id, true FROM paths p JOIN own USING (trace_id, span_id)) GROUP BY 1, 2""", "fx_spans",
 )
 add(
     "U14_compact_rows", lambda s, d: U.compact_rows(spans(s, d).select("trace_id", "span_id", F.when(F.col("status") == "error", 0).otherwise(1).alias("tier"), "duration_ns"), 3).select("trace_id", "span_id"),

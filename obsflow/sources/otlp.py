@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsflow.functions.text import filled, log_id
 
-_LEAF = "stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, bytesValue: string"
-_NESTED = f"struct<{_LEAF}>"
-_VALUE = f"struct<{_LEAF}, arrayValue: struct<values: array<{_NESTED}>>, kvlistValue: struct<values: array<struct<key: string, value: {_NESTED}>>>>"
+# what is nested stays JSON text and is read level by level
+_VALUE = "struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, bytesValue: string, arrayValue: string, kvlistValue: string>"
 _ATTRIBUTES = f"array<struct<key: string, value: {_VALUE}>>"
 _RESOURCE = f"resource: struct<attributes: {_ATTRIBUTES}>"
 _SPAN = (
@@ -19,6 +20,8 @@ _SPAN = (
 _LOG = f"struct<timeUnixNano: string, observedTimeUnixNano: string, severityNumber: int, severityText: string, body: {_VALUE}, traceId: string, spanId: string, attributes: {_ATTRIBUTES}>"
 TRACES = f"resourceSpans array<struct<{_RESOURCE}, scopeSpans: array<struct<spans: array<{_SPAN}>>>>>, receivedAt bigint"
 LOGS = f"resourceLogs array<struct<{_RESOURCE}, scopeLogs: array<struct<logRecords: array<{_LOG}>>>>>, receivedAt bigint"
+#: Levels of lists and maps in one another; deeper values stop the job rather than lose something.
+MOST_DEPTH = 4
 # fixed values: names of the numbers on the wire
 KINDS = ["unspecified", "internal", "server", "client", "producer", "consumer"]
 STATUSES = ["unset", "ok", "error"]
@@ -36,11 +39,32 @@ def _leaf(v: Column) -> Column:
     return F.coalesce(v["stringValue"], v["intValue"], _number(v["doubleValue"]), v["boolValue"].cast("string"), F.lower(F.hex(F.unbase64(v["bytesValue"]))))
 
 
-def any_value(v: Column) -> Column:
-    """Scalars as they are, bytes as hex, lists and maps as JSON of their members' text; empty if there is nothing."""
-    items = F.when(v["arrayValue"].isNotNull(), F.to_json(F.transform(v["arrayValue"]["values"], lambda x: F.coalesce(_leaf(x), F.lit("")))))
-    pairs = F.when(v["kvlistValue"].isNotNull(), F.to_json(F.map_from_entries(F.transform(v["kvlistValue"]["values"], lambda x: F.struct(x["key"], F.coalesce(_leaf(x["value"]), F.lit("")))))))
-    return F.coalesce(_leaf(v), items, pairs, F.lit(""))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that stands in the expression once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def any_value(v: Column, depth: int = MOST_DEPTH) -> Column:
+    """Scalars as they are, bytes as hex, lists and maps as JSON of their members' text; empty if there is nothing.
+
+    The text of a member that is a list or a map is its JSON in turn. Maps are in the order of their keys, and of equal
+    keys the last counts.
+    """
+    listed = F.from_json(v["arrayValue"], "values array<string>")["values"]
+    paired = F.from_json(v["kvlistValue"], "values array<struct<key: string, value: string>>")["values"]
+    too_deep = F.raise_error(F.lit(f"a value nests more than {MOST_DEPTH} lists and maps")).cast("string")
+    text = lambda c: _let(F.from_json(c, _VALUE), lambda x: any_value(x, depth - 1)) if depth else too_deep
+    pairs = "array<struct<key: string, value: string>>"
+    items = F.coalesce(F.transform(listed, lambda x: F.struct(F.lit(None).cast("string"), x)).cast(pairs), paired.cast(pairs), F.array().cast(pairs))
+    told = F.transform(items, lambda x: F.named_struct(F.lit("key"), x["key"], F.lit("text"), F.coalesce(text(x["value"]), F.lit(""))))
+
+    def written(t: Column) -> Column:
+        last = F.filter(t, lambda x, i: ~F.exists(F.slice(t, i + 2, F.size(t)), lambda y: y["key"] == x["key"]))
+        as_map = F.when(F.size(t) == 0, "{}").otherwise(F.to_json(F.map_from_entries(F.array_sort(last))))
+        return F.when(v["arrayValue"].isNotNull(), F.to_json(F.transform(t, lambda x: x["text"]))).otherwise(as_map)
+
+    nested = F.when(v["arrayValue"].isNotNull() | v["kvlistValue"].isNotNull(), _let(told, written))
+    return F.coalesce(_leaf(v), nested, F.lit(""))
 
 
 def attribute_map(attributes: Column) -> Column:
@@ -128,12 +152,30 @@ def write_raw(df: DataFrame, ts_ns: str, path: str, mode: str = "append") -> Non
 
 
 def as_requests(spans: DataFrame) -> DataFrame:
-    """Spans as OTLP JSON export requests, one for each span, in a column `value`."""
+    """Spans as OTLP JSON export requests, one for each trace with its services as resources, in a column `value`."""
     attributes = F.transform(F.map_entries("attrs"), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
     span = F.struct(
         F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), "name",
         (F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")) - 1).alias("kind"), F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.col("end_ns").cast("string").alias("endTimeUnixNano"),
         attributes.alias("attributes"), F.struct((F.array_position(F.array(*(F.lit(k) for k in STATUSES)), F.col("status")) - 1).alias("code"), F.col("status_message").alias("message")).alias("status"),
     )
-    resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.col("service").alias("stringValue")).alias("value"))).alias("attributes"))
-    return spans.select(F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))).alias("value"))
+    scopes = spans.select("trace_id", "service", span.alias("span")).groupBy("trace_id", "service").agg(F.collect_list("span").alias("spans"))
+    return _requests(scopes, "resourceSpans", "scopeSpans", "spans")
+
+
+def as_log_requests(logs: DataFrame) -> DataFrame:
+    """Logs as OTLP JSON export requests, one for each service and second, in a column `value`."""
+    text = F.col("severity_text") if "severity_text" in logs.columns else F.lit(None).cast("string")
+    record = F.struct(
+        F.col("ts_ns").cast("string").alias("timeUnixNano"), F.col("severity_number").alias("severityNumber"), text.alias("severityText"),
+        F.struct(F.col("body").alias("stringValue")).alias("body"), F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"),
+    )
+    second = F.floor(F.col("ts_ns") / 1_000_000_000).alias("second")
+    return _requests(logs.select("service", second, record.alias("log")).groupBy("second", "service").agg(F.collect_list("log").alias("logRecords")), "resourceLogs", "scopeLogs", "logRecords")
+
+
+def _requests(scopes: DataFrame, resources: str, scope: str, records: str) -> DataFrame:
+    """A request for each value of the first column, a resource for each service in it."""
+    named = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.col("service").alias("stringValue")).alias("value"))).alias("attributes"))
+    one = F.struct(named.alias("resource"), F.array(F.struct(F.col(records))).alias(scope))
+    return scopes.groupBy(scopes.columns[0]).agg(F.collect_list(one).alias(resources)).select(F.to_json(F.struct(resources)).alias("value"))

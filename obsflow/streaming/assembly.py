@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from obsflow.operators.stories import stories
+from obsflow.operators.traces import error_flags, service_edges, trace_summaries
+from obsflow.sources.checkpoint import cut
+
 GAP_MS, MAX_AGE_MS, MAX_SPANS = 10_000, 60_000, 10_000  # fixed defaults
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,7 +32,7 @@ def sessionize_batch(records: DataFrame, gap_ms: int = GAP_MS, max_age_ms: int =
 
 def event_time_sessions(spans: DataFrame, gap: str = "10 seconds", watermark: str = "1 minute") -> DataFrame:
     """Sessions per trace by event time, for replays; batch or stream."""
-    stamped = spans.withColumn("ts", F.timestamp_micros(F.floor(F.col("start_ns") / 1000).cast("long")))
+    stamped = spans.withColumn("ts", F.timestamp_micros(F.expr("start_ns div 1000")))
     if stamped.isStreaming:
         stamped = stamped.withWatermark("ts", watermark)
     return stamped.groupBy("trace_id", F.session_window("ts", gap)).agg(F.count("*").alias("n_spans")).select(
@@ -35,91 +40,137 @@ def event_time_sessions(spans: DataFrame, gap: str = "10 seconds", watermark: st
     )
 
 
+def records_of(spans: DataFrame, logs: DataFrame) -> DataFrame:
+    """Spans and logs as one stream of records (trace_id, kind, id, row): id tells replays, row is JSON."""
+    span = spans.select("trace_id", F.lit("span").alias("kind"), F.col("span_id").alias("id"), F.to_json(F.struct(*spans.columns)).alias("row"))
+    log_id = F.concat_ws("\0", F.col("ts_ns").cast("string"), "span_id", "body")
+    log = logs.where("trace_id <> ''").select("trace_id", F.lit("log").alias("kind"), log_id.alias("id"), F.to_json(F.struct(*logs.columns)).alias("row"))
+    return span.unionByName(log)
+
+
 class _Assembler(StatefulProcessor):
-    """Per trace: its spans until it closes, then a marker for a while, so that late spans are known as such."""
+    """Per trace: its records until it closes, then a marker for a while, so that late records are known as such."""
 
     def __init__(self, gap_ms: int, max_age_ms: int, max_spans: int, remember_ms: int):
         self._limits = gap_ms, max_age_ms, max_spans, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._spans = handle.getListState("spans", "row string")
-        self._window = handle.getValueState("window", "opened long, last long, n long, closed boolean")
+        self._records = handle.getListState("records", "kind string, row string")
+        self._seen = handle.getMapState("seen", "kind string, id string", "there boolean")
+        self._window = handle.getValueState("window", "opened long, n_spans long, closed boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        gap, age, most, remember = self._limits
+        gap, age, most, _ = self._limits
         now = timerValues.getCurrentProcessingTimeInMs()
-        values = [str(v) for frame in rows for v in frame["row"]]
-        opened, _, n, closed = self._window.get() if self._window.exists() else (now, now, 0, False)
+        found = [(k, i, r) for frame in rows for k, i, r in zip(frame["kind"], frame["id"], frame["row"], strict=True)]
+        opened, n_spans, closed = self._window.get() if self._window.exists() else (now, 0, False)
+        new = []
+        for k, (kind, name, row) in enumerate(found):
+            if closed:
+                yield self._out(key[0], [(kind, row) for kind, _, row in found[k:]], "late")
+                break
+            if name and self._seen.containsKey((kind, name)):  # a replay: neither kept nor counted
+                continue
+            if name:
+                self._seen.updateValue((kind, name), (True,))
+            new.append((kind, row))
+            n_spans += kind == "span"
+            if n_spans > most:
+                yield self._close(key[0], now, opened, new, "truncated")
+                new, closed = [], True
         if closed:
-            yield self._out(key[0], values, "late")
             return
-        self._spans.appendList([(v,) for v in values])
-        n += len(values)
-        for timer in self._handle.listTimers():
+        if new:
+            self._records.appendList(new)
+        for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
-        if n > most:
-            yield self._close(key[0], now, opened, n, "truncated")
-        else:
-            self._window.update((opened, now, n, False))
-            self._handle.registerTimer(min(now + gap, opened + age))
+        self._window.update((opened, n_spans, False))
+        self._handle.registerTimer(min(now + gap, opened + age))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        opened, last, n, closed = self._window.get()
-        if closed:
+        opened, _, closed = self._window.get()
+        if closed:  # the trace is forgotten
             self._window.clear()
             yield self._out(key[0], [], "closed")
         else:
-            yield self._close(key[0], timerValues.getCurrentProcessingTimeInMs(), opened, n, "closed")
-
-    def _close(self, trace_id: str, now: int, opened: int, n: int, kind: str) -> pd.DataFrame:
-        out = self._out(trace_id, [r[0] for r in self._spans.get()], kind)
-        self._spans.clear()
-        self._window.update((opened, now, n, True))
+            yield self._close(key[0], timerValues.getCurrentProcessingTimeInMs(), opened, [], "closed")
+
+    def _close(self, trace_id: str, now: int, opened: int, more: list[tuple[str, str]], closing: str) -> pd.DataFrame:
+        out = self._out(trace_id, [*(self._records.get() if self._records.exists() else []), *more], closing)
+        self._records.clear()
+        self._seen.clear()
+        self._window.update((opened, 0, True))
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
         self._handle.registerTimer(now + self._limits[3])
         return out
 
     @staticmethod
-    def _out(trace_id: str, values: list[str], kind: str) -> pd.DataFrame:
-        return pd.DataFrame({"trace_id": pd.Series([trace_id] * len(values), dtype=str), "row": pd.Series(values, dtype=str), "closing": pd.Series([kind] * len(values), dtype=str)})
+    def _out(trace_id: str, records: list[tuple[str, str]], closing: str) -> pd.DataFrame:
+        n = len(records)
+        return pd.DataFrame({"trace_id": pd.Series([trace_id] * n, dtype=str), "kind": pd.Series([r[0] for r in records], dtype=str), "row": pd.Series([r[1] for r in records], dtype=str), "closing": pd.Series([closing] * n, dtype=str)})
 
     def close(self) -> None:
         pass
 
 
-def assemble_traces(spans: DataFrame, gap_ms: int = GAP_MS, max_age_ms: int = MAX_AGE_MS, max_spans: int = MAX_SPANS, remember_ms: int = 600_000) -> DataFrame:
-    """Streamed spans with closing: closed or truncated for those of a trace whose window closed, late for those after it.
+def assemble_traces(records: DataFrame, gap_ms: int = GAP_MS, max_age_ms: int = MAX_AGE_MS, max_spans: int = MAX_SPANS, remember_ms: int = 600_000) -> DataFrame:
+    """Streamed records (see records_of) with closing, by processing time: all records of a trace come out when it closes.
 
-    The session must use STATE_STORE. State holds the open traces only, in RocksDB, and a marker for closed ones.
+    closed: no new record for gap_ms, or open for max_age_ms; truncated: more than max_spans spans, of which replays do
+    not count; late: what comes within remember_ms of the close. The session must use STATE_STORE. State holds the open
+    traces and the ids of their records, in RocksDB, and a marker for each trace closed within remember_ms.
     """
-    packed = spans.select("trace_id", F.to_json(F.struct(*spans.columns)).alias("row"))
-    out = packed.groupBy("trace_id").transformWithStateInPandas(
-        statefulProcessor=_Assembler(gap_ms, max_age_ms, max_spans, remember_ms), outputStructType="trace_id string, row string, closing string", outputMode="Append", timeMode="ProcessingTime"
+    return records.groupBy("trace_id").transformWithStateInPandas(
+        statefulProcessor=_Assembler(gap_ms, max_age_ms, max_spans, remember_ms), outputStructType="trace_id string, kind string, row string, closing string", outputMode="Append", timeMode="ProcessingTime"
     )
-    return out.select("closing", F.from_json("row", spans.schema).alias("s")).select("closing", "s.*")
+
+
+def unpacked(records: DataFrame, kind: str, schema: T.StructType) -> DataFrame:
+    """The spans or logs among assembled records, with closing."""
+    return records.where(F.col("kind") == kind).select("closing", F.from_json("row", schema).alias("r")).select("closing", "r.*")
 
 
 def late_items(assembled: DataFrame) -> DataFrame:
     return assembled.where("closing = 'late'").groupBy("trace_id").agg(F.count("*").alias("n_late"))
 
 
-def stream_raw(rows: DataFrame, path: str, checkpoint: str, trigger: str = "1 second") -> StreamingQuery:
+def stream_raw(rows: DataFrame, path: str, checkpoint: str, **trigger: str | bool) -> StreamingQuery:
     """Copies a stream to a table by batch directory, so that a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        write_batch(batch, path, batch_id)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+
+def analyze_batch(batch: DataFrame, batch_id: int, path: str, span_schema: T.StructType, log_schema: T.StructType, baselines: DataFrame | None = None, ops: DataFrame | None = None) -> None:
+    """Summaries, stories and edges of the traces (assembled records) that one batch closes, under its id.
+
+    The batch is stored first and then read by each analysis. Tables are written in the given order, the additive one
+    (edges) last; a batch that comes again replaces what it wrote, so its edges count once.
+    """
+    if batch.isEmpty():
+        return
+    whole = cut(batch.where("closing <> 'late'"))
+    spans, logs = (unpacked(whole, k, schema) for k, schema in (("span", span_schema), ("log", log_schema)))
+    flags = spans.groupBy("trace_id").agg(F.when(F.max("closing") == "truncated", F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>")).alias("window_flags"))
+    spans, logs = spans.drop("closing"), logs.drop("closing")
+    flagged = error_flags(spans, logs)
+    write_batch(trace_summaries(flagged), f"{path}/summaries", batch_id)
+    write_batch(stories(spans, logs, baselines, ops, window_flags=flags), f"{path}/stories", batch_id)
+    write_batch(service_edges(flagged), f"{path}/edges", batch_id)
 
 
-def analyze_stream(closed: DataFrame, analyses: dict[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str) -> StreamingQuery:
-    """Runs the batch operators on the traces each micro-batch closes. Tables are written in the given order, each
-    under its batch id, so additive ones (edges, last) count a repeated batch once."""
+def analyze_stream(assembled: DataFrame, path: str, checkpoint: str, span_schema: T.StructType, log_schema: T.StructType, baselines: DataFrame | None = None, ops: DataFrame | None = None) -> StreamingQuery:
+    """analyze_batch on each micro-batch of assembled records."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        whole = batch.where("closing <> 'late'").drop("closing").persist()
-        for name, analyse in analyses.items():
-            analyse(whole).write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
-        whole.unpersist()
+        analyze_batch(batch, batch_id, path, span_schema, log_schema, baselines, ops)
 
-    return closed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    return assembled.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
