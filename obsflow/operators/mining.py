@@ -3,17 +3,26 @@
 A sequence that repeats matches its own template exactly, so it neither makes nor changes one: clustering the distinct
 sequences in the order they were first seen gives the same templates as going through every line. Counting lines into
 distinct sequences is a plain aggregation, so a service that owns most lines costs no more than its distinct ones.
+
+Sequences of different length never meet in the tree, so a group is a service and a length. Only the limit on clusters
+spans lengths: services that exceed it are mined again as one group each, and there the lines of sequences that found no
+room are tried again, one by one, after their leaf has changed. What mining leaves behind is rows: clusters by leaf, and
+which cluster each sequence belongs to from which line on. A later run starts from those rows and adds the changed ones.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsflow.functions.text import WILDCARD, log_tokens, short_hash, truncate_utf8
+from obsflow.operators.tables import latest
+from obsflow.sources.checkpoint import cut
 
 OVERFLOW = "<overflow>"
 
@@ -44,7 +53,8 @@ class Tree:
     leaves: dict[tuple, list[int]] = field(default_factory=dict)
     children: dict[tuple, set[str]] = field(default_factory=dict)
 
-    def leaf(self, tokens: list[str]) -> list[int]:
+    def path(self, tokens: list[str]) -> tuple:
+        """The leaf that a sequence of tokens leads to; its nodes are made on the way."""
         path: tuple = (len(tokens),)
         for token in tokens[: self.config.depth - 2]:
             seen = self.children.setdefault(path, set())
@@ -53,7 +63,20 @@ class Tree:
                     token = WILDCARD
                 seen.add(token)
             path = (*path, token)
-        return self.leaves.setdefault(path, [])
+        self.leaves.setdefault(path, [])
+        return path
+
+    def restore(self, path: tuple, initial: str | None = None, template: list[str] | None = None) -> int:
+        """Puts back a leaf, and a cluster of it if there is one."""
+        for depth in range(1, len(path)):
+            self.children.setdefault(path[:depth], set()).add(path[depth])
+        leaf = self.leaves.setdefault(path, [])
+        if template is None:
+            return -1
+        self.templates.append(template)
+        self.initial.append(initial)
+        leaf.append(len(self.templates) - 1)
+        return leaf[-1]
 
     def score(self, template: list[str], tokens: list[str]) -> float:
         """Share of equal or wildcard places; -1 if a status code meets anything but itself."""
@@ -69,7 +92,7 @@ class Tree:
 
     def add(self, tokens: list[str]) -> tuple[int, bool]:
         """The cluster a sequence belongs to now, and whether its template became more general. -1: overflow."""
-        leaf = self.leaf(tokens)
+        leaf = self.leaves[self.path(tokens)]
         scored = [(self.score(self.templates[k], tokens), -k) for k in leaf]
         best, k = max(scored, default=(-1.0, 0))
         if best >= self.config.similarity:
@@ -87,50 +110,167 @@ class Tree:
 
 def distinct_sequences(logs: DataFrame, config: Config = Config()) -> DataFrame:
     """Per service and masked token sequence: first and last time, lines, worst severity and the first body."""
+    return _distinct(logs, config).drop("first_id")
+
+
+def _distinct(logs: DataFrame, config: Config) -> DataFrame:
     tokens = log_tokens(F.col("body"), config.keep_http_status)
     return logs.withColumn("tokens", tokens).groupBy("service", "tokens").agg(
-        F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.count("*").alias("lines"), F.max("severity_number").alias("max_severity"), F.min_by("body", F.struct("ts_ns", "log_id")).alias("sample")
-    )
+        F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.count("*").alias("lines"), F.max("severity_number").alias("max_severity"), F.min_by("body", F.struct("ts_ns", "log_id")).alias("sample"),
+        F.min(F.struct("ts_ns", "log_id"))["log_id"].alias("first_id"),
+    )
 
 
-def drain_templates(sequences: DataFrame, config: Config = Config()) -> DataFrame:
-    """Each sequence with its cluster (number in its service), initial and final template, in first-seen order.
+#: Rows that mining leaves: clusters (kind c: path, position in the leaf, initial, template), leaves (kind l: path) and
+#: assignments (kind s: the sequence key belongs to the cluster at position of path from the line (valid_from, valid_id) on).
+STATE = "kind string, service string, path string, position int, key string, tokens array<string>, initial string, template string, valid_from long, valid_id string"
+Line = tuple[int, str]
+
+
+@dataclass
+class _Mining:
+    """One group: its tree, its sequences by leaf, and the lines at which something changed."""
+
+    tree: Tree
+    of: dict[str, tuple[list[str], tuple, int]] = field(default_factory=dict)  # tokens, path, cluster
+    by_leaf: dict[tuple, list[str]] = field(default_factory=dict)
+    waiting: list[tuple[int, str, str]] = field(default_factory=list)
+    lines: dict[str, list[Line]] = field(default_factory=dict)
+    assigned: list[tuple[str, Line, int]] = field(default_factory=list)
+    touched: set[int] = field(default_factory=set)
+    begun: set[str] = field(default_factory=set)
+
+    def put(self, key: str, tokens: list[str], path: tuple, cluster: int) -> None:
+        if key not in self.of:
+            self.by_leaf.setdefault(path, []).append(key)
+        self.of[key] = tokens, path, cluster
+
+    def line(self, key: str, tokens: list[str], at: Line) -> None:
+        """A line whose sequence is new, had no room so far, or comes for the first time in this run."""
+        if key in self.of and self.of[key][2] >= 0:
+            self.assigned.append((key, at, self.of[key][2]))
+            return
+        before = len(self.tree.templates)
+        cluster, changed = self.tree.add(tokens)
+        path = self.tree.path(tokens)
+        self.put(key, tokens, path, cluster)
+        if cluster >= 0 or key not in self.begun:
+            self.assigned.append((key, at, cluster))
+        self.begun.add(key)
+        if changed or len(self.tree.templates) > before:
+            self.touched.add(cluster)
+        if changed:
+            self.judge_again(path, cluster, at)
+
+    def judge_again(self, path: tuple, cluster: int, at: Line) -> None:
+        """After a template became more general: sequences of the leaf that it matches in full go from later clusters to it; those without a cluster are tried with their next line."""
+        for other in self.by_leaf[path]:
+            tokens, _, its = self.of[other]
+            if its > cluster and self.tree.score(self.tree.templates[cluster], tokens) == 1.0:
+                self.of[other] = tokens, path, cluster
+                self.assigned.append((other, at, cluster))
+            elif its < 0 and other in self.lines:
+                place = bisect_right(self.lines[other], at)
+                if place < len(self.lines[other]):
+                    heapq.heappush(self.waiting, (*self.lines[other][place], other))
+
+
+def _mine(service: str, old: pd.DataFrame, new: pd.DataFrame, config: Config) -> pd.DataFrame:
+    """Rows that mining the sequences new adds to the rows old of the same group."""
+    work = _Mining(Tree(config))
+    at_position: dict[tuple[str, int], int] = {}
+    paths = {p: tuple(int(x) if k == 0 else x for k, x in enumerate(p.split(" "))) for p in old["path"].unique()}
+    for path in paths.values():
+        work.tree.restore(path)
+    for r in old[old["kind"] == "c"].sort_values(["first_ns", "first_id", "path", "position"]).itertuples():
+        at_position[r.path, r.position] = work.tree.restore(paths[r.path], r.initial, r.template.split(" "))
+    for r in old[old["kind"] == "s"].sort_values(["valid_from", "valid_id", "key"]).itertuples():
+        work.put(r.key, list(r.tokens), paths[r.path], at_position.get((r.path, r.position), -1))
+    known_leaves = set(work.tree.leaves)
+    tokens_of = {}
+    for r in new.itertuples():
+        tokens_of[r.key] = list(r.tokens)
+        if r.lines is not None:
+            work.lines[r.key] = [(x["ts_ns"], x["log_id"]) for x in r.lines]
+        work.waiting.append((r.first_ns, r.first_id, r.key))
+    heapq.heapify(work.waiting)
+    while work.waiting:
+        ts, log_id, key = heapq.heappop(work.waiting)
+        work.line(key, tokens_of.get(key) or work.of[key][0], (ts, log_id))
+    tree, name = work.tree, lambda path: " ".join(map(str, path))
+    place = {k: (name(path), n) for path, leaf in tree.leaves.items() for n, k in enumerate(leaf)}
+    first = {k: at for key, at, k in reversed(work.assigned)}
+    rows: list[tuple] = [("l", service, name(p), None, None, None, None, None, None, None) for p in tree.leaves if p not in known_leaves]
+    rows += [("c", service, *place[k], None, None, tree.initial[k], " ".join(tree.templates[k]), *first[k]) for k in sorted(work.touched)]
+    for key, (ts, log_id), k in work.assigned:
+        tokens, path, _ = work.of[key]
+        text = (tree.initial[k], " ".join(tree.templates[k])) if k >= 0 else (OVERFLOW, OVERFLOW)
+        rows.append(("s", service, name(path), place[k][1] if k >= 0 else -1, key, tokens, *text, ts, log_id))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")])
+
+
+def mine(logs: DataFrame, config: Config = Config(), state: DataFrame | None = None) -> DataFrame:
+    """The rows (see STATE) that mining logs adds to a state; a sequence's rows s say from which line on it belongs where."""
+    sequences = _distinct(logs, config).select("service", "tokens", F.size("tokens").alias("n_tokens"), _key().alias("key"), "first_ns", "first_id")
+    state = logs.sparkSession.createDataFrame([], STATE) if state is None else state
+    sequences, state = cut(sequences), cut(current(state))
+    no_lines = sequences.withColumn("lines", F.lit(None).cast("array<struct<ts_ns:bigint,log_id:string>>"))
+    found = cut(_grouped(no_lines, state, config, ["service", "n_tokens"]))
+    made = state.where("kind = 'c'").select("service", "path", "position", "valid_from", "valid_id").unionByName(found.where("kind = 'c'").select("service", "path", "position", "valid_from", "valid_id"))
+    made = made.groupBy("service", "path", "position").agg(F.min(F.struct("valid_from", "valid_id")).alias("at"))
+    nth = Window.partitionBy("service").orderBy("at", "path", "position")
+    full = made.withColumn("k", F.row_number().over(nth)).groupBy("service").agg(F.max("k").alias("n"), F.min(F.when(F.col("k") == config.max_clusters, F.col("at.valid_from"))).alias("full_ns"))
+    full = cut(full.where(F.col("n") > config.max_clusters).select("service", "full_ns"))
+    if full.isEmpty():
+        return found
+    late = logs.join(full, "service").where(F.col("ts_ns") >= F.col("full_ns")).select("service", F.md5(F.concat_ws(" ", log_tokens(F.col("body"), config.keep_http_status))).alias("key"), "ts_ns", "log_id")
+    lines = late.groupBy("service", "key").agg(F.array_sort(F.collect_list(F.struct("ts_ns", "log_id"))).alias("lines"))
+    again = sequences.join(full.select("service"), "service", "left_semi").join(lines, ["service", "key"], "left")
+    return found.join(full, "service", "left_anti").unionByName(_grouped(again, state.join(full, "service", "left_semi"), config, ["service"]))
+
+
+def _key():  # noqa: ANN202
+    return F.md5(F.concat_ws(" ", "tokens"))
+
+
+def _grouped(sequences: DataFrame, state: DataFrame, config: Config, by: list[str]) -> DataFrame:
+    def run(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        return _mine(key[0], old, new, config)
+
+    first = Window.partitionBy("service", "path", "position")
+    old = state.withColumn("n_tokens", F.substring_index("path", " ", 1).cast("int")).withColumns({"first_ns": F.min("valid_from").over(first), "first_id": F.min("valid_id").over(first)})
+    return old.groupBy(*by).cogroup(sequences.groupBy(*by)).applyInPandas(run, STATE)
 
-    valid_from is the time from which later lines of the sequence belong to the cluster; a sequence gets another row
-    where a template of its service became more general and now takes it.
-    """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(config)
-        group = group.sort_values(["first_ns", "key"])
-        rows: list[tuple] = []
-        seen: list[tuple[str, list[str], int]] = []
-        for key, tokens, first in zip(group["key"], group["tokens"], group["first_ns"], strict=True):
-            tokens = list(tokens)
-            k, changed = tree.add(tokens)
-            rows.append((key, first, k))
-            if changed:  # lines of earlier sequences that come later may match another template from now on
-                for at, (other, its_tokens, its_k) in enumerate(seen):
-                    if len(its_tokens) == len(tokens) and its_k >= 0:
-                        scored = max(((tree.score(tree.templates[c], its_tokens), -c) for c in tree.leaf(its_tokens)), default=(-1.0, 0))
-                        if scored[0] >= config.similarity and -scored[1] != its_k:
-                            rows.append((other, first, -scored[1]))
-                            seen[at] = other, its_tokens, -scored[1]
-            seen.append((key, tokens, k))
-        service = group["service"].iloc[0]
-        out = [(service, key, int(t), k, tree.initial[k] if k >= 0 else OVERFLOW, " ".join(tree.templates[k]) if k >= 0 else OVERFLOW) for key, t, k in rows]
-        return pd.DataFrame(out, columns=["service", "key", "valid_from", "cluster", "initial", "template"])
-
-    keyed = sequences.select("service", F.md5(F.concat_ws(" ", "tokens")).alias("key"), "tokens", "first_ns")
-    found = keyed.groupBy("service").applyInPandas(run, "service string, key string, valid_from long, cluster int, initial string, template string")
-    return found.withColumn("template_id", short_hash(F.col("service"), F.col("initial")))
+def current(state: DataFrame) -> DataFrame:
+    """Of rows that runs have left one after the other: the newest of each cluster and sequence, and every leaf once."""
+    clusters = latest(state.where("kind = 'c'"), ["kind", "service", "path", "position"], "valid_from", "valid_id")
+    sequences = latest(state.where("kind = 's'"), ["kind", "service", "key"], "valid_from", "valid_id")
+    leaves = state.where("kind = 'l'").dropDuplicates(["service", "path"])
+    return clusters.select(*state.columns).unionByName(sequences.select(*state.columns)).unionByName(leaves)
+
+
+def assignments(state: DataFrame) -> DataFrame:
+    """(service, key, valid_from, valid_id, initial, template, template_id): the cluster of each sequence from a line on."""
+    own = state.where("kind = 's'").select("service", "key", "valid_from", "valid_id", "initial", "template")
+    return own.withColumn("template_id", short_hash(F.col("service"), F.col("initial")))
+
+
+def drain_templates(logs: DataFrame, config: Config = Config()) -> DataFrame:
+    """assignments() of mining logs from nothing."""
+    return assignments(mine(logs, config))
 
 
 def template_hits(logs: DataFrame, assigned: DataFrame, config: Config = Config()) -> DataFrame:
-    """One row per log with its template: the assignment in force at its time."""
+    """One row per log with its template: the assignment in force at its line.
+
+    A sequence that owns most lines would be one key of the join, so lines are joined through their distinct sequences
+    only where Spark cannot send the history to every task; its own skew handling splits such a key.
+    """
     keyed = logs.withColumn("key", F.md5(F.concat_ws(" ", log_tokens(F.col("body"), config.keep_http_status))))
-    spans = assigned.groupBy("service", "key").agg(F.array_sort(F.collect_list(F.struct("valid_from", "template_id"))).alias("history"))
-    in_force = F.element_at(F.filter("history", lambda h: h["valid_from"] <= F.col("ts_ns")), -1)["template_id"]
+    spans = assigned.groupBy("service", "key").agg(F.array_sort(F.collect_list(F.struct("valid_from", "valid_id", "template_id"))).alias("history"))
+    before = lambda h: (h["valid_from"] < F.col("ts_ns")) | ((h["valid_from"] == F.col("ts_ns")) & (h["valid_id"] <= F.col("log_id")))
+    in_force = F.element_at(F.filter("history", before), -1)["template_id"]
     return keyed.join(spans, ["service", "key"]).select("log_id", in_force.alias("template_id"), "service", "ts_ns", "severity_number", "trace_id", "span_id")
 
 
@@ -142,25 +282,10 @@ def template_stats(hits: DataFrame, logs: DataFrame, most_bytes: int = 512) -> D
     )
 
 
-def restore_templates(stored: DataFrame, sequences: DataFrame, config: Config = Config()) -> DataFrame:
-    """Templates after an incremental run: the stored ones (service, template_id, initial, template, first_seen) come first and keep their ids."""
-
-    def run(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        tree, ids = Tree(config), []
-        for template_id, initial, template in old.sort_values(["first_seen", "template_id"])[["template_id", "initial", "template"]].itertuples(index=False):
-            tokens = template.split(" ")
-            tree.templates.append(tokens)
-            tree.initial.append(initial)
-            tree.leaf(tokens).append(len(tree.templates) - 1)
-            ids.append(template_id)
-        for tokens in new.sort_values(["first_ns", "key"])["tokens"]:
-            tree.add(list(tokens))
-        rows = [(key[0], ids[k] if k < len(ids) else None, tree.initial[k], " ".join(t)) for k, t in enumerate(tree.templates)]
-        return pd.DataFrame(rows, columns=["service", "known_id", "initial", "template"])
-
-    keyed = sequences.select("service", F.md5(F.concat_ws(" ", "tokens")).alias("key"), "tokens", "first_ns")
-    found = stored.groupBy("service").cogroup(keyed.groupBy("service")).applyInPandas(run, "service string, known_id string, initial string, template string")
-    return found.select("service", F.coalesce("known_id", short_hash(F.col("service"), F.col("initial"))).alias("template_id"), "initial", "template")
+def restored_templates(state: DataFrame) -> DataFrame:
+    """The templates (service, template_id, initial, template) of a state."""
+    own = current(state).where("kind = 'c'").select("service", "initial", "template")
+    return own.withColumn("template_id", short_hash(F.col("service"), F.col("initial"))).select("service", "template_id", "initial", "template")
 
 
 def pre_epoch_pairs(candidates: DataFrame, old: DataFrame, config: Config = Config()) -> DataFrame:
@@ -180,15 +305,17 @@ def suppress_pre_epoch(candidates: DataFrame, old: DataFrame, config: Config = C
     return candidates.join(pre_epoch_pairs(candidates, old, config), "template_id", "left_anti")
 
 
-def remine(logs: DataFrame, stored: DataFrame, silenced: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(report per service, silence settings left without a template) of mining stored logs anew, replays counted once."""
-    once = logs.dropDuplicates(["ts_ns", "log_id"])
-    new = drain_templates(distinct_sequences(once, config), config).select("service", "template_id").distinct().withColumn("new", F.lit(1))
+def remine(logs: DataFrame, stored: DataFrame, silenced: DataFrame, start_ns: int, end_ns: int, config: Config = Config()) -> tuple[DataFrame, DataFrame, int]:
+    """(report per service, silence settings left without a template, the new watermark) of mining the stored logs of a window anew.
+
+    Replays count once. Lines from the watermark, the window's end, on are for the live miner.
+    """
+    once = logs.where((F.col("ts_ns") >= start_ns) & (F.col("ts_ns") < end_ns)).dropDuplicates(["ts_ns", "log_id"])
+    new = drain_templates(once, config).select("service", "template_id").distinct().withColumn("new", F.lit(1))
     old = stored.select("service", "template_id").distinct().withColumn("old", F.lit(1))
     both = old.join(new, ["service", "template_id"], "full_outer")
     report = both.groupBy("service").agg(
         F.count("old").alias("before"), F.count("new").alias("after"), F.count_if(F.col("old").isNull()).alias("added"), F.count_if(F.col("new").isNull()).alias("removed"),
         F.count_if(F.col("new").isNotNull() & F.col("old").isNotNull()).alias("unchanged"),
     )
-    return report, silenced.join(new, "template_id", "left_anti")
-
+    return report, silenced.join(new, "template_id", "left_anti"), end_ns

@@ -388,24 +388,25 @@ add(
     "L3_distinct_sequences", lambda s, d: L.distinct_sequences(logs(s, d)).withColumn("tokens", F.array_join("tokens", " ")),
     f"WITH {SEQUENCES} SELECT service, tokens, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, count(*) AS lines, max(severity_number) AS max_severity, arg_min(body, ts_ns) AS sample FROM seq GROUP BY 1, 2", "fx_logs",
 )
-add("L4_drain_templates", lambda s, d: L.drain_templates(L.distinct_sequences(logs(s, d))).select("service", "template_id", "template").distinct())
-add("L5_template_id", lambda s, d: L.drain_templates(L.distinct_sequences(logs(s, d))).select("service", "initial", "template_id").distinct())
-add("L6_overflow", lambda s, d: L.drain_templates(L.distinct_sequences(logs(s, d)), L.Config(max_clusters=3)).groupBy("service", "template_id").agg(F.count("*").alias("n")))
+add("L4_drain_templates", lambda s, d: L.drain_templates(logs(s, d)).select("service", "template_id", "template").distinct())
+add("L5_template_id", lambda s, d: L.drain_templates(logs(s, d)).select("service", "initial", "template_id").distinct())
+add("L6_overflow", lambda s, d: L.template_hits(logs(s, d), L.drain_templates(logs(s, d), L.Config(max_clusters=3)), L.Config(max_clusters=3)).groupBy("service", "template_id").agg(F.count("*").alias("n")))
 add(
     "L7_template_stats", lambda s, d: L.template_stats(view(s, d, "fx_hits"), logs(s, d)),
     "SELECT h.template_id, h.service, count(*) AS lines, min(h.ts_ns) AS first_seen, max(h.ts_ns) AS last_seen, max(h.severity_number) AS max_severity, arg_min(l.body, h.ts_ns) AS sample FROM fx_hits h JOIN fx_logs l USING (log_id) GROUP BY 1, 2", "fx_hits",
 )
-add("L8_template_hits", lambda s, d: L.template_hits(logs(s, d), L.drain_templates(L.distinct_sequences(logs(s, d)))).groupBy("template_id").agg(F.count("*").alias("n")))
+add("L8_template_hits", lambda s, d: L.template_hits(logs(s, d), L.drain_templates(logs(s, d))).groupBy("template_id").agg(F.count("*").alias("n")))
 
 
-def restored(s: SparkSession, d: str) -> DataFrame:
-    old = logs(s, d).where(F.col("ts_ns") < (LOG_END - 5000) * S)
-    first = L.drain_templates(L.distinct_sequences(old))
-    stored = first.groupBy("service", "template_id", "initial").agg(F.max("template").alias("template"), F.min("valid_from").alias("first_seen"))
-    return L.restore_templates(stored, L.distinct_sequences(logs(s, d).where(F.col("ts_ns") >= (LOG_END - 5000) * S)))
+def in_two_runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that two runs leave, the second from those of the first, and the logs of the second."""
+    old, new = (logs(s, d).where(c) for c in (F.col("ts_ns") < (LOG_END - 5000) * S, F.col("ts_ns") >= (LOG_END - 5000) * S))
+    first = L.mine(old)
+    return first.unionByName(L.mine(new, state=first)), new
 
 
-add("L9_restore_templates", restored)
+add("L9_restore_templates", lambda s, d: L.restored_templates(in_two_runs(s, d)[0]))
+add("L9_hits_after_restore", lambda s, d: L.template_hits(in_two_runs(s, d)[1], L.assignments(in_two_runs(s, d)[0])).select("log_id", "template_id"))
 
 
 def split_off(s: SparkSession, d: str) -> DataFrame:
@@ -424,4 +425,7 @@ add(
     lambda s, d: D.masking_epoch(view(s, d, "nation").select((F.col("n_nationkey") % 3).alias("masking_version"), (F.col("n_nationkey") * 100).alias("epoch_start"), (F.col("n_nationkey") % 2 == 0).alias("has_templates"), "n_nationkey"), 2, F.lit(LOG_END)).select("n_nationkey", F.col("epoch_ns").cast("long").alias("epoch")),
     f"SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 3 = 2 THEN n_nationkey * 100 WHEN n_nationkey % 2 = 0 THEN {LOG_END} ELSE 0 END AS BIGINT) AS epoch FROM nation",
 )
-add("L13_remine", lambda s, d: L.remine(logs(s, d).unionByName(logs(s, d).where("severity_number = 5")), L.drain_templates(L.distinct_sequences(logs(s, d).where(F.col("ts_ns") < (LOG_END - 5000) * S))), s.createDataFrame([("gone",)], "template_id string"))[0])
+add(
+    "L13_remine",
+    lambda s, d: L.remine(logs(s, d).unionByName(logs(s, d).where("severity_number = 5")), L.drain_templates(logs(s, d).where(F.col("ts_ns") < (LOG_END - 5000) * S)), s.createDataFrame([("gone",)], "template_id string"), 0, LOG_END * S)[0],
+)

@@ -107,19 +107,11 @@ add(
 )
 
 
-def as_stream(s: SparkSession, rows: DataFrame, at: str) -> DataFrame:
-    """Rows written as files and read as a stream."""
+def as_stream(s: SparkSession, rows: DataFrame, at: str, files: int = 1000) -> DataFrame:
+    """Rows written as files and read as a stream, some files in each batch."""
     rows.write.parquet(f"{at}/in")
     s.conf.set("spark.sql.streaming.stateStore.providerClass", assembly.STATE_STORE)
-    return s.readStream.schema(rows.schema).parquet(f"{at}/in")
-
-
-def streamed(s: SparkSession, rows: DataFrame, run, name: str) -> DataFrame:  # noqa: ANN001
-    """What the sink holds when a stream of rows, transformed, is through."""
-    at = scratch(s, name)
-    stream = run(as_stream(s, rows, at))
-    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(stream.schema).parquet(f"{at}/out")
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
 
 
 def until(query: StreamingQuery, done: Callable[[], bool]) -> None:
@@ -142,7 +134,13 @@ def copied(s: SparkSession, d: str) -> DataFrame:
 
 
 add("M10_stream_raw", copied, "SELECT log_id, ts_ns, service, severity_number, trace_id, span_id, body FROM fx_logs", "fx_logs")
-add("L10_mine_stream", lambda s, d: streamed(s, logs(s, d), mining.mine_stream, "mine").select("service", "template_id").distinct())
+def mined(s: SparkSession, d: str) -> DataFrame:
+    at = scratch(s, "mine")
+    mining.mine_stream(as_stream(s, logs(s, d).repartition(3), at, 1), f"{at}/out", f"{at}/state", availableNow=True).awaitTermination()
+    return s.read.parquet(f"{at}/out/hits").select("log_id", "service", "template_id")
+
+
+add("L10_mine_stream", mined)
 
 
 def replayed(s: SparkSession, d: str) -> DataFrame:

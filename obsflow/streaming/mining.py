@@ -2,52 +2,38 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from obsflow.functions.text import log_tokens, short_hash
-from obsflow.operators.mining import OVERFLOW, Config, Tree
-
-
-class _Miner(StatefulProcessor):
-    """Per service: the templates in the order they were made."""
-
-    def __init__(self, config: Config):
-        self._config = config
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._templates = handle.getListState("templates", "initial string, template string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        tree = Tree(self._config)
-        for initial, template in self._templates.get() if self._templates.exists() else []:
-            tokens = json.loads(template)
-            tree.templates.append(tokens)
-            tree.initial.append(initial)
-            tree.leaf(tokens).append(len(tree.templates) - 1)
-        frame = pd.concat(list(rows)).sort_values(["ts_ns", "log_id"])
-        out = []
-        for log_id, ts_ns, tokens in frame[["log_id", "ts_ns", "tokens"]].itertuples(index=False):
-            k, _ = tree.add(json.loads(tokens))
-            out.append((key[0], log_id, int(ts_ns), tree.initial[k] if k >= 0 else OVERFLOW, k))
-        self._templates.put([(i, json.dumps(t)) for i, t in zip(tree.initial, tree.templates, strict=True)])
-        result = pd.DataFrame(out, columns=["service", "log_id", "ts_ns", "initial", "k"])
-        result["template"] = [" ".join(tree.templates[k]) if k >= 0 else OVERFLOW for k in result["k"]]
-        yield result.drop(columns="k")
-
-    def close(self) -> None:
-        pass
-
-
-def mine_stream(logs: DataFrame, config: Config = Config()) -> DataFrame:
-    """Streamed logs as hits: service, log_id, ts_ns, template_id, and the template's text after the batch."""
-    packed = logs.select("service", "log_id", "ts_ns", F.to_json(log_tokens(F.col("body"), config.keep_http_status)).alias("tokens"))
-    found = packed.groupBy("service").transformWithStateInPandas(
-        statefulProcessor=_Miner(config), outputStructType="service string, log_id string, ts_ns long, initial string, template string", outputMode="Append", timeMode="None"
-    )
-    return found.withColumn("template_id", short_hash(F.col("service"), F.col("initial")))
+from pyspark.sql.streaming import StreamingQuery
+
+from obsflow.operators.mining import STATE, Config, assignments, mine, template_hits
+
+
+def state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The rows that batches before this one have left."""
+    try:
+        return spark.read.schema(f"{STATE}, batch_id bigint").parquet(f"{path}/state").where(F.col("batch_id") < batch_id).drop("batch_id")
+    except AnalysisException:  # the first batch
+        return spark.createDataFrame([], STATE)
+
+
+def mine_batch(batch: DataFrame, batch_id: int, path: str, config: Config = Config()) -> None:
+    """Mines the logs of one batch on top of what earlier ones left: adds the changed rows to state and the batch's hits.
+
+    Both are written under the batch's id, from the state of earlier ids only, so a batch that comes again replaces what
+    it wrote. Lines are counted into distinct sequences before any Python sees them.
+    """
+    spark = batch.sparkSession
+    mine(batch, config, state_before(spark, path, batch_id)).write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+    added = spark.read.schema(STATE).parquet(f"{path}/state/batch_id={batch_id}")
+    template_hits(batch, assignments(added), config).write.mode("overwrite").parquet(f"{path}/hits/batch_id={batch_id}")
+
+
+def mine_stream(logs: DataFrame, path: str, checkpoint: str, config: Config = Config(), **trigger: str | bool) -> StreamingQuery:
+    """mine_batch on each micro-batch of streamed logs."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        mine_batch(batch, batch_id, path, config)
+
+    return logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()

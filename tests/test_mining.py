@@ -1,33 +1,99 @@
 """Drain over distinct sequences against line-by-line Drain, text expressions, sources."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from obsflow.functions import text
 from obsflow.operators import mining
 from obsflow.sources import metrics, otlp
 from obsflow.streaming import assembly
+from obsflow.streaming import mining as stream_mining
 
 LOG = "log_id string, ts_ns long, service string, severity_number int, trace_id string, span_id string, body string"
 
 
-def test_templates_equal_line_by_line_drain(spark):
-    draw = random.Random(3)
-    bodies = [f"{draw.choice(['get', 'put', 'del'])} {draw.choice('abcdefgh')}x {draw.choice(['ok', 'failed', 'late'])} {draw.choice(['now', 'soon', 'never', 'id 77'])}" for _ in range(300)]
-    rows = [(f"{k:04}", k, "s" + str(k % 2), 9, "", "", b) for k, b in enumerate(bodies)]
-    config = mining.Config(max_children=2)
-    trees, naive = {}, {}
-    for log_id, _, service, *_, body in rows:
-        tree = trees.setdefault(service, mining.Tree(config))
-        k, _ = tree.add(["<*>" if w.isdigit() else w for w in body.split()])
-        naive[log_id] = service, tree.initial[k]
+def naive_drain(lines, most, most_children=100):
+    """Line by line, as the method is described: (service, tokens) of each line -> the first text of the cluster it goes to."""
+    services, out = {}, []
+    for service, tokens in lines:
+        tree = services.setdefault(service, {"nodes": {}, "n": 0})
+        where = (len(tokens),)
+        for token in tokens[:2]:
+            names = tree["nodes"].setdefault(where, {})
+            if token not in names and len(names) >= most_children and not re.fullmatch("[1-5][0-9][0-9]", token):
+                token = "<*>"
+            names[token] = True
+            where += (token,)
+        leaf = tree["nodes"].setdefault(("leaf", *where), [])
+        best = None
+        for cluster in leaf:
+            pairs = list(zip(cluster["now"], tokens, strict=True))
+            if any(a != b and (re.fullmatch("[1-5][0-9][0-9]", a) or re.fullmatch("[1-5][0-9][0-9]", b)) for a, b in pairs):
+                continue
+            share = sum(a == b or a == "<*>" for a, b in pairs) / len(tokens)
+            if share >= 0.5 and (best is None or share > best[0]):
+                best = share, cluster
+        if best:
+            best[1]["now"] = [a if a == b else "<*>" for a, b in zip(best[1]["now"], tokens, strict=True)]
+            out.append(best[1]["first"])
+        elif tree["n"] >= most:
+            out.append("<overflow>")
+        else:
+            tree["n"] += 1
+            leaf.append({"now": tokens, "first": " ".join(tokens)})
+            out.append(" ".join(tokens))
+    return out
+
+
+def lines_of(draw, n):
+    """Lines that repeat, generalise one another's templates and come again later."""
+    pool = [" ".join([draw.choice(["get", "put", "del"]), draw.choice("abcd") + "x", *(draw.choice(["ok", "failed", "late", "404", "200", "id 77"]) for _ in range(draw.randint(1, 3)))]) for _ in range(n // 3)]
+    return [(f"{k:05}", k // 2, "s" + str(k % 2), 9, "", "", draw.choice(pool)) for k in range(n)]
+
+
+def masked(body):
+    return ["<*>" if w.isdigit() and not re.fullmatch("[1-5][0-9][0-9]", w) else w for w in body.split()]
+
+
+def expected_ids(spark, rows, config):
+    firsts = naive_drain([(r[2], masked(r[6])) for r in rows], config.max_clusters, config.max_children)
+    named = spark.createDataFrame([(r[0], r[2], f) for r, f in zip(rows, firsts, strict=True)], "log_id string, service string, first string")
+    return {r.log_id: r.t for r in named.select("log_id", text.short_hash(F.col("service"), F.col("first")).alias("t")).collect()}
+
+
+@pytest.mark.parametrize(("most", "most_children"), [(5000, 100), (5000, 2), (12, 100), (5, 2)])
+def test_hits_equal_line_by_line_drain(spark, most, most_children):
+    """With room for all clusters, and with sequences that find none and are tried again when their leaf changes."""
+    rows = keep_status(lines_of(random.Random(most), 700))
+    config = mining.Config(max_children=most_children, max_clusters=most)
     logs = spark.createDataFrame(rows, LOG)
-    assigned = mining.drain_templates(mining.distinct_sequences(logs, config), config)
-    assert {(r.service, r.initial) for r in assigned.collect()} == {(s, i) for s, t in trees.items() for i in t.initial}
-    ids = {(r.service, r.initial): r.template_id for r in assigned.collect()}
-    hits = {r.log_id: r.template_id for r in mining.template_hits(logs, assigned, config).collect()}
-    assert hits == {k: ids[v] for k, v in naive.items()}
+    hits = {r.log_id: r.template_id for r in mining.template_hits(logs, mining.drain_templates(logs, config), config).collect()}
+    want = expected_ids(spark, rows, config)
+    assert hits == want
+    if most == 12:
+        assert len(set(want.values())) == 2 * (most + 1)
+
+
+def keep_status(rows):
+    """Bodies in which the product's own token rules mask nothing but what masked() does."""
+    return [(*r[:6], r[6].replace("404", "nope").replace("200", "fine")) for r in rows]
+
+
+@pytest.mark.parametrize("most", [5000, 9])
+def test_hits_after_a_restore_equal_one_run(spark, tmp_path, most):
+    rows = keep_status(lines_of(random.Random(8), 600))
+    config = mining.Config(max_children=3, max_clusters=most)
+    want = expected_ids(spark, rows, config)
+    found = {}
+    for k, part in enumerate((rows[:150], rows[150:400], rows[400:])):
+        batch = spark.createDataFrame(part, LOG)
+        for _ in range(2):  # a batch that comes again changes nothing
+            stream_mining.mine_batch(batch, k, str(tmp_path), config)
+        found |= {r.log_id: r.template_id for r in spark.read.parquet(f"{tmp_path}/hits/batch_id={k}").collect()}
+    assert found == want
 
 
 def test_token_rules(spark):
