@@ -147,7 +147,7 @@ def silence_inputs(settings: DataFrame, templates: DataFrame, hits: DataFrame, n
 def silence_alerts(inputs: DataFrame, clock_ns: int) -> DataFrame:
     """Templates silent for their minutes while their service speaks; the id holds the start of the silence."""
     quiet = F.least(F.col("service_last"), F.lit(clock_ns)) - F.col("template_last")
-    silent = inputs.where(F.col("service_last").isNotNull() & (quiet >= F.col("minutes") * 60 * S))
+    silent = inputs.where(F.col("service_last").isNotNull() & (quiet >= F.col("minutes").cast("long") * (60 * S)))
     return silent.withColumn("alert_id", short_hash(F.lit("silence"), F.col("template_id"), F.col("template_last")))
 
 
@@ -159,25 +159,81 @@ def example_traces(hits: DataFrame, n: int = 5) -> DataFrame:
     return top.groupBy("template_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "trace_id"))), lambda x: x["trace_id"]).alias("traces"))
 
 
-def detect_alerts(hits: DataFrame, templates: DataFrame, known: DataFrame, settings: DataFrame, now: int, watermark_ns: int, epoch_ns: int, version: int, r: Rules = Rules()) -> DataFrame:
-    """One pass: spikes that go on or start, new templates and silences as rows (alert_id, kind, template_id, service, started_at, last_at, count, version)."""
+def partition_states(partitions: DataFrame, now_ns: int, hold_ns: int, stale_ns: int = 60 * S) -> DataFrame:
+    """(part, clock_ns, caught_up) of the assigned partitions that say something about the clock of a pass.
+
+    partitions: part, position, high (both may be unknown), and of what was mined of it next_offset, last_record_ns and
+    max_ns (the newest log); next_offset is null where nothing was mined since the start. A partition is behind when
+    records remain and its newest one is stale, or when nothing was mined and records remain or may remain: it holds the
+    clock. An idle one without logs says nothing.
+    """
+    fresh = F.col("next_offset").isNull()
+    unread = F.coalesce(F.col("position") < F.col("high"), F.lit(True))
+    stale = F.lit(now_ns) - F.col("last_record_ns") > stale_ns
+    behind = F.when(fresh, unread).otherwise(stale & F.coalesce(F.col("next_offset") < F.col("high"), F.lit(True)))
+    some = lambda c: F.when(F.col(c) > 0, F.col(c))
+    held = F.coalesce(F.least(some("max_ns"), some("last_record_ns")), F.lit(hold_ns))
+    clock = F.when(behind, F.when(fresh, F.lit(hold_ns)).otherwise(held)).when(~fresh, some("max_ns"))
+    return partitions.select("part", clock.cast("long").alias("clock_ns"), (~behind).alias("caught_up")).where("clock_ns is not null")
+
+
+def pass_clock(states: DataFrame, fallback_ns: int, now_ns: int) -> DataFrame:
+    """One row (clock_ns, behind): the oldest clock of the partitions that are behind, else the newest of all, never ahead of now."""
+    behind = ~F.col("caught_up")
+    clock = F.coalesce(F.min(F.when(behind, F.col("clock_ns"))), F.max("clock_ns"), F.lit(fallback_ns))
+    return states.agg(F.least(clock, F.lit(now_ns)).alias("clock_ns"), F.count_if(behind).alias("behind"))
+
+
+def scoped(df: DataFrame, services: DataFrame | None) -> DataFrame:
+    """df of the owned services (null: of all)."""
+    return df if services is None else df.join(services.select("service"), "service", "left_semi")
+
+
+def detect_alerts(
+    hits: DataFrame, templates: DataFrame, known: DataFrame, settings: DataFrame, now: int, watermark_ns: int, epoch_ns: int, version: int, r: Rules = Rules(), services: DataFrame | None = None
+) -> DataFrame:
+    """One pass: spikes that go on or start, new templates and silences, of the owned services (see ALERT).
+
+    hits and templates of other services are left out before anything is counted; what the minutes of the baseline are
+    covered by is judged over all of them. A spike that goes on keeps its id, its start and its peak.
+    """
+    minutes = covered_minutes(hits, now, r)
+    hits, templates = scoped(hits, services), scoped(templates, services)
     windows = template_windows(hits, templates, now, r)
-    spikes = spike_baseline(template_coverage(windows, covered_minutes(hits, now, r), now, r), now, r).where("status = 'spike'")
-    spikes = seasonal_decision(spikes, seasonal_counts(hits.select("template_id", minute_of(F.col("ts_ns")).alias("minute"), "log_id"), spikes, now, r=r), r).where("beats_season")
-    open_spikes = active_spike_alerts(known, now, r).groupBy("template_id").agg(F.max_by(F.struct("alert_id", "started_at", "count"), "last_at").alias("open"))
-    start = F.coalesce("open.started_at", F.lit(now))
+    spikes = spike_baseline(template_coverage(windows, minutes, now, r), now, r).where("status = 'spike'")
+    near = " or ".join(f"ts_ns >= {(now - shift - r.spike_s) * S} and ts_ns < {(now - shift + 60) * S}" for shift in SHIFTS)
+    rollup = hits.where(near).select("template_id", minute_of(F.col("ts_ns")).alias("minute"), "log_id")
+    seasonal = seasonal_counts(rollup, spikes, now, SHIFTS, r=r)
+    spikes = seasonal_decision(spikes, seasonal, r).where("beats_season")
+    before = seasonal.groupBy("template_id").agg(*(F.max(F.when(F.col("shift") == shift, F.col("n"))).cast("double").alias(name) for shift, name in zip(SHIFTS, ("baseline_day", "baseline_week"), strict=True)))
+    peak = F.col("peak_count") if "peak_count" in known.columns else F.col("count")
+    open_spikes = active_spike_alerts(known.withColumn("_peak", peak), now, r).groupBy("template_id").agg(F.max_by(F.struct("alert_id", "started_at", F.col("_peak").alias("peak")), "last_at").alias("open"))
     minute = F.lit(now - now % 60)
-    spike_rows = spikes.join(open_spikes, "template_id", "left").select(
-        F.coalesce("open.alert_id", short_hash(F.lit("spike"), F.col("template_id"), minute)).alias("alert_id"), F.lit("spike").alias("kind"), "template_id", "service",
-        start.alias("started_at"), F.lit(now).alias("last_at"), F.greatest(F.coalesce("open.count", F.lit(0)), "current").alias("count"),
+    spike_rows = spikes.join(open_spikes, "template_id", "left").join(before, "template_id", "left").select(
+        F.coalesce("open.alert_id", short_hash(F.lit("spike"), F.col("template_id"), minute)).alias("alert_id"), F.lit("spike").alias("kind"), "template_id", "service", "template",
+        F.coalesce("open.started_at", F.lit(now)).alias("started_at"), F.lit(now).alias("last_at"), F.col("current").alias("window_count"), F.greatest(F.coalesce("open.peak", F.lit(0)), "current").alias("peak_count"),
+        F.col("expected").cast("double").alias("baseline_per_window"), "baseline_day", "baseline_week",
     )
     fresh = new_alerts(new_template_candidates(templates, known, watermark_ns - 60 * S), watermark_ns, epoch_ns, r)
-    new_rows = fresh.select("alert_id", F.lit("new").alias("kind"), "template_id", "service", F.floor(F.col("first_seen") / S).alias("started_at"), F.floor(F.col("first_seen") / S).alias("last_at"), F.lit(1).alias("count"))
-    silent = silence_alerts(silence_inputs(settings, templates, hits, now, r), now * S)
-    silent_rows = silent.select("alert_id", F.lit("silence").alias("kind"), "template_id", "service", F.floor(F.col("template_last") / S).alias("started_at"), F.lit(now).alias("last_at"), F.lit(0).alias("count"))
-    stored = known.select("alert_id").distinct()
-    once = new_rows.unionByName(silent_rows).join(stored, "alert_id", "left_anti")
-    return spike_rows.unionByName(once).withColumn("version", F.lit(version).cast("long"))
+    seen = F.expr("first_seen div 1000000000")
+    none = [F.lit(None).cast("double").alias(c) for c in ("baseline_per_window", "baseline_day", "baseline_week")]
+    new_rows = fresh.select("alert_id", F.lit("new").alias("kind"), "template_id", "service", "template", seen.alias("started_at"), seen.alias("last_at"), F.lit(1).alias("window_count"), F.lit(1).alias("peak_count"), *none)
+    silent = silence_alerts(silence_inputs(settings, templates, hits, now, r), now * S).join(templates.select("template_id", "template"), "template_id")
+    began = F.expr("template_last div 1000000000").alias("started_at")
+    silent_rows = silent.select("alert_id", F.lit("silence").alias("kind"), "template_id", "service", "template", began, F.lit(now).alias("last_at"), F.lit(0).alias("window_count"), F.lit(0).alias("peak_count"), *none)
+    once = new_rows.unionByName(silent_rows).join(known.select("alert_id").distinct(), "alert_id", "left_anti")
+    found = spike_rows.unionByName(once)
+    examples = example_traces(hits.where((F.col("ts_ns") >= (now - r.lookback_s) * S) & (F.col("ts_ns") <= now * S)).join(found.select("template_id").distinct(), "template_id", "left_semi"))
+    told = found.join(examples.withColumnRenamed("traces", "example_trace_ids"), "template_id", "left").withColumn("version", F.lit(version))
+    kept = {"example_trace_ids": F.coalesce("example_trace_ids", F.array().cast("array<string>"))}
+    return told.withColumns(kept).select(*(F.col(c).cast(kind).alias(c) for c, kind in (x.split() for x in ALERT.split(", "))))
+
+
+SHIFTS = (86400, 7 * 86400)
+ALERT = (
+    "alert_id string, kind string, template_id string, service string, template string, started_at long, last_at long, window_count long, peak_count long, baseline_per_window double, "
+    "example_trace_ids array<string>, version long, baseline_day double, baseline_week double"
+)
 
 
 def unpublished_alerts(alerts: DataFrame, publications: DataFrame, now: int, most: int = 1000) -> DataFrame:
@@ -208,6 +264,11 @@ def shared_watermark(writes: DataFrame, partitions: DataFrame, legacy_key: str,
     return each.agg(F.least(F.min(F.coalesce("value", "legacy")), F.lit(now_ns)).alias("watermark_ns"))
 
 
+def drop_state(writes: DataFrame, older_than: int) -> DataFrame:
+    """State writes without the values that were last written before older_than; the newest of each key alone."""
+    return state_values(writes).where(F.col("updated_at") >= older_than)
+
+
 def masking_epoch(stored: DataFrame, version: int, now: Column) -> DataFrame:
     """stored (masking_version, epoch_start, has_templates) with the epoch in force: kept, restarted at now, or 0 for a first run."""
     start = F.when(F.col("masking_version") == version, F.col("epoch_start")).when(F.col("has_templates"), now).otherwise(F.lit(0))

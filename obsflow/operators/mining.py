@@ -212,17 +212,17 @@ def _mine(service: str, old: pd.DataFrame, new: pd.DataFrame, config: Config) ->
 def mine(logs: DataFrame, config: Config = Config(), state: DataFrame | None = None) -> DataFrame:
     """The rows (see STATE) that mining logs adds to a state; a sequence's rows s say from which line on it belongs where."""
     sequences = _distinct(logs, config).select("service", "tokens", F.size("tokens").alias("n_tokens"), _key().alias("key"), "first_ns", "first_id")
-    state = logs.sparkSession.createDataFrame([], STATE) if state is None else state
-    sequences, state = cut(sequences), cut(current(state))
+    sequences, state = cut(sequences), logs.sparkSession.createDataFrame([], STATE) if state is None else cut(current(state))
     no_lines = sequences.withColumn("lines", F.lit(None).cast("array<struct<ts_ns:bigint,log_id:string>>"))
     found = cut(_grouped(no_lines, state, config, ["service", "n_tokens"]))
     made = state.where("kind = 'c'").select("service", "path", "position", "valid_from", "valid_id").unionByName(found.where("kind = 'c'").select("service", "path", "position", "valid_from", "valid_id"))
     made = made.groupBy("service", "path", "position").agg(F.min(F.struct("valid_from", "valid_id")).alias("at"))
     nth = Window.partitionBy("service").orderBy("at", "path", "position")
     full = made.withColumn("k", F.row_number().over(nth)).groupBy("service").agg(F.max("k").alias("n"), F.min(F.when(F.col("k") == config.max_clusters, F.col("at.valid_from"))).alias("full_ns"))
-    full = cut(full.where(F.col("n") > config.max_clusters).select("service", "full_ns"))
+    full = full.where(F.col("n") > config.max_clusters).select("service", "full_ns")
     if full.isEmpty():
         return found
+    full = cut(full)
     late = logs.join(full, "service").where(F.col("ts_ns") >= F.col("full_ns")).select("service", F.md5(F.concat_ws(" ", log_tokens(F.col("body"), config.keep_http_status))).alias("key"), "ts_ns", "log_id")
     lines = late.groupBy("service", "key").agg(F.array_sort(F.collect_list(F.struct("ts_ns", "log_id"))).alias("lines"))
     again = sequences.join(full.select("service"), "service", "left_semi").join(lines, ["service", "key"], "left")

@@ -67,7 +67,7 @@ def map_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.select(F.col("parent_service").alias("service")).union(edges.select("child_service")).distinct(), links
 
 
-def call_depths(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def call_depths(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Hops from the services that nothing calls; of what they do not reach, the alphabetically first starts again."""
     nodes, links = map_graph(edges)
     nodes, links = cut(nodes), cut(links)
@@ -80,9 +80,9 @@ def call_depths(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
             rest = nodes.join(depths, "service", "left_anti")
             level = cut(rest.agg(F.min("service").alias("service")).where("service is not null").withColumn("depth", F.lit(0)))
             if level.isEmpty():
-                break
+                return depths
         depths = cut(depths.unionByName(level))
-    return depths
+    raise RuntimeError(f"services are more than {most_rounds} steps from those that nothing calls")
 
 
 def edge_tones(edges: DataFrame) -> DataFrame:

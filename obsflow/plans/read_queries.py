@@ -260,6 +260,8 @@ def histogram_quantile(increases: DataFrame, q: float) -> DataFrame:
 
     There is none where the bucket without an upper bound is missing or is the only one.
     """
+    if not 0 <= q <= 1:
+        raise ValueError(f"a quantile lies between 0 and 1, not at {q}")
     sums = increases.groupBy("bucket", F.col("le").cast("double").alias("le")).agg(F.sum("increase").alias("n"))
     up = Window.partitionBy("bucket").orderBy("le")
     whole = Window.partitionBy("bucket")

@@ -25,6 +25,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 S = 1_000_000_000
 SPANS = Q.Range(SPAN_END - 15000, SPAN_END)
+#: All traces, at any size of the tables.
+WHOLE = Q.Range(SPAN_END - 15000, SPAN_END + 4_000_000_000)
 MINUTE = "CAST((ts_ns - ts_ns % 60000000000) / 1000000000 AS BIGINT)"
 
 
@@ -242,11 +244,11 @@ def kept(s: SparkSession, d: str) -> DataFrame:
     summaries = A.trace_summaries(flagged(s, d))
     slow = summaries.where("duration_ns >= 4500000000").select("trace_id")
     caps = s.createDataFrame([("frontend", "order p /orders/<*>", 300_000_000)], "endpoint_service string, endpoint_name string, cap long")
-    return B.kept_summaries(summaries, slow, caps, SPANS.start * S, SPANS.end * S)
+    return B.kept_summaries(summaries, slow, caps, WHOLE.start * S, WHOLE.end * S)
 
 
 SUMS = f"sums AS (SELECT s.trace_id, r.start_ns AS ts_ns, 'frontend' AS endpoint_service, r.name || ' /orders/<*>' AS endpoint_name, r.duration_ns, s.is_error FROM (SELECT trace_id, bool_or(status = 'error') AS is_error FROM fx_spans GROUP BY 1) s JOIN fx_spans r ON r.trace_id = s.trace_id AND r.parent_span_id = '')"
-KEPT = f"""{SUMS}, own AS (SELECT *, duration_ns >= 4500000000 AS slow FROM sums WHERE NOT is_error AND ts_ns >= {SPANS.start * S} AND ts_ns < {SPANS.end * S}),
+KEPT = f"""{SUMS}, own AS (SELECT *, duration_ns >= 4500000000 AS slow FROM sums WHERE NOT is_error AND ts_ns >= {WHOLE.start * S} AND ts_ns < {WHOLE.end * S}),
   boot AS (SELECT endpoint_name, CAST(ceil(10 * quantile_cont(duration_ns, 0.5)) AS BIGINT) AS boot FROM own WHERE NOT slow GROUP BY 1),
   kept AS (SELECT o.*, NOT slow AND duration_ns <= coalesce(CASE WHEN o.endpoint_name = 'order p /orders/<*>' THEN 300000000 END, boot, 0) AS kept FROM own o LEFT JOIN boot b USING (endpoint_name))"""
 STATS = "SELECT endpoint_service, endpoint_name, count(*) AS seen, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS excluded, quantile_cont(duration_ns, 0.5) FILTER (kept) AS p50, quantile_cont(duration_ns, 0.95) FILTER (kept) AS p95, quantile_cont(duration_ns, 0.99) FILTER (kept) AS p99 FROM kept GROUP BY 1, 2"
@@ -270,11 +272,11 @@ add(
 HOUR = "ts_ns - ts_ns % 3600000000000"
 add(
     "A17_endpoint_sketches",
-    lambda s, d: B.merged_endpoint_stats(B.endpoint_sketches(kept(s, d)), 0, SPANS.end * S).select("endpoint_service", "endpoint_name", "seen", "kept", "excluded"),
+    lambda s, d: B.merged_endpoint_stats(B.endpoint_sketches(kept(s, d)), 0, WHOLE.end * S).select("endpoint_service", "endpoint_name", "seen", "kept", "excluded"),
     f"WITH {KEPT} SELECT endpoint_service, endpoint_name, count(*) AS seen, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS excluded FROM kept GROUP BY 1, 2", "fx_spans",
 )
-add("A17_sketched_quantiles", lambda s, d: B.merged_endpoint_stats(B.endpoint_sketches(kept(s, d)), 0, SPANS.end * S))
-add("A19_sketched_quantiles", lambda s, d: B.merged_op_stats(B.op_sketches(kept(s, d)), 0, SPANS.end * S))
+add("A17_sketched_quantiles", lambda s, d: B.merged_endpoint_stats(B.endpoint_sketches(kept(s, d)), 0, WHOLE.end * S))
+add("A19_sketched_quantiles", lambda s, d: B.merged_op_stats(B.op_sketches(kept(s, d)), 0, WHOLE.end * S))
 STAT = f"stat AS ({STATS})"
 PREVIOUS = [("frontend", "order o /orders/<*>", 80, 2e8, 3e8, 4e8), ("frontend", "order p /orders/<*>", 10, 2e8, 3e8, 4e8), ("frontend", "order f /orders/<*>", 60, 2e8, 3e8, float("nan"))]
 
@@ -376,12 +378,12 @@ add("A29_critical_spans", lambda s, d: C.critical_spans(spans(s, d)))
 
 TOKENS = f"list_transform(list_filter(string_split_regex(body, '[ \\t\\n\\f\\r]+'), lambda t: t <> ''), lambda t: CASE WHEN contains({MASK.format('t')}, '<*>') THEN '<*>' ELSE t END)"
 add(
-    "L1_log_tokens", lambda s, d: logs(s, d).where("body not like 'GET %'").select("log_id", F.array_join(T.log_tokens(F.col("body")), " ").alias("tokens")),
-    f"SELECT log_id, array_to_string({TOKENS}, ' ') AS tokens FROM fx_logs WHERE body NOT LIKE 'GET %'", "fx_logs",
+    "L1_log_tokens", lambda s, d: logs(s, d).select("log_id", F.array_join(T.log_tokens(F.col("body"), False), " ").alias("tokens")),
+    f"SELECT log_id, array_to_string({TOKENS}, ' ') AS tokens FROM fx_logs", "fx_logs",
 )
 add(
-    "L2_http_status", lambda s, d: logs(s, d).where("body like 'GET %'").select("log_id", F.array_join(T.log_tokens(F.col("body")), " ").alias("tokens")),
-    "SELECT log_id, 'GET <*> <*> ' || string_split(body, ' ')[4] || ' ok' AS tokens FROM fx_logs WHERE body LIKE 'GET %'", "fx_logs",
+    "L2_http_status", lambda s, d: logs(s, d).select("log_id", F.array_join(T.log_tokens(F.col("body")), " ").alias("tokens")),
+    f"SELECT log_id, CASE WHEN body LIKE 'GET %' THEN 'GET <*> <*> ' || string_split(body, ' ')[4] || ' ok' ELSE array_to_string({TOKENS}, ' ') END AS tokens FROM fx_logs", "fx_logs",
 )
 SEQUENCES = f"seq AS (SELECT *, CASE WHEN body LIKE 'GET %' THEN 'GET <*> <*> ' || string_split(body, ' ')[4] || ' ok' ELSE array_to_string({TOKENS}, ' ') END AS tokens FROM fx_logs)"
 add(

@@ -126,7 +126,28 @@ add(
     "D15_example_traces", lambda s, d: D.example_traces(hits(s, d)).select("template_id", F.array_join("traces", ",").alias("traces")),
     """SELECT template_id, array_to_string(list(trace_id ORDER BY k), ',') AS traces FROM (SELECT template_id, trace_id, row_number() OVER (PARTITION BY template_id ORDER BY max(ts_ns) DESC, trace_id) AS k FROM fx_hits WHERE trace_id <> '' GROUP BY 1, 2) WHERE k <= 5 GROUP BY 1""", "fx_hits",
 )
-add("D16_detect_alerts", lambda s, d: D.detect_alerts(hits(s, d), templates(s, d), known(s, d), settings(s, d), LOG_END, 1704067200 * S, 1704060000 * S, 3, D.Rules(min_count=5, factor=1.05)))
+CLOCKS = f"""SELECT CAST(part AS INTEGER) AS part, part % 4 AS position, CASE WHEN part % 5 <> 0 THEN high END AS high, CASE WHEN part % 3 <> 0 THEN committed + part % 2 * 100 END AS next_offset,
+  CASE WHEN part % 3 <> 0 THEN CAST(part AS BIGINT) * 4 * {S} END AS last_record_ns, CASE WHEN part % 3 <> 0 THEN CAST(part % 7 AS BIGINT) * {S} END AS max_ns FROM fx_offsets"""
+
+
+def clocks(s: SparkSession, d: str) -> DataFrame:
+    return s.sql(CLOCKS.replace("FROM fx_offsets", "FROM {fx_offsets}"), fx_offsets=view(s, d, "fx_offsets"))
+
+
+add(
+    "D12_partition_states",
+    lambda s, d: D.partition_states(clocks(s, d), 100 * S, 7),
+    f"""WITH c AS ({CLOCKS}), b AS (SELECT *, CASE WHEN next_offset IS NULL THEN coalesce(position < high, true) ELSE {100 * S} - last_record_ns > {60 * S} AND coalesce(next_offset < high, true) END AS behind FROM c)
+        SELECT part, CAST(CASE WHEN behind AND next_offset IS NULL THEN 7 WHEN behind THEN coalesce(least(nullif(max_ns, 0), nullif(last_record_ns, 0)), 7) WHEN next_offset IS NOT NULL THEN nullif(max_ns, 0) END AS BIGINT) AS clock_ns, NOT behind AS caught_up
+        FROM b WHERE CASE WHEN behind THEN true ELSE next_offset IS NOT NULL AND max_ns > 0 END""", "fx_offsets",
+)
+add(
+    "D12_pass_clock", lambda s, d: D.pass_clock(D.partition_states(clocks(s, d), 100 * S, 7).where("part % 2 = 0"), 5, 90 * S),
+    f"""WITH c AS (SELECT * FROM ({CLOCKS}) WHERE part % 2 = 0), b AS (SELECT *, CASE WHEN next_offset IS NULL THEN coalesce(position < high, true) ELSE {100 * S} - last_record_ns > {60 * S} AND coalesce(next_offset < high, true) END AS behind FROM c),
+        t AS (SELECT behind, CASE WHEN behind AND next_offset IS NULL THEN 7 WHEN behind THEN coalesce(least(nullif(max_ns, 0), nullif(last_record_ns, 0)), 7) WHEN next_offset IS NOT NULL THEN nullif(max_ns, 0) END AS ts FROM b)
+        SELECT CAST(least(coalesce(min(ts) FILTER (behind), max(ts), 5), {90 * S}) AS BIGINT) AS clock_ns, count(*) FILTER (behind) AS behind FROM t WHERE ts IS NOT NULL""", "fx_offsets",
+)
+add("D16_detect_alerts", lambda s, d: D.detect_alerts(hits(s, d), templates(s, d), known(s, d), settings(s, d), LOG_END, 1704067200 * S, 1704060000 * S, 3, D.Rules(min_count=5, factor=1.05), D.owned_services(hits(s, d), LOG_END - 3, 3600)))
 add(
     "D17_unpublished_alerts", lambda s, d: D.unpublished_alerts(known(s, d).withColumn("version", F.col("started_at") * S + F.col("version")), known(s, d).where("kind = 'new'").select("alert_id"), LOG_END, 30).select("alert_id", "version"),
     f"SELECT alert_id, max(started_at * {S} + version) AS version FROM fx_alerts WHERE kind <> 'new' GROUP BY 1 ORDER BY 2, 1 LIMIT 30", "fx_alerts",
@@ -357,8 +378,8 @@ def _md5(text: str) -> str:
 
 FIRST_BUCKET, LAST_BUCKET = SPANS.start - SPANS.start % STEP, SPANS.end - 1 - (SPANS.end - 1) % STEP
 add(
-    "U1_dense_series", lambda s, d: U.dense_series(Q.stories_series(story_rows(s, d).where("fingerprint < '2'"), SPANS), SPANS),
-    f"SELECT g.bucket, coalesce(x.error, 0) AS error, coalesce(x.slow, 0) AS slow FROM (SELECT unnest(range({FIRST_BUCKET}, {LAST_BUCKET} + 1, {STEP})) AS bucket) g LEFT JOIN (SELECT {bucket_sql(STEP)} AS bucket, count(*) FILTER (kind = 'error') AS error, count(*) FILTER (kind = 'slow') AS slow FROM {STORIES} WHERE {IN_SPANS} AND fingerprint < '2' GROUP BY 1) x USING (bucket)", "fx_stories",
+    "U1_dense_series", lambda s, d: U.dense_series(Q.stories_series(story_rows(s, d), SPANS), SPANS),
+    f"SELECT g.bucket, coalesce(x.error, 0) AS error, coalesce(x.slow, 0) AS slow FROM (SELECT unnest(range({FIRST_BUCKET}, {LAST_BUCKET} + 1, {STEP})) AS bucket) g LEFT JOIN (SELECT {bucket_sql(STEP)} AS bucket, count(*) FILTER (kind = 'error') AS error, count(*) FILTER (kind = 'slow') AS slow FROM {STORIES} WHERE {IN_SPANS} GROUP BY 1) x USING (bucket)", "fx_stories",
 )
 HALF = Q.Range(SPAN_END - 6000, SPAN_END)
 add("U2_window_delta", lambda s, d: U.window_delta(story_rows(s, d), HALF), f"SELECT c AS current, p AS previous, c - p AS delta FROM (SELECT count(*) FILTER (ts_ns >= {HALF.start * S}) AS c, count(*) FILTER (ts_ns < {HALF.start * S}) AS p FROM fx_stories WHERE ts_ns >= {(HALF.start - 6000) * S} AND ts_ns < {HALF.end * S})", "fx_stories")
@@ -386,7 +407,7 @@ add("U8_call_depths", lambda s, d: U.call_depths(totals(s, d)), f"WITH RECURSIVE
 add("U9_edge_tones", lambda s, d: U.edge_tones(totals(s, d)).select("parent_service", "child_service", "tone"), f"SELECT parent_service, child_service, CASE WHEN errors * 100 >= calls THEN 'failing' ELSE 'ok' END AS tone FROM {TOTALS}", "fx_edges")
 add("U9_map_summary", lambda s, d: U.map_summary(totals(s, d)), f"SELECT count(*) AS n_edges, count(*) FILTER (errors * 100 >= calls) AS failing, CAST(sum(calls) AS BIGINT) AS calls FROM {TOTALS}", "fx_edges")
 UP_NOW = METRIC[1] // 1000
-add("U10_job_status", lambda s, d: U.job_status(metric(s, d).where("job = 'job0' or bucket < 1704100000").select("job", "bucket", "value"), UP_NOW), f"WITH {MB} SELECT job, CASE WHEN arg_max(value, bucket) >= 1 AND max(bucket) >= {UP_NOW - 180} THEN 'up' ELSE 'down' END AS state FROM mb WHERE job = 'job0' OR bucket < 1704100000 GROUP BY 1", "fx_metrics")
+add("U10_job_status", lambda s, d: U.job_status(metric(s, d).select("job", "bucket", "value"), UP_NOW), f"WITH {MB} SELECT job, CASE WHEN arg_max(value, bucket) >= 1 AND max(bucket) >= {UP_NOW - 180} THEN 'up' ELSE 'down' END AS state FROM mb GROUP BY 1", "fx_metrics")
 
 
 def with_kinds(s: SparkSession, d: str) -> DataFrame:
