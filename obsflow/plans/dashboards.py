@@ -153,6 +153,17 @@ def stories_per_minute(rows: DataFrame) -> DataFrame:
     return stories(rows).groupBy(bucket("ts_ns", 60).alias("minute"), "kind").agg(F.count("*").alias("n"))
 
 
+def top_groups(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The story groups with most stories: their number, first and last time and newest summary."""
+    own = stories(rows).groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.max_by("summary", F.struct("ts_ns", "story_id")).alias("summary"))
+    return own.orderBy(F.desc("n"), "fingerprint").limit(most)
+
+
+def latest_alerts(alerts: DataFrame, most: int = 50) -> DataFrame:
+    """The alerts last seen, newest first."""
+    return latest(alerts, ["alert_id"], "version").orderBy(F.desc("last_at"), "alert_id").limit(most)
+
+
 def stories_by_cause(rows: DataFrame, most: int = 15) -> DataFrame:
     return stories(rows).groupBy("cause_service").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cause_service").limit(most)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsflow.operators.baselines import SKETCH_K, quantiles
 from obsflow.operators.tables import latest
 from obsflow.operators.traces import span_self_ns
 
@@ -32,6 +35,14 @@ class Range:
         end = min(until, now)
         return cls(max(since, end - 7 * 86400, now - retention_s), end, until >= now)
 
+    @classmethod
+    def parse(cls, params: dict[str, str], now: int, since: str = "1h") -> Range:
+        """From request parameters: since and until as seconds since 1970, ISO times or spans before now such as 15m, 6h, 7d."""
+        start, end = parse_time(params.get("since") or since, now), parse_time(params.get("until") or "0s", now)
+        if start >= end:
+            raise ValueError(f"the window from {start} to {end} is empty")
+        return cls.of(start, end, now)
+
     def bucket_s(self, most: int = 120) -> int:
         """Whole minutes, so that there are at most so many buckets."""
         return max(60, -(-(self.end - self.start) // (most * 60)) * 60)
@@ -43,6 +54,19 @@ class Range:
         return (F.col(ts_ns) >= self.start * S) & (F.col(ts_ns) < self.end * S)
 
 
+def parse_time(text: str, now: int) -> int:
+    """Seconds since 1970 of a time or of a span before now."""
+    if found := re.fullmatch(r"([0-9]+)([smhd])", text):
+        return now - int(found[1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[found[2]]
+    if re.fullmatch(r"[0-9]+", text):
+        return int(text)
+    try:
+        at = datetime.fromisoformat(text)
+    except ValueError:
+        raise ValueError(f"not a time: {text!r}") from None
+    return int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp())
+
+
 def bucket(ts_ns: str, step: int) -> Column:
     whole = step * S
     return F.floor((F.col(ts_ns) - F.col(ts_ns) % whole) / S).cast("long")
@@ -96,6 +120,19 @@ def trace_spans(spans: DataFrame, trace_id: str, most: int = 10_000) -> DataFram
     return span_self_ns(once)
 
 
+def trace_view(spans: DataFrame, logs: DataFrame, story_rows: DataFrame, trace_id: str, most: int = 5000, most_logs: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans with self_ns, logs, story) of a trace: replays once, the earliest first, the newest version of its story."""
+    said = logs.where(F.col("trace_id") == trace_id).dropDuplicates(["log_id"]).orderBy("ts_ns", "log_id").limit(most_logs)
+    return trace_spans(spans, trace_id, most), said, stories(story_rows.where(F.col("trace_id") == trace_id))
+
+
+def template_detail(hits: DataFrame, templates: DataFrame, alerts: DataFrame, template_id: str, w: Range, newest: int = 20) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(template, its hits by bucket, its newest hits, its alerts of the seven days before the window's end)."""
+    one = templates.where(F.col("template_id") == template_id)
+    own = latest(alerts.where(F.col("template_id") == template_id), ["alert_id"], "version").where((F.col("last_at") >= w.end - 7 * 86400) & (F.col("started_at") < w.upper))
+    return one, template_buckets(hits, one, w), latest_hits(hits, template_id, w, newest), own.orderBy(F.desc("last_at"), "alert_id")
+
+
 def stories_series(df: DataFrame, w: Range) -> DataFrame:
     own = stories(df, w).where(w.inside())
     counts = own.groupBy(bucket("ts_ns", w.bucket_s()).alias("bucket")).pivot("kind", ["error", "slow"]).count()
@@ -166,6 +203,34 @@ def service_nodes(spans: DataFrame, w: Range, baseline_s: int = 86400) -> DataFr
     return now.join(day, "service", "left").withColumn("health", health)
 
 
+def service_sketches(spans: DataFrame, step_s: int = 60) -> DataFrame:
+    """Per service and slice of time: served calls, errors and durations as a quantile sketch; to be stored and merged."""
+    served = spans.where(F.col("kind").isin(SERVED)).groupBy("service", bucket("start_ns", step_s).alias("slot"))
+    return served.agg(F.count("*").alias("calls"), F.count_if(F.col("status") == "error").alias("errors"), F.kll_sketch_agg_bigint("duration_ns", F.lit(SKETCH_K)).alias("durations"))
+
+
+def _merged(sketches: DataFrame, start: int, end: int, *by: str) -> DataFrame:
+    own = sketches.where((F.col("slot") >= start) & (F.col("slot") < end)).groupBy(*by)
+    return own.agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.kll_merge_agg_bigint("durations").alias("q"))
+
+
+def sketched_nodes(sketches: DataFrame, w: Range, baseline_s: int = 86400) -> DataFrame:
+    """service_nodes from service_sketches, of whole slices; the ranks of p99 are within RANK_ERROR."""
+    end = w.end - w.end % 60
+    now = _merged(sketches, w.start, w.end, "service").select("service", "calls", "errors", quantiles(F.col("q"), 0.99)[0].alias("p99"))
+    day = _merged(sketches, end - baseline_s, end, "service").select("service", quantiles(F.col("q"), 0.99)[0].alias("base_p99"))
+    slow = (F.col("base_p99") > 0) & (F.col("p99") > 2 * F.col("base_p99"))
+    return now.join(day, "service", "left").withColumn("health", F.when(F.col("errors") * 20 >= F.col("calls"), "error").when(slow, "slow").otherwise("ok"))
+
+
+def sketched_red(sketches: DataFrame, service: str, w: Range) -> DataFrame:
+    """service_red from service_sketches; the ranks of quantiles are within RANK_ERROR."""
+    step = w.bucket_s()
+    own = sketches.where(F.col("service") == service).withColumn("bucket", F.col("slot") - F.col("slot") % step)
+    named = (q.alias(n) for q, n in zip(quantiles(F.col("q"), 0.5, 0.95, 0.99), ("p50", "p95", "p99"), strict=True))
+    return _merged(own, w.start, w.end, "bucket").select("bucket", "calls", "errors", *named)
+
+
 def overview(story_rows: DataFrame, alerts: DataFrame, spans: DataFrame, w: Range) -> DataFrame:
     counts = stories(story_rows, w).where(w.inside()).agg(F.count_if(F.col("kind") == "error").alias("error_stories"), F.count_if(F.col("kind") == "slow").alias("slow_stories"))
     active = latest(alerts, ["alert_id"], "version").where((F.col("last_at") > w.end - 600) & (F.col("started_at") < w.end)).agg(F.count("*").alias("active_alerts"))
@@ -215,6 +280,26 @@ def search(spans: DataFrame, templates: DataFrame, story_rows: DataFrame, q: str
 # metrics: samples (ts_ms, job, metric, instance, value); a series is all columns but time and value
 
 SERIES = ["job", "metric", "instance"]
+#: The keys of series that have any labels, see labelled().
+LABELLED = ["metric", "labels_text", "instance"]
+
+
+def canonical(labels: Column) -> Column:
+    """A map of labels as JSON text in the order of their names: the same for maps that hold the same."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
+
+
+def labelled(samples: DataFrame) -> DataFrame:
+    """Samples (ts_ms, metric, labels, value) keyed by LABELLED: the instance apart, all other labels as one text."""
+    labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
+    others = F.map_filter(labels, lambda k, v: (k != "instance") & (v != ""))  # an empty label is none
+    return samples.select("ts_ms", "metric", canonical(others).alias("labels_text"), F.coalesce(labels["instance"], F.lit("")).alias("instance"), "value")
+
+
+def with_labels(series: DataFrame, *names: str) -> DataFrame:
+    """Series keyed by LABELLED with columns for some labels, empty where a series has no such label."""
+    found = F.from_json("labels_text", "map<string,string>")
+    return series.withColumns({n: F.coalesce(found[n], F.lit("")) for n in names})
 
 
 def metric_buckets(samples: DataFrame, metric: str, start_ms: int, end_ms: int, step_s: int, keys: list[str] = SERIES) -> DataFrame:
@@ -243,6 +328,7 @@ def series_increases(buckets: DataFrame, step_s: int, keys: list[str] = SERIES)
 
 def counter_rate(buckets: DataFrame, by: list[str], step_s: int, keys: list[str] = SERIES) -> DataFrame:
     rates = series_increases(buckets, step_s, keys)
+    rates = with_labels(rates, *(n for n in by if n not in rates.columns))
     return rates.groupBy(*by, "bucket").agg(F.sum(F.col("increase") * 1000 / F.col("elapsed_ms")).alias("rate"))
 
 

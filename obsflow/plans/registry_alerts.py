@@ -262,6 +262,14 @@ add("Q2_group_buckets", lambda s, d: Q.group_buckets(story_rows(s, d), SPANS), f
 BIGGEST = "substring(md5('error|order o /orders/<*>|svc0'), 1, 16)"
 add("Q3_story_group", lambda s, d: Q.story_group(story_rows(s, d), _md5("error|order o /orders/<*>|svc0"), SPANS).select("story_id", "ts_ns"), f"SELECT story_id, ts_ns FROM {STORIES} WHERE {IN_SPANS} AND fingerprint = {BIGGEST} ORDER BY ts_ns DESC, story_id LIMIT 20", "fx_stories")
 add("Q4_story", lambda s, d: Q.story(story_rows(s, d), "7372".rjust(32, "0")), f"SELECT * FROM {STORIES} WHERE story_id = lpad('7372', 32, '0')", "fx_stories")
+add(
+    "Q5_trace_logs", lambda s, d: Q.trace_view(spans(s, d), logs(s, d).unionByName(logs(s, d)), story_rows(s, d), "97".rjust(32, "0"))[1],
+    "SELECT * FROM fx_logs WHERE trace_id = lpad('97', 32, '0')", "fx_logs",
+)
+add(
+    "Q5_trace_story", lambda s, d: Q.trace_view(spans(s, d), logs(s, d), story_rows(s, d), "97".rjust(32, "0"))[2].select("story_id", "kind", "span_count"),
+    f"SELECT story_id, kind, span_count FROM {STORIES} WHERE trace_id = lpad('97', 32, '0')", "fx_stories",
+)
 add("Q5_trace", lambda s, d: Q.trace_spans(spans(s, d).unionByName(spans(s, d)), "97".rjust(32, "0")).select("span_id", "start_ns", "duration_ns"), "SELECT DISTINCT span_id, start_ns, duration_ns FROM fx_spans WHERE trace_id = lpad('97', 32, '0')", "fx_spans")
 add(
     "Q6_stories_series", lambda s, d: Q.stories_series(story_rows(s, d), SPANS),
@@ -280,6 +288,14 @@ add(
     "fx_hits", "fx_templates", "fx_alerts",
 )
 add("Q8_template_buckets", lambda s, d: Q.template_buckets(hits(s, d), templates(s, d), LOGS), f"SELECT template_id, {bucket_sql(LOG_STEP)} AS bucket, count(DISTINCT log_id) AS n FROM fx_hits WHERE {IN_LOGS} GROUP BY 1, 2", "fx_hits")
+add(
+    "Q9_template_buckets", lambda s, d: Q.template_detail(hits(s, d), templates(s, d), known(s, d), _md5("svc1|order"), LOGS)[1],
+    f"SELECT template_id, {bucket_sql(LOGS.bucket_s())} AS bucket, count(DISTINCT log_id) AS n FROM fx_hits WHERE template_id = substring(md5('svc1|order'), 1, 16) AND ts_ns >= {LOGS.start * S} AND ts_ns < {LOGS.end * S} GROUP BY 1, 2", "fx_hits",
+)
+add(
+    "Q9_template_alerts", lambda s, d: Q.template_detail(hits(s, d), templates(s, d), known(s, d), _md5("svc1|order"), LOGS)[3].select("alert_id", "kind", "started_at", "last_at"),
+    f"SELECT alert_id, kind, started_at, last_at FROM {LATEST_ALERTS} WHERE template_id = substring(md5('svc1|order'), 1, 16) AND last_at >= {LOGS.end - 7 * 86400} AND started_at < {LOGS.upper}", "fx_alerts",
+)
 add("Q9_latest_hits", lambda s, d: Q.latest_hits(hits(s, d), _md5("svc1|order"), LOGS).select("log_id", "ts_ns"), f"SELECT DISTINCT log_id, ts_ns FROM fx_hits WHERE template_id = substring(md5('svc1|order'), 1, 16) AND ts_ns < {LOG_END * S} ORDER BY ts_ns DESC, log_id LIMIT 20", "fx_hits")
 TRACE = "8001".rjust(32, "0")
 add(
@@ -298,6 +314,12 @@ add(
       b AS (SELECT service, quantile_cont(duration_ns, 0.99) AS base_p99 FROM fx_spans WHERE {SERVED} AND start_ns >= {(MINUTE_END - 86400) * S} AND start_ns < {MINUTE_END * S} GROUP BY 1)
       SELECT service, calls, errors, round(p99, 3) AS p99, round(base_p99, 3) AS base_p99, CASE WHEN errors * 20 >= calls THEN 'error' WHEN base_p99 > 0 AND p99 > 2 * base_p99 THEN 'slow' ELSE 'ok' END AS health FROM n LEFT JOIN b USING (service)""", "fx_spans",
 )
+add(
+    "Q12_sketched_calls", lambda s, d: Q.sketched_nodes(Q.service_sketches(spans(s, d)), SPANS).select("service", "calls", "errors"),
+    f"SELECT service, count(*) AS calls, count(*) FILTER (status = 'error') AS errors FROM fx_spans WHERE kind IN ('server', 'consumer') AND {IN_START} GROUP BY 1", "fx_spans",
+)
+add("Q12_sketched_nodes", lambda s, d: Q.sketched_nodes(Q.service_sketches(spans(s, d)), SPANS))
+add("Q17_sketched_red", lambda s, d: Q.sketched_red(Q.service_sketches(spans(s, d)), "svc2", SPANS))
 add(
     "Q13_overview", lambda s, d: Q.overview(story_rows(s, d), known(s, d), spans(s, d), SPANS),
     f"""SELECT (SELECT count(*) FROM {STORIES} WHERE {IN_SPANS} AND kind = 'error') AS error_stories, (SELECT count(*) FROM {STORIES} WHERE {IN_SPANS} AND kind = 'slow') AS slow_stories,
@@ -345,6 +367,34 @@ def told_rate(df: DataFrame) -> DataFrame:
     return df.withColumn("rate", F.round("rate", 6))
 
 
+
+
+def labelled(s: SparkSession, d: str) -> DataFrame:
+    """Samples with three labels and an instance, given in an order that differs from row to row."""
+    code = F.concat(F.lit("c"), F.expr("(ts_ms div 15000) % 2"))
+    pairs = [F.lit("job"), F.col("job"), F.lit("code"), code, F.lit("empty"), F.lit("")]
+    turned = F.when(F.col("ts_ms") % 4 == 0, F.create_map(*pairs, F.lit("instance"), F.col("instance"))).otherwise(F.create_map(F.lit("instance"), F.col("instance"), *pairs[2:4], *pairs[:2]))
+    return Q.labelled(view(s, d, "fx_metrics").withColumn("labels", turned))
+
+
+def labelled_buckets(s: SparkSession, d: str) -> DataFrame:
+    return Q.metric_buckets(labelled(s, d), "click", *METRIC, 600, Q.LABELLED)
+
+
+LABELLED_MB = f"mb AS (SELECT metric, job, 'c' || (ts_ms // 15000 % 2) AS code, instance, CAST((ts_ms - ts_ms % 600000) / 1000 AS BIGINT) AS bucket, arg_max(value, ts_ms) AS value, max(ts_ms) AS at_ms FROM fx_metrics WHERE metric = 'click' AND ts_ms >= {METRIC[0]} AND ts_ms < {METRIC[1]} GROUP BY 1, 2, 3, 4, 5)"
+LABELLED_INC = f"{LABELLED_MB}, lg AS (SELECT *, lag(value) OVER w AS last, (bucket - lag(bucket) OVER w) * 1000 AS elapsed_ms FROM mb WINDOW w AS (PARTITION BY metric, job, code, instance ORDER BY bucket)), inc AS (SELECT *, CASE WHEN value < last THEN value ELSE value - last END AS increase FROM lg WHERE last IS NOT NULL)"
+add(
+    "Q19_labelled_buckets", labelled_buckets,
+    f"""WITH {LABELLED_MB} SELECT metric, '{{"code":"' || code || '","job":"' || job || '"}}' AS labels_text, instance, bucket, value, at_ms FROM mb""", "fx_metrics",
+)
+add(
+    "Q20_rate_by_labels", lambda s, d: told_rate(Q.counter_rate(labelled_buckets(s, d), ["code", "job"], 600, Q.LABELLED)),
+    f"WITH {LABELLED_INC} SELECT code, job, bucket, round(sum(increase * 1000 / elapsed_ms), 6) AS rate FROM inc GROUP BY 1, 2, 3", "fx_metrics",
+)
+add(
+    "Q21_labelled_gauge", lambda s, d: Q.gauge(labelled_buckets(s, d).withColumn("metric", F.lit("log_templates")), Q.LABELLED),
+    f"WITH {LABELLED_MB} SELECT 'log_templates' AS metric, bucket, CAST(sum(value) AS BIGINT) AS value FROM (SELECT job, code, bucket, max(value) AS value FROM mb GROUP BY 1, 2, 3) GROUP BY 2", "fx_metrics",
+)
 RATE = "round(sum(increase * 1000 / elapsed_ms), 6) AS rate FROM inc"
 add("Q20_counter_rate", lambda s, d: told_rate(Q.counter_rate(metric(s, d), ["job"], 600)), f"WITH {INC} SELECT job, bucket, {RATE} GROUP BY 1, 2", "fx_metrics")
 add("Q20_rate_with_gaps", lambda s, d: told_rate(Q.counter_rate(sparse(s, d), ["job"], 60)), f"WITH {PAIRS.format(mb=SPARSE_MB, step=60_000)} SELECT job, bucket, {RATE} GROUP BY 1, 2", "fx_metrics")
@@ -443,6 +493,11 @@ add("U16_series_points", lambda s, d: U.series_points(Q.gauge(metric(s, d)), 0.0
 add("U17_map_nodes", lambda s, d: U.map_graph(edges(s, d))[0], "SELECT parent_service AS service FROM fx_edges UNION SELECT child_service FROM fx_edges", "fx_edges")
 add("U17_map_links", lambda s, d: U.map_graph(edges(s, d))[1], "SELECT DISTINCT parent_service, child_service FROM fx_edges WHERE parent_service <> child_service", "fx_edges")
 add("G1_stories_per_minute", lambda s, d: U.stories_per_minute(story_rows(s, d)), f"SELECT {MINUTE} AS minute, kind, count(*) AS n FROM {STORIES} GROUP BY 1, 2", "fx_stories")
+add(
+    "G2_top_groups", lambda s, d: U.top_groups(story_rows(s, d)),
+    f"SELECT fingerprint, count(*) AS n, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, arg_max(summary, (ts_ns, story_id)) AS summary FROM {STORIES} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "fx_stories",
+)
+add("G5_latest_alerts", lambda s, d: U.latest_alerts(known(s, d)).select("alert_id", "kind", "last_at"), f"SELECT alert_id, kind, last_at FROM {LATEST_ALERTS} ORDER BY last_at DESC, alert_id LIMIT 50", "fx_alerts")
 add("G2_stories_by_cause", lambda s, d: U.stories_by_cause(story_rows(s, d)), f"SELECT cause_service, count(*) AS n FROM {STORIES} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15", "fx_stories")
 add("G3_node_calls", lambda s, d: U.node_calls(edges(s, d)), "SELECT service, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(errors) AS BIGINT) AS errors FROM (SELECT parent_service AS service, calls, errors FROM fx_edges UNION ALL SELECT child_service, calls, errors FROM fx_edges) GROUP BY 1", "fx_edges")
 add("G4_edge_table", lambda s, d: U.edge_table(edges(s, d)), f"SELECT parent_service, child_service, calls, round(errors * 100 / calls, 2) AS error_pct, round(ns / calls / 1000000, 2) AS mean_ms FROM {TOTALS}", "fx_edges")
