@@ -233,6 +233,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _open_strings(shape: Shape):  # noqa: ANN202
     """From texts with their marks: (k, w, d, r, mark) for each string whose own trigger is open and that no settled phrase covers.
 
+    k is the string's hash; where mark says that a smaller document of the task has it, the hash is w and k any number.
+
     A string's own trigger has the smallest rolling hash in it, so it is at the same place wherever the string occurs.
     If it is neither open nor settled, the string occurs again only in that trigger's phrase, and is settled there.
     """
@@ -261,17 +263,18 @@ def _open_strings(shape: Shape):  # noqa: ANN202
             if hs:
                 w, d, r, place = (np.concatenate(x) for x in (hs, ds, rs, ps))
                 here = seen.later(w, d)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_spread(w, w, d, here), w, d, r, 2 * place + here)], ["k", "w", "d", "r", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_spread(w, w, d, here), np.where(here, w, 0), d, r, 2 * place + here)], ["k", "w", "d", "r", "mark"])
 
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From strings sorted by (k, w, d): those that a smaller document has. Only the last string and its first document are carried."""
+    """From strings sorted by (k, d): those that a smaller document has. Only the last string and its first document are carried."""
     last_w = first_d = None
     for batch in batches:
-        w, d, r, mark = (batch.column(n).to_numpy() for n in ("w", "d", "r", "mark"))
+        k, w, d, r, mark = (batch.column(n).to_numpy() for n in ("k", "w", "d", "r", "mark"))
         again = (mark & 1).astype(bool)
+        w = np.where(again, w, k)
         live = np.flatnonzero(~again)
         if len(live):
             w_, d_ = w[live], d[live]
@@ -382,7 +385,7 @@ def repeated_strings(docs: DataFrame, shape: Shape = Shape(), keep: list[str] |
     opened = marks.where("not settled").select(*row_key).distinct()
     of_doc = marks.join(opened, row_key, "left_semi").groupBy(*row_key).agg(F.collect_list(F.struct("pos", "c", "settled")).alias("marks"))
     strings = plain.join(of_doc, row_key).mapInArrow(_open_strings(shape), "k long, w long, d long, r long, mark long")
-    found = stored(strings.repartition("k").sortWithinPartitions("k", "w", "d").mapInArrow(_later, "w long, d long, r long, pos int"), "strings")
+    found = stored(strings.repartition("k").sortWithinPartitions("k", "d").mapInArrow(_later, "w long, d long, r long, pos int"), "strings")
     of_strings = found.groupBy(*row_key).agg(F.collect_list(F.struct("pos", "w")).alias("strings"))
     settled = marks.where("settled").groupBy(*row_key).agg(F.collect_list(F.struct("pos", "c", "settled")).alias("marks"))
     both = stored(settled.join(of_strings, row_key, "full_outer"), "spans")
