@@ -18,6 +18,7 @@ from obsflow.operators import traces as A
 from obsflow.plans import read_queries as Q
 from obsflow.operators import stories as ST
 from obsflow.operators import trace_trees as TT
+from obsflow.sources.checkpoint import cut
 from obsflow.sources.fixtures import LOG_END, SPAN_END, logs, spans, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,7 +242,7 @@ add("A16_service_edges", lambda s, d: A.service_edges(flagged(s, d)), "SELECT *
 
 
 def kept(s: SparkSession, d: str) -> DataFrame:
-    summaries = A.trace_summaries(flagged(s, d))
+    summaries = cut(A.trace_summaries(flagged(s, d)))  # read three times
     slow = summaries.where("duration_ns >= 4500000000").select("trace_id")
     caps = s.createDataFrame([("frontend", "order p /orders/<*>", 300_000_000)], "endpoint_service string, endpoint_name string, cap long")
     return B.kept_summaries(summaries, slow, caps, WHOLE.start * S, WHOLE.end * S)
@@ -294,7 +295,7 @@ add(
 def refreshed(s: SparkSession, d: str) -> DataFrame:
     no_ops = s.createDataFrame([], "endpoint_service string, endpoint_name string, op string, presence double, p95 double")
     carried = s.createDataFrame([], "endpoint_service string, endpoint_name string, since long")
-    k = kept(s, d)
+    k = cut(kept(s, d))
     few = B.endpoint_stats(k).withColumn("kept", F.when(F.col("endpoint_name").startswith("order o"), F.lit(3).cast("long")).otherwise(F.col("kept")))
     return B.refresh_baselines(few, B.op_stats(k), previous(s), no_ops, carried, SPAN_END, 1440)[0]
 
@@ -320,7 +321,7 @@ add(
 
 def differences(s: SparkSession, d: str) -> DataFrame:
     summaries = A.trace_summaries(flagged(s, d))
-    k = kept(s, d)
+    k = cut(kept(s, d))
     baselines, ops = B.endpoint_stats(k).withColumnRenamed("kept", "traces"), B.op_stats(k)
     shares = ops.join(baselines.select("endpoint_service", "endpoint_name", "traces"), ["endpoint_service", "endpoint_name"]).withColumn("presence", F.col("present") / F.col("traces"))
     found = B.baseline_diff(summaries.where("is_error"), baselines, shares)
@@ -340,7 +341,7 @@ add(
 
 
 def story_baselines(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    summaries = A.trace_summaries(flagged(s, d))
+    summaries = cut(A.trace_summaries(flagged(s, d)))
     return B.baselines_from_summaries(summaries).withColumn("p99", F.col("p50")), B.offline_op_stats(summaries)
 
 
