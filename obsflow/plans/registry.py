@@ -93,8 +93,23 @@ add(
     "M15_apply_retention", lambda s, d: M.apply_retention(logs(s, d), "ts_ns", 1, LOG_END + 80000).groupBy("service").agg(F.count("*").alias("n")),
     f"SELECT service, count(*) AS n FROM fx_logs WHERE ts_ns >= {(LOG_END + 80000 - 86400) * S} GROUP BY 1", "fx_logs",
 )
-add("M19_story_messages", lambda s, d: N.story_messages(view(s, d, "fx_stories")))
-add("M20_alert_messages", lambda s, d: N.alert_messages(view(s, d, "fx_alerts")))
+TEXTS = {"story_id", "trace_id", "fingerprint", "kind", "endpoint_service", "endpoint_name", "cause_service", "summary", "alert_id", "template_id", "service", "template"}
+
+
+def as_json(columns: str) -> str:
+    """SQL for the JSON text of a row, of values that need no escapes; a null field is left out."""
+    one = lambda c: f"""'"{c}":"' || {c} || '"'""" if c in TEXTS else f"""'"{c}":' || {c}"""
+    return "'{' || concat_ws(',', " + ", ".join(one(c) for c in columns.split()) + ") || '}'"
+
+
+add(
+    "M19_story_messages", lambda s, d: N.story_messages(view(s, d, "fx_stories")),
+    f"SELECT fingerprint AS key, {as_json('story_id trace_id fingerprint kind ts_ns duration_ns endpoint_service endpoint_name cause_service summary span_count')} AS value FROM fx_stories", "fx_stories",
+)
+add(
+    "M20_alert_messages", lambda s, d: N.alert_messages(view(s, d, "fx_alerts").withColumn("baseline_day", F.when(F.col("kind") == "spike", F.col("count")))),
+    f"SELECT template_id AS key, {as_json('alert_id kind template_id service template started_at last_at count version baseline_day')} AS value FROM (SELECT *, CASE WHEN kind = 'spike' THEN count END AS baseline_day FROM fx_alerts)", "fx_alerts",
+)
 add(
     "M21_extract_traces", lambda s, d: M.extract_traces(spans(s, d), True, "svc3", 50).groupBy("trace_id").agg(F.count("*").alias("n")),
     """SELECT trace_id, count(*) AS n FROM fx_spans WHERE trace_id IN (SELECT trace_id FROM fx_spans WHERE status = 'error' INTERSECT SELECT trace_id FROM fx_spans WHERE service = 'svc3' ORDER BY 1 LIMIT 50)
@@ -300,7 +315,14 @@ def refreshed(s: SparkSession, d: str) -> DataFrame:
     return B.refresh_baselines(few, B.op_stats(k), previous(s), no_ops, carried, SPAN_END, 1440)[0]
 
 
-add("A21_refresh_baselines", refreshed)
+OLD = "old AS (SELECT * FROM (VALUES ('order o /orders/<*>', 80, 2e8, 3e8, 4e8), ('order p /orders/<*>', 10, 2e8, 3e8, 4e8), ('order f /orders/<*>', 60, 2e8, 3e8, 'nan'::DOUBLE)) AS v(endpoint_name, old_traces, old_p50, old_p95, old_p99))"
+add(
+    "A21_refresh_baselines", lambda s, d: rounded(refreshed(s, d), "p50", "p95", "p99"),
+    f"""WITH {KEPT}, {STAT}, {OLD}, few AS (SELECT * REPLACE (CASE WHEN endpoint_name LIKE 'order o%' THEN 3 ELSE kept END AS kept) FROM stat),
+      j AS (SELECT *, kept < 50 AND coalesce(old_traces, 0) >= 50 AS carry FROM few LEFT JOIN old USING (endpoint_name))
+      SELECT endpoint_service, endpoint_name, CASE WHEN carry THEN old_traces ELSE kept END AS traces, round(CASE WHEN carry THEN old_p50 ELSE p50 END, 3) AS p50, round(CASE WHEN carry THEN old_p95 ELSE p95 END, 3) AS p95,
+        round(CASE WHEN carry THEN old_p99 ELSE p99 END, 3) AS p99, CASE WHEN carry THEN {SPAN_END} END AS carried_since FROM j WHERE carry OR (kept > 0 AND p50 IS NOT NULL)""", "fx_spans",
+)
 add(
     "A22_offline_baselines", lambda s, d: B.baselines_from_summaries(A.trace_summaries(flagged(s, d))),
     f"WITH {SUMS} SELECT endpoint_service, endpoint_name, count(*) AS traces, quantile_disc(duration_ns, 0.5) AS p50, quantile_disc(duration_ns, 0.95) AS p95, quantile_disc(duration_ns, 0.99) AS p99 FROM sums WHERE NOT is_error GROUP BY 1, 2", "fx_spans",

@@ -410,7 +410,16 @@ def by_edge(s: SparkSession, d: str) -> DataFrame:
     return Q.histogram_quantile(Q.series_increases(metric(s, d), 600).withColumn("le", le), 0.9)
 
 
-add("Q22_histogram_quantile", by_edge)
+add(
+    "Q22_histogram_quantile", lambda s, d: by_edge(s, d).withColumn("value", F.round("value", 6)),
+    f"""WITH {INC}, edges AS (SELECT bucket, CASE instance WHEN 'i0' THEN 1.0::DOUBLE WHEN 'i1' THEN 5.0::DOUBLE ELSE 'inf'::DOUBLE END AS le, CAST(sum(increase) AS DOUBLE) AS n FROM inc GROUP BY 1, 2),
+      rising AS (SELECT bucket, le, max(n) OVER (PARTITION BY bucket ORDER BY le ROWS UNBOUNDED PRECEDING) AS n FROM edges),
+      edged AS (SELECT *, lag(le) OVER u AS low, coalesce(lag(n) OVER u, 0) AS below, max(n) OVER (PARTITION BY bucket) AS total, max(CASE WHEN le < 'inf'::DOUBLE THEN le END) OVER (PARTITION BY bucket) AS top, max(le) OVER (PARTITION BY bucket) AS last
+        FROM rising WINDOW u AS (PARTITION BY bucket ORDER BY le)),
+      held AS (SELECT *, total * 0.9 AS rank FROM edged WHERE total > 0 AND last = 'inf'::DOUBLE AND top IS NOT NULL)
+      SELECT bucket, round(min(CASE WHEN le = 'inf'::DOUBLE THEN top WHEN n = below THEN le ELSE coalesce(low, 0) + (le - coalesce(low, 0)) * (rank - below) / (n - below) END), 6) AS value
+      FROM held WHERE n >= rank AND (below < rank OR low IS NULL) GROUP BY 1""", "fx_metrics",
+)
 add("Q23_consumer_lag", lambda s, d: Q.consumer_lag(view(s, d, "fx_offsets")), "SELECT grp, topic, CAST(sum(greatest(0, CASE WHEN committed < 0 THEN high ELSE high - committed END)) AS BIGINT) AS lag FROM fx_offsets GROUP BY 1, 2", "fx_offsets")
 add(
     "Q24_window_buckets", lambda s, d: view(s, d, "fx_logs").where(LOG_DAY.inside()).groupBy(Q.bucket("ts_ns", DAY_STEP).alias("bucket")).agg(F.count("*").alias("n")),

@@ -77,11 +77,19 @@ add("M18_corpus_faults", lambda s, d: otlp.corpus_faults(corpus(s, d)), "SELECT
 
 
 def bad_lines(s: SparkSession, d: str) -> DataFrame:
-    broken = otlp.as_requests(spans(s, d)).withColumn("value", F.when(F.xxhash64("value") % 10 == 0, F.expr("substring(value, 1, length(value) - 7)")).otherwise(F.col("value")))
-    return otlp.split_undecodable(broken, otlp.TRACES)[1].select(F.md5("value").alias("line"))
+    """Requests of which some are cut short, are no object, or have a list where an object should be."""
+    key = F.col("p_partkey")
+    whole = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"spanId":"'), key, F.lit('","name":"'), F.col("p_brand"), F.lit('"}]}]}]}'))
+    broken = F.when(key % 10 == 0, F.expr("substring(value, 1, length(value) - 4)")).when(key % 10 == 1, F.concat(F.lit("not JSON "), key)).otherwise(F.col("value"))
+    lines = view(s, d, "part").select(whole.alias("value"), "p_partkey").select(broken.alias("value"))
+    return otlp.split_undecodable(lines, otlp.TRACES)[1].select(F.md5("value").alias("line"))
 
 
-add("M8_undecodable", bad_lines)
+add(
+    "M8_undecodable", bad_lines,
+    """WITH w AS (SELECT p_partkey, '{"resourceSpans":[{"scopeSpans":[{"spans":[{"spanId":"' || p_partkey || '","name":"' || p_brand || '"}]}]}]}' AS value FROM part)
+       SELECT md5(CASE WHEN p_partkey % 10 = 0 THEN substring(value, 1, length(value) - 4) ELSE 'not JSON ' || p_partkey END) AS line FROM w WHERE p_partkey % 10 < 2""",
+)
 
 
 def stored_by_day(s: SparkSession, d: str) -> DataFrame:
