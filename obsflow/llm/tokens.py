@@ -94,7 +94,14 @@ class WordTokenizer:
         return self._ids[np.repeat(self._start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
     def _places(self, words: pa.Array) -> np.ndarray:
-        return pc.index_in(words, value_set=self._known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        """Where each of some different words is among the known ones; -1: nowhere. Only the shorter list is hashed."""
+        place = lambda of, among: pc.index_in(of, value_set=among).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(self._known) <= len(words):
+            return place(words, self._known)
+        found, out = place(self._known, words), np.full(len(words), -1, np.int64)
+        there = np.flatnonzero(found >= 0)
+        out[found[there]] = there
+        return out
 
     def _learn(self, new: list[str]) -> np.ndarray:
         """Encode new words and keep their ids; their places."""
