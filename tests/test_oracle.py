@@ -10,7 +10,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = [
     "M11_latest", "M13_template_minutes", "T1_dedup_spans", "T5_sessionize_batch", "A3_span_tree", "A6_ancestors", "A8_root_cause", "A12_explain", "A17_endpoint_stats", "A24_baseline_diff",
     "A28_span_self_ns", "L3_distinct_sequences", "D4_spike_baseline", "D7_spike_alerts", "D15_example_traces", "N3_delivery_outcome", "Q1_story_groups", "Q7_log_alerts", "Q8_log_templates", "Q12_service_graph", "Q13_overview", "Q11_service_map", "Q14_traces_search", "Q20_counter_rate", "Q20_rate_with_gaps", "Q21_gauge_of_replicas", "Q1_groups_of_service", "N5_webhook_payload",
-    "N6_slack_payload", "U3_alert_activity", "U11_trace_rows",
+    "N6_slack_payload", "U3_alert_activity", "U11_trace_rows", "A4_looped_roots", "A6_nested_intervals", "A21_refresh_baselines", "A25_error_stories", "D12_partition_states", "M2_otlp_logs",
+    "M3_nested_values", "M8_undecodable", "M15_drop_expired", "M18_corpus_faults", "M22_verify_sample", "Q5_trace_story", "Q9_template_alerts", "Q20_rate_by_labels", "Q22_histogram_quantile",
+    "T3_assemble_traces", "T6_event_time_sessions", "T8_analyze_stream", "U12_waterfall", "U13_waterfall_filter",
 ]
 
 
