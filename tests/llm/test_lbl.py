@@ -1,7 +1,11 @@
 """The log-bilinear model: normalised scores, what is learnt, held-out gains, and what another partitioning changes."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from obsflow.llm import lbl
 
@@ -66,3 +70,15 @@ def test_held_out_texts_gain_and_counts_ignore_the_partitioning(spark):
         s = other[k]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (s.n_tokens, s.n_known, s.train_tokens) and np.isclose(r.base_score, s.base_score)
         assert abs(r.score - s.score) < 0.25 * abs(r.score)  # training averages over partitions
+
+
+def test_bytes_that_are_no_text_stay_apart(spark, tmp_path):
+    texts = [b"\xff \xff \xff \xfe a", b"\xef\xbf\xbd a", b"\xef\xbf\xbd \xff\xef\xbf\xbd \xc2\xa0b\xe3\x80\x80 \xc3\x85 x\x00y", b"\xfe A\x0b\xff\x1ca"] * 3
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.binary()).view(pa.string())}), f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in lbl.scored(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    words = [[*t.lower().split(), None] for t in texts]
+    counts = Counter(w for k, t in enumerate(words) if zlib.crc32(str(k).encode()) % 10 for w in t)
+    n = counts.total()
+    for k, t in enumerate(words):
+        base = sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (len(counts) + 1))) for w in t)
+        assert (found[k].n_tokens, found[k].n_known, found[k].train_tokens) == (len(t), sum(w in counts for w in t), n) and np.isclose(found[k].base_score, base)
