@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["D13_silence_inputs"])
+@pytest.mark.parametrize("name", ["D13_silence_inputs", "D14_silence_alerts"])
 def test_hits_past_the_window_count(spark, tmp_path, name):
     for table in os.listdir(DATA):
         if table != "events.parquet":
