@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -49,67 +48,75 @@ def records_of(spans: DataFrame, logs: DataFrame) -> DataFrame:
 
 
 class _Assembler(StatefulProcessor):
-    """Per trace: its records until it closes, then a marker for a while, so that late records are known as such."""
+    """Per trace: its records until it closes, then a marker for a while, so that late records are known as such.
+
+    Every use of state is a call out of the task, so there are as few as possible: one list holds the records with their
+    ids, which are read again only for a trace that was open before, and the window knows its timer.
+    """
 
     def __init__(self, gap_ms: int, max_age_ms: int, max_spans: int, remember_ms: int):
         self._limits = gap_ms, max_age_ms, max_spans, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._records = handle.getListState("records", "kind string, row string")
-        self._seen = handle.getMapState("seen", "kind string, id string", "there boolean")
-        self._window = handle.getValueState("window", "opened long, n_spans long, closed boolean")
+        self._records = handle.getListState("records", "kind string, id string, row string")
+        self._window = handle.getValueState("window", "opened long, n_spans long, closed boolean, due long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         gap, age, most, _ = self._limits
         now = timerValues.getCurrentProcessingTimeInMs()
-        found = [(k, i, r) for frame in rows for k, i, r in zip(frame["kind"], frame["id"], frame["row"], strict=True)]
-        opened, n_spans, closed = self._window.get() if self._window.exists() else (now, 0, False)
+        window = self._window.get()
+        opened, n_spans, closed, due = window or (now, 0, False, None)
+        if closed:
+            yield from (self._out(key[0], r["kind"], r["row"], "late") for r in rows)
+            return
+        seen = {(kind, name) for kind, name, _ in self._records.get()} if window else set()
         new = []
-        for k, (kind, name, row) in enumerate(found):
+        for r in rows:
+            kind, name, row = r["kind"], r["id"], r["row"]
             if closed:
-                yield self._out(key[0], [(kind, row) for kind, _, row in found[k:]], "late")
-                break
-            if name and self._seen.containsKey((kind, name)):  # a replay: neither kept nor counted
+                yield self._out(key[0], kind, row, "late")
+                continue
+            if name and (kind, name) in seen:  # a replay: neither kept nor counted
                 continue
-            if name:
-                self._seen.updateValue((kind, name), (True,))
-            new.append((kind, row))
+            seen.add((kind, name))
+            new.append((kind, name, row))
             n_spans += kind == "span"
             if n_spans > most:
-                yield self._close(key[0], now, opened, new, "truncated")
-                new, closed = [], True
+                yield from self._close(key[0], now, opened, due, bool(window), new, "truncated")
+                closed = True
         if closed:
             return
         if new:
             self._records.appendList(new)
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        self._window.update((opened, n_spans, False))
-        self._handle.registerTimer(min(now + gap, opened + age))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        opened, _, closed = self._window.get()
+        after = min(now + gap, opened + age)
+        if after != due:
+            if due is not None:
+                self._handle.deleteTimer(due)
+            self._handle.registerTimer(after)
+        self._window.update((opened, n_spans, False, after))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        opened, _, closed, due = self._window.get()
         if closed:  # the trace is forgotten
             self._window.clear()
-            yield self._out(key[0], [], "closed")
         else:
-            yield self._close(key[0], timerValues.getCurrentProcessingTimeInMs(), opened, [], "closed")
-
-    def _close(self, trace_id: str, now: int, opened: int, more: list[tuple[str, str]], closing: str) -> pd.DataFrame:
-        out = self._out(trace_id, [*(self._records.get() if self._records.exists() else []), *more], closing)
-        self._records.clear()
-        self._seen.clear()
-        self._window.update((opened, 0, True))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        self._handle.registerTimer(now + self._limits[3])
-        return out
+            yield from self._close(key[0], timerValues.getCurrentProcessingTimeInMs(), opened, due, True, [], "closed")
+
+    def _close(self, trace_id: str, now: int, opened: int, due: int | None, stored: bool, more: list[tuple[str, str, str]], closing: str) -> Iterator[Row]:
+        if stored:
+            yield from [self._out(trace_id, kind, row, closing) for kind, _, row in self._records.get()]
+            self._records.clear()
+        yield from (self._out(trace_id, kind, row, closing) for kind, _, row in more)
+        if due is not None:
+            self._handle.deleteTimer(due)
+        forget = now + self._limits[3]
+        self._window.update((opened, 0, True, forget))
+        self._handle.registerTimer(forget)
 
     @staticmethod
-    def _out(trace_id: str, records: list[tuple[str, str]], closing: str) -> pd.DataFrame:
-        n = len(records)
-        return pd.DataFrame({"trace_id": pd.Series([trace_id] * n, dtype=str), "kind": pd.Series([r[0] for r in records], dtype=str), "row": pd.Series([r[1] for r in records], dtype=str), "closing": pd.Series([closing] * n, dtype=str)})
+    def _out(trace_id: str, kind: str, row: str, closing: str) -> Row:
+        return Row(trace_id=trace_id, kind=kind, row=row, closing=closing)
 
     def close(self) -> None:
         pass
@@ -122,7 +129,7 @@ def assemble_traces(records: DataFrame, gap_ms: int = GAP_MS, max_age_ms: int =
     not count; late: what comes within remember_ms of the close. The session must use STATE_STORE. State holds the open
     traces and the ids of their records, in RocksDB, and a marker for each trace closed within remember_ms.
     """
-    return records.groupBy("trace_id").transformWithStateInPandas(
+    return records.groupBy("trace_id").transformWithState(
         statefulProcessor=_Assembler(gap_ms, max_age_ms, max_spans, remember_ms), outputStructType="trace_id string, kind string, row string, closing string", outputMode="Append", timeMode="ProcessingTime"
     )
 
