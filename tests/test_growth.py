@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 
 from obsflow.operators import baselines, trace_trees, traces
+from obsflow.plans import registry
 
 
 def test_ancestors_take_one_shuffle_and_no_job_to_plan(spark):
@@ -55,3 +56,8 @@ def test_roots_and_longest_of_rows():
         found = trace_trees._longest(pa.array(ops, pa.list_(pa.string())).slice(low, high - low), pa.array(ns, pa.list_(pa.int64())).slice(low, high - low))
         want = [[{"op": op, "ns": max(v for o, v in zip(a, b, strict=True) if o == op)} for op in sorted(set(a), key=str.encode)] for a, b in zip(ops[low:high], ns[low:high], strict=True)]
         assert found.to_pylist() == want
+
+
+def test_slow_traces_are_summarised_once(spark):
+    plan = registry.QUERIES["A23_slow_traces"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "ArrowEvalPython" not in plan  # the summaries are a table by then
