@@ -166,7 +166,7 @@ def assembled(s: SparkSession, d: str) -> DataFrame:
     at = scratch(s, "assemble")
     rows = replayed(s, d)
     out = assembly.assemble_traces(as_stream(s, rows, at), gap_ms=GAP)
-    wanted = rows.select("trace_id", "kind", "id").distinct().count()
+    wanted = s.read.schema(rows.schema).parquet(f"{at}/in").select("trace_id", "kind", "id").distinct().count()
     query = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").start()
     found = lambda: s.read.schema(out.schema).parquet(f"{at}/out")
     until(query, lambda: bool(query.lastProgress) and found().count() >= wanted)
@@ -185,7 +185,7 @@ def analysed(s: SparkSession, d: str, table: str) -> DataFrame:
     at = scratch(s, "analyse")
     rows = replayed(s, d)
     out = assembly.assemble_traces(as_stream(s, rows, at), gap_ms=GAP)
-    wanted = rows.where("kind = 'span'").select("trace_id").distinct().count()
+    wanted = s.read.schema(rows.schema).parquet(f"{at}/in").where("kind = 'span'").select("trace_id").distinct().count()
     query = assembly.analyze_stream(out, f"{at}/out", f"{at}/state", spans(s, d).schema, logs(s, d).schema)
     found = lambda name: s.read.parquet(f"{at}/out/{name}").drop("batch_id")
     until(query, lambda: _there(lambda: found("edges").limit(1).count() > 0 and found("summaries").count() >= wanted))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,8 +52,9 @@ def records_of(spans: DataFrame, logs: DataFrame) -> DataFrame:
 class _Assembler(StatefulProcessor):
     """Per trace: its records until it closes, then a marker for a while, so that late records are known as such.
 
-    Every use of state is a call out of the task, so there are as few as possible: one list holds the records with their
-    ids, which are read again only for a trace that was open before, and the window knows its timer.
+    Every use of state is a call out of the task, and every value in it is pickled, so there are as few as possible: what
+    comes in one call is one value of a list (kinds, ids and rows), the ids are read again only for a trace that was open
+    before, and the window knows its timer.
     """
 
     def __init__(self, gap_ms: int, max_age_ms: int, max_spans: int, remember_ms: int):
@@ -59,7 +62,7 @@ class _Assembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._records = handle.getListState("records", "kind string, id string, row string")
+        self._records = handle.getListState("records", "kinds array<string>, ids array<string>, rows array<string>")
         self._window = handle.getValueState("window", "opened long, n_spans long, closed boolean, due long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
@@ -70,7 +73,7 @@ class _Assembler(StatefulProcessor):
         if closed:
             yield from (self._out(key[0], r["kind"], r["row"], "late") for r in rows)
             return
-        seen = {(kind, name) for kind, name, _ in self._records.get()} if window else set()
+        seen = {(kind, name) for kind, name, _ in self._stored()} if window else set()
         new = []
         for r in rows:
             kind, name, row = r["kind"], r["id"], r["row"]
@@ -88,7 +91,7 @@ class _Assembler(StatefulProcessor):
         if closed:
             return
         if new:
-            self._records.appendList(new)
+            self._records.appendList([tuple(map(list, zip(*new, strict=True)))])
         after = min(now + gap, opened + age)
         if after != due:
             if due is not None:
@@ -105,7 +108,7 @@ class _Assembler(StatefulProcessor):
 
     def _close(self, trace_id: str, now: int, opened: int, due: int | None, stored: bool, more: list[tuple[str, str, str]], closing: str) -> Iterator[Row]:
         if stored:
-            yield from [self._out(trace_id, kind, row, closing) for kind, _, row in self._records.get()]
+            yield from [self._out(trace_id, kind, row, closing) for kind, _, row in self._stored()]
             self._records.clear()
         yield from (self._out(trace_id, kind, row, closing) for kind, _, row in more)
         if due is not None:
@@ -114,6 +117,10 @@ class _Assembler(StatefulProcessor):
         self._window.update((opened, 0, True, forget))
         self._handle.registerTimer(forget)
 
+    def _stored(self) -> Iterator[tuple[str, str, str]]:
+        for columns in self._records.get():
+            yield from zip(*columns, strict=True)
+
     @staticmethod
     def _out(trace_id: str, kind: str, row: str, closing: str) -> Row:
         return Row(trace_id=trace_id, kind=kind, row=row, closing=closing)
@@ -122,6 +129,35 @@ class _Assembler(StatefulProcessor):
         pass
 
 
+class _Bundled(_Assembler):
+    """_Assembler, where a row holds the kinds, ids and rows of many records: a row costs far more to exchange than what is in it."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        single = ({"kind": kind, "id": name, "row": row} for r in rows for kind, name, row in zip(r["kinds"], r["ids"], r["rows"], strict=True))
+        return self._together(super().handleInputRows(key, single, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        return self._together(super().handleExpiredTimer(key, timerValues, expiredTimerInfo))
+
+    @staticmethod
+    def _together(out: Iterable[Row]) -> Iterator[Row]:
+        for (trace_id, closing), rows in groupby(out, key=lambda r: (r.trace_id, r.closing)):
+            found = list(rows)
+            yield Row(trace_id=trace_id, kinds=[r.kind for r in found], rows=[r.row for r in found], closing=closing)
+
+
+def bundled(records: DataFrame) -> DataFrame:
+    """(trace_id, kinds, ids, rows): the records of a trace that lie near each other in a task, in their order, as one row."""
+    columns = ["kind", "id", "row"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by("trace_id", use_threads=False).aggregate([(c, "list") for c in columns])
+            yield from found.select(["trace_id", *(f"{c}_list" for c in columns)]).rename_columns(["trace_id", *(f"{c}s" for c in columns)]).to_batches()
+
+    return records.select("trace_id", *columns).mapInArrow(run, "trace_id string, kinds array<string>, ids array<string>, rows array<string>")
+
+
 def assemble_traces(records: DataFrame, gap_ms: int = GAP_MS, max_age_ms: int = MAX_AGE_MS, max_spans: int = MAX_SPANS, remember_ms: int = 600_000) -> DataFrame:
     """Streamed records (see records_of) with closing, by processing time: all records of a trace come out when it closes.
 
@@ -129,9 +165,10 @@ def assemble_traces(records: DataFrame, gap_ms: int = GAP_MS, max_age_ms: int =
     not count; late: what comes within remember_ms of the close. The session must use STATE_STORE. State holds the open
     traces and the ids of their records, in RocksDB, and a marker for each trace closed within remember_ms.
     """
-    return records.groupBy("trace_id").transformWithState(
-        statefulProcessor=_Assembler(gap_ms, max_age_ms, max_spans, remember_ms), outputStructType="trace_id string, kind string, row string, closing string", outputMode="Append", timeMode="ProcessingTime"
+    out = bundled(records).groupBy("trace_id").transformWithState(
+        statefulProcessor=_Bundled(gap_ms, max_age_ms, max_spans, remember_ms), outputStructType="trace_id string, kinds array<string>, rows array<string>, closing string", outputMode="Append", timeMode="ProcessingTime"
     )
+    return out.select("trace_id", F.explode(F.arrays_zip("kinds", "rows")).alias("r"), "closing").select("trace_id", F.col("r.kinds").alias("kind"), F.col("r.rows").alias("row"), "closing")
 
 
 def unpacked(records: DataFrame, kind: str, schema: T.StructType) -> DataFrame:
@@ -159,16 +196,17 @@ def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
 def analyze_batch(batch: DataFrame, batch_id: int, path: str, span_schema: T.StructType, log_schema: T.StructType, baselines: DataFrame | None = None, ops: DataFrame | None = None) -> None:
     """Summaries, stories and edges of the traces (assembled records) that one batch closes, under its id.
 
-    The batch is stored first and then read by each analysis. Tables are written in the given order, the additive one
-    (edges) last; a batch that comes again replaces what it wrote, so its edges count once.
+    The batch is stored first, which alone runs its assembly, then its spans and logs; each analysis reads those. Tables
+    are written in the given order, the additive one (edges) last; a batch that comes again replaces what it wrote, so
+    its edges count once.
     """
-    if batch.isEmpty():
-        return
     whole = cut(batch.where("closing <> 'late'"))
-    spans, logs = (unpacked(whole, k, schema) for k, schema in (("span", span_schema), ("log", log_schema)))
+    if whole.isEmpty():
+        return
+    spans, logs = (cut(unpacked(whole, k, schema)) for k, schema in (("span", span_schema), ("log", log_schema)))
     flags = spans.groupBy("trace_id").agg(F.when(F.max("closing") == "truncated", F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>")).alias("window_flags"))
     spans, logs = spans.drop("closing"), logs.drop("closing")
-    flagged = error_flags(spans, logs)
+    flagged = cut(error_flags(spans, logs))
     write_batch(trace_summaries(flagged), f"{path}/summaries", batch_id)
     write_batch(stories(spans, logs, baselines, ops, window_flags=flags), f"{path}/stories", batch_id)
     write_batch(service_edges(flagged), f"{path}/edges", batch_id)
