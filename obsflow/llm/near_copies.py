@@ -1,8 +1,10 @@
 """Near copies by the Jaccard similarity of word shingles: every pair that is reported was compared exactly.
 
-Candidates come from min-hash bands. Two sets of similarity s agree in a band of ROWS minima with probability s**ROWS,
-so at 0.8 a pair misses all BANDS bands in about seven of a million cases, and less above. The pivot tables of
-simhash.py cannot stand in: at 0.8 two fingerprints differ by about ten bits, and no cell of 64 bits prunes at that radius.
+Candidates come from the pivot distance tables of simhash.py first: sets whose fingerprints are within two bits are
+compared, and what is similar is one component before anything else is looked at. At a similarity of 0.8 two
+fingerprints differ by about ten bits, which no cell of 64 bits can prune, so what the radius cannot hold comes from
+min-hash bands. Two sets of similarity s agree in a band of ROWS minima with probability s**ROWS, so at 0.8 a pair
+misses all BANDS bands in about seven of a million cases, and less above.
 
 A band's cell is not expanded to pairs. Each member is compared with one leader, at first with the one that meets most
 others; what similarity joins is one component from then on; and only members of different components of a cell are
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 
 from obsflow.llm.common import discard, groups_of_rows, only, rows_of, stored
 from obsflow.llm.components import components
+from obsflow.llm.simhash import bits_in_most
+from obsflow.llm.simhash import links as pivot_links
 
 BANDS, ROWS = 30, 5
 #: Rounds in which members of a cell are compared with one leader before the rest is compared with each other, the size
@@ -60,22 +64,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _signed(set_: np.ndarray) -> int:
-    found = xxhash.xxh64_intdigest(set_.tobytes())
+def _signed(found: int) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash, the node (a hash of the shingle set), the set's size and its band keys."""
+    """doc_id, text_hash, the node (a hash of the shingle set), the set's size, its SimHash fingerprint and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of_rows(batches, "text"):
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([_signed(s) for s in sets], pa.int64())]
-            columns += [pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "bands"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets], pa.int64())]
+            columns += [pa.array([len(s) for s in sets], pa.int32()), pa.array([_signed(bits_in_most(s)) for s in sets], pa.int64())]
+            columns += [pa.array([bands(s) for s in sets], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "fp", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, node long, n int, bands array<int>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, node long, n int, fp long, bands array<int>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -100,10 +104,23 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(sets.withColumnRenamed("node", "a"), "a").join(other, "b").select("a", "b", "items", "items_").mapInArrow(run, "a long, b long, alike boolean")
 
 
+def pivot_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (node, n, node_, n_) that connect all nodes whose fingerprints a chain of steps within two bits connects, by the pivot tables.
+
+    Nodes of one fingerprint meet the smallest of them. A set without shingles is one node, and its fingerprint zero is no sign of likeness.
+    """
+    own = nodes.where("n > 0").select("node", "n", "fp")
+    first = own.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("nodes"))
+    same = own.join(first.where("nodes > 1"), "fp").select("node", "n", F.col("first.node").alias("node_"), F.col("first.n").alias("n_")).where("node <> node_")
+    of = lambda end, mark: first.select(F.col("fp").alias(end), F.col("first.node").alias(f"node{mark}"), F.col("first.n").alias(f"n{mark}"))
+    near = pivot_links(first.select("fp")).join(of("a", ""), "a").join(of("b", "_"), "b")
+    return same.unionByName(near.select("node", "n", "node_", "n_"))
+
+
 def links(nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
     """Links (a, b) that connect exactly the nodes that a chain of candidate pairs of the similarity connects.
 
-    nodes: node, n, bands and the doc_id and text_hash of a row of docs (doc_id, text_hash, text) that has this set.
+    nodes: node, n, fp, bands and the doc_id and text_hash of a row of docs (doc_id, text_hash, text) that has this set.
     """
     placed = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     keyed = placed.select("node", "n", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("key").cast("long") + F.lit(1 << 31)).alias("cell"))
@@ -112,10 +129,12 @@ def links(nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFra
     # how many members a node meets: the text that others were copied from meets the most
     popular = in_cells.groupBy("node").agg(F.sum("members").alias("popular"))
     cells = stored(in_cells.join(popular, "node"), "cells")
-    wanted = nodes.select("node", "doc_id", "text_hash").join(cells.select("node").distinct(), "node", "left_semi")
+    by_pivots = stored(pivot_pairs(nodes), "pairs")
+    asked = cells.select("node").unionByName(by_pivots.select("node")).unionByName(by_pivots.select(F.col("node_").alias("node"))).distinct()
+    wanted = nodes.select("node", "doc_id", "text_hash").join(asked, "node", "left_semi")
     sets = stored(_sets(docs.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text"), size), "sets")
     close = F.least("n", "n_") >= least * F.greatest("n", "n_") - 1e-6
-    tested, made, roots = None, [cells, sets], None
+    tested, made, roots = None, [cells, sets, by_pivots], None
 
     def rooted() -> DataFrame:
         if roots is None:
@@ -131,6 +150,7 @@ def links(nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFra
         tested = made[-1] if tested is None else tested.unionByName(made[-1])
         roots = components(tested.where("alike").select("a", "b"))
 
+    settle(by_pivots)
     for turn in range(LEADERS):
         members = rooted() if turn == 0 else rooted().where(F.col("members") > CELL)
         by = F.xxhash64("node", F.lit(turn)) if turn % 2 else -F.col("popular")
@@ -196,7 +216,7 @@ def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     named = docs.where("doc_id is not null")
     texts = only(named, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     found = stored(_signatures(texts, size), "signatures")
-    nodes = stored(found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands")).alias("first")).select("node", "first.*"), "nodes")
+    nodes = stored(found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "n", "fp", "bands")).alias("first")).select("node", "first.*"), "nodes")
     near = links(nodes, texts, size, least)
     classes = nodes.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = stored(classes.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*"), "kept")

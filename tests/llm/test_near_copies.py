@@ -66,3 +66,20 @@ def test_stage_drops_planted_copies(spark):
     assert got == sorted(roots([t or "" for t in texts], 0.8))
     assert left.where("doc_id is null").count() == 1
     assert near_copies.one_of_each(docs.where("false")).count() == 0
+
+
+def test_pivot_tables_link_without_bands(spark):
+    draw = random.Random(9)
+    base = " ".join(words(draw, 900))
+    texts = [base, edited(draw, base, 1), edited(draw, base, 2)] + [" ".join(words(draw, 200)) for _ in range(5)] + [""]
+    texts += [" ".join([base, base]), base + " " + base.split()[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) AS text_hash")
+    nodes = near_copies._signatures(docs, 5).cache()
+    within = {r.doc_id: r.fp for r in nodes.collect()}
+    near = {(a, b) for a in within for b in within if a < b and ((within[a] ^ within[b]) & (1 << 64) - 1).bit_count() <= 2 and texts[a] and texts[b]}
+    assert near and any((within[a] ^ within[b]) for a, b in near) and not any(3 <= x <= 8 for p in near for x in p)
+    # no band has a key, so that every link comes from the pivot tables
+    found = near_copies.links(nodes.selectExpr("doc_id", "text_hash", "node", "n", "fp", "slice(bands, 1, 0) AS bands"), docs, 5, 0.8)
+    name = {r.node: r.doc_id for r in nodes.collect()}
+    linked = {tuple(sorted((name[r.a], name[r.b]))) for r in found.collect()}
+    assert linked and linked <= {p for p in near if jaccard(texts[p[0]], texts[p[1]]) >= 0.8}
