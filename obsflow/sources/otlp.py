@@ -76,7 +76,9 @@ def attribute_map(attributes: Column) -> Column:
 
 def service_name(resource: Column) -> Column:
     named = F.filter(F.coalesce(resource["attributes"], F.array()), lambda e: e["key"] == "service.name")
-    return F.coalesce(filled(any_value(F.get(named, F.lit(0))["value"])), F.lit("unknown_service"))
+    value = F.get(named, F.lit(0))["value"]
+    other = _let(_let(value, lambda v: any_value(v)), lambda text: filled(text))  # seldom: names are strings
+    return F.coalesce(filled(value["stringValue"]), F.when(value["stringValue"].isNull(), other), F.lit("unknown_service"))
 
 
 def _named(number: Column, names: list[str]) -> Column:
@@ -84,9 +86,12 @@ def _named(number: Column, names: list[str]) -> Column:
 
 
 def split_undecodable(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(decoded requests, lines that are no JSON object of the schema), from a column `value`; also for streams."""
+    """(decoded requests, lines that are no JSON object of the schema), from a column `value`; also for streams.
+
+    The exploded array of one keeps Spark from writing the parse into the filter and each column anew.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    parsed = lines.withColumn("_r", F.from_json("value", f"{schema}, _bad string", options))
+    parsed = lines.withColumn("_r", F.explode(F.array(F.from_json("value", f"{schema}, _bad string", options))))
     bad = F.col("_r").isNull() | F.col("_r._bad").isNotNull()
     return parsed.where(~bad).select("_r.*").drop("_bad"), parsed.where(bad).select("value")
 
@@ -159,7 +164,8 @@ def as_requests(spans: DataFrame) -> DataFrame:
         (F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")) - 1).alias("kind"), F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.col("end_ns").cast("string").alias("endTimeUnixNano"),
         attributes.alias("attributes"), F.struct((F.array_position(F.array(*(F.lit(k) for k in STATUSES)), F.col("status")) - 1).alias("code"), F.col("status_message").alias("message")).alias("status"),
     )
-    scopes = spans.select("trace_id", "service", span.alias("span")).groupBy("trace_id", "service").agg(F.collect_list("span").alias("spans"))
+    # one shuffle, by trace, serves both groupings
+    scopes = spans.repartition("trace_id").select("trace_id", "service", span.alias("span")).groupBy("trace_id", "service").agg(F.collect_list("span").alias("spans"))
     return _requests(scopes, "resourceSpans", "scopeSpans", "spans")
 
 
