@@ -148,7 +148,9 @@ def links(nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFra
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         made.append(stored(_alike(pairs, sets, least), "alike"))
         tested = made[-1] if tested is None else tested.unionByName(made[-1])
-        roots = components(tested.where("alike").select("a", "b"))
+        alike = made[-1].where("alike").select("a", "b")
+        if not alike.isEmpty():  # what was joined before is linked to its roots already
+            roots = components(alike if roots is None else alike.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     settle(by_pivots)
     for turn in range(LEADERS):
@@ -156,7 +158,9 @@ def links(nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFra
         by = F.xxhash64("node", F.lit(turn)) if turn % 2 else -F.col("popular")
         first = F.min(F.struct(by.alias("by"), F.col("node").alias("node_"), F.col("n").alias("n_"), F.col("root").alias("root_")))
         leaders = members.groupBy("cell").agg(first.alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell", "first.*")
-        if turn and leaders.isEmpty():
+        leaders = stored(leaders, "leaders")
+        made.append(leaders)
+        if leaders.isEmpty():
             break
         # one leader for each member and round: the one that the most of its cells can have in common
         one = members.join(leaders, "cell").where("root <> root_").where(close).groupBy("node", "n").agg(F.min(F.struct("by", "node_", "n_")).alias("first"))
