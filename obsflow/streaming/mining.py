@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from obsflow.operators.mining import STATE, Config, assignments, mine, template_hits
+from obsflow.operators.mining import STATE, Config, assignments, mine, template_hits, tokenised
 
 
 def state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
@@ -22,12 +22,17 @@ def mine_batch(batch: DataFrame, batch_id: int, path: str, config: Config = Conf
     """Mines the logs of one batch on top of what earlier ones left: adds the changed rows to state and the batch's hits.
 
     Both are written under the batch's id, from the state of earlier ids only, so a batch that comes again replaces what
-    it wrote. Lines are counted into distinct sequences before any Python sees them.
+    it wrote. Lines are counted into distinct sequences before any Python sees them. A batch may be one file, which one
+    task would read: its lines are dealt to all tasks before they are masked, and masked once for the state and the hits.
     """
     spark = batch.sparkSession
-    mine(batch, config, state_before(spark, path, batch_id)).write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
-    added = spark.read.schema(STATE).parquet(f"{path}/state/batch_id={batch_id}")
-    template_hits(batch, assignments(added), config).write.mode("overwrite").parquet(f"{path}/hits/batch_id={batch_id}")
+    lines = tokenised(batch.repartition("log_id", "ts_ns"), config).persist()
+    try:
+        mine(lines, config, state_before(spark, path, batch_id)).write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+        added = spark.read.schema(STATE).parquet(f"{path}/state/batch_id={batch_id}")
+        template_hits(lines, assignments(added), config).write.mode("overwrite").parquet(f"{path}/hits/batch_id={batch_id}")
+    finally:
+        lines.unpersist()
 
 
 def mine_stream(logs: DataFrame, path: str, checkpoint: str, config: Config = Config(), **trigger: str | bool) -> StreamingQuery:
