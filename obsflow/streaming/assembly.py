@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from obsflow.operators.stories import stories
-from obsflow.operators.traces import error_flags, service_edges, trace_summaries
+from obsflow.operators.stories import stories_of, told_traces
+from obsflow.operators.traces import edges_of, severe_places, summaries_of, with_error_flags
 from obsflow.sources.checkpoint import cut
 
 GAP_MS, MAX_AGE_MS, MAX_SPANS = 10_000, 60_000, 10_000  # fixed defaults
@@ -473,20 +473,20 @@ def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
 def analyze_batch(batch: DataFrame, batch_id: int, path: str, span_schema: T.StructType, log_schema: T.StructType, baselines: DataFrame | None = None, ops: DataFrame | None = None) -> None:
     """Summaries, stories and edges of the traces (assembled records) that one batch closes, under its id.
 
-    The batch is stored first, which alone runs its assembly, then its spans and logs; each analysis reads those. Tables
-    are written in the given order, the additive one (edges) last; a batch that comes again replaces what it wrote, so
-    its edges count once.
+    The batch is stored first, which alone runs its assembly, then its traces as rows, after one shuffle; each analysis
+    reads those. Tables are written in the given order, the additive one (edges) last; a batch that comes again replaces
+    what it wrote, so its edges count once.
     """
     whole = cut(batch.where("closing <> 'late'"))
     if whole.isEmpty():
         return
-    spans, logs = (cut(unpacked(whole, k, schema)) for k, schema in (("span", span_schema), ("log", log_schema)))
-    flags = spans.groupBy("trace_id").agg(F.when(F.max("closing") == "truncated", F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>")).alias("window_flags"))
-    spans, logs = spans.drop("closing"), logs.drop("closing")
-    flagged = cut(error_flags(spans, logs))
-    write_batch(trace_summaries(flagged), f"{path}/summaries", batch_id)
-    write_batch(stories(spans, logs, baselines, ops, window_flags=flags), f"{path}/stories", batch_id)
-    write_batch(service_edges(flagged), f"{path}/edges", batch_id)
+    spans, logs = (unpacked(whole, k, schema) for k, schema in (("span", span_schema), ("log", log_schema)))
+    cut_off = F.when(F.exists("spans", lambda s: s["closing"] == "truncated"), F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>"))
+    rows = cut(told_traces(spans, logs.drop("closing"), "closing").withColumns({"window_flags": cut_off, "severe_at": severe_places()}))
+    flagged = with_error_flags(rows)
+    write_batch(summaries_of(flagged), f"{path}/summaries", batch_id)
+    write_batch(stories_of(rows, baselines, ops), f"{path}/stories", batch_id)
+    write_batch(edges_of(flagged), f"{path}/edges", batch_id)
 
 
 def analyze_stream(assembled: DataFrame, path: str, checkpoint: str, span_schema: T.StructType, log_schema: T.StructType, baselines: DataFrame | None = None, ops: DataFrame | None = None) -> StreamingQuery:
